@@ -64,7 +64,7 @@ def test_token_counts(spark):
         (i, len(t.encode(x or "", add_special_tokens=False).ids), len((x or "").encode())) for i, x in [*enumerate(texts), (0, "dup dup dup")]
     )
     for r in out:
-        text = (texts[r.doc_id] or "").encode() if r.n_bytes != 7 else b"dup dup dup"
+        text = (texts[r.doc_id] or "").encode() if r.n_bytes != 11 else b"dup dup dup"
         for end, total in zip(r.ends[:50], r.totals):
             assert len(t.encode(text[:end].decode(), add_special_tokens=False).ids) == total
         assert len(t.encode(text[: r.cut_bytes].decode(), add_special_tokens=False).ids) <= 3
