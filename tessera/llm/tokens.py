@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 300_000
+CACHE = 1_000_000
 _counters: dict[str, ChunkCounter] = {}
 
 
@@ -37,6 +37,7 @@ class ChunkCounter:
         self.encoder.no_truncation()
         self.encoder.no_padding()
         self.known: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         self.cache = cache
 
     @classmethod
@@ -46,14 +47,24 @@ class ChunkCounter:
         return _counters[path]
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks - self.known.keys())
-        if len(self.known) + len(new) > self.cache:
-            self.known.clear()
-            new = list(chunks)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for chunk, got in zip(part, self.encoder.encode_batch([c.decode() for c in part], add_special_tokens=False)):
-                self.known[chunk] = len(got.ids)
+        """Two generations: what a full cache still uses moves on, the rest is dropped."""
+        if len(self.known) > self.cache // 2:
+            self.known, self.older = {}, self.known
+        new = chunks - self.known.keys()
+        for chunk in new & self.older.keys():
+            self.known[chunk] = self.older[chunk]
+        new = list(new - self.older.keys())
+        for at in range(0, len(new), 20_000):
+            self.known.update(self.encode(new[at : at + 20_000]))
+
+    def encode(self, chunks: list[bytes]) -> zip:
+        """Counts of chunks by one call over all of them: each token belongs to the chunk that it starts in."""
+        words = [c.decode() for c in chunks]
+        sizes = np.fromiter(map(len, words), "i8", len(words)) + 1
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        got = self.encoder.encode(" ".join(words), add_special_tokens=False).offsets
+        first = np.fromiter((a for a, _ in got), "i8", len(got))
+        return zip(chunks, np.diff(np.searchsorted(first, starts)).tolist())
 
     def counts(self, chunks: list[bytes]) -> list[int]:
         """Per chunk; call learn() first."""
