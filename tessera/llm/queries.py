@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, htmltext, langid, mixing, secretscan, tokens
+from tessera.llm import chat, htmltext, langid, minhash, mixing, secretscan, tokens
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,10 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_html_extract"] = op7_html_extract
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_minhash_dedup"] = op8_minhash_dedup
