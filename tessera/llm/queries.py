@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, embedding, htmltext, langid, minhash, mixing, secretscan, tokens
+from tessera.llm import chat, debruijn, decontam, embedding, htmltext, langid, minhash, mixing, secretscan, tokens
 from tessera.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_decontamination"] = op9_decontamination
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES["op2_substring_dedup"] = op2_substring_dedup
