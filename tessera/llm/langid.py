@@ -123,11 +123,11 @@ def train(df: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-9)
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id unless given) with lang_pred and score."""
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` (doc_id unless given) with the language and its score, under `names`."""
     langs, protos = model
     keep = keep or ["doc_id"]
-    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = df.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes.get()
@@ -136,14 +136,14 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]
                 part = batch.slice(at, SLICE)
                 rows = [codes.trigrams(t) if langs else None for t in part.column(part.num_columns - 1).to_pylist()]
                 known = [i for i, r in enumerate(rows) if r]
-                names, scores = [UND] * len(rows), [0.0] * len(rows)
+                found, scores = [UND] * len(rows), [0.0] * len(rows)
                 if known:
                     vectors = codes.bundle([[rows[i]] for i in known])
                     cosines = vectors @ protos.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                     for i, row in zip(known, cosines):
                         best = int(row.argmax())
-                        names[i], scores[i] = langs[best], float(min(max(row[best], 0), 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names), pa.array(scores)], [*part.schema.names[:-1], "lang_pred", "score"])
+                        found[i], scores[i] = langs[best], float(min(max(row[best], 0), 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found), pa.array(scores)], [*part.schema.names[:-1], *names])
 
     return df.select(*keep, F.col("text").alias("__text")).mapInArrow(score, schema)
 
