@@ -8,8 +8,8 @@ in a small region, the deepest prefixes in a dense one, where the sort goes on b
 packed signatures (two bits a minimum) disagree by more than four standard deviations are let go; links are confirmed
 on the full sets of 64-bit shingle hashes.
 
-Two rounds keep large groups linear: the first confirms the nearest candidate of each class in each tree; the second
-confirms all other candidates whose ends are still in different components. Order is by range partitioning on the
+Two rounds keep large groups linear: the first confirms, for each class, the NEAR candidates that agree best; the second
+confirms all candidates whose ends are still in different components. Order is by range partitioning on the
 signature, so a dense region is cut where its prefixes get longer, and equal signatures by id; the pairs that
 a cut separates in one tree meet in the others. A pair at similarity 0.75 shares a region in some tree with
 probability 1 - (1 - 0.75**3)**16 > 0.9998, a more similar one with more.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ SHINGLE = 5
 TREES, DEPTH, LEAST = 16, 6, 3
 PERMS = TREES * DEPTH
 WINDOW = 64
+NEAR = 2
 #: Of PERMS packed minima, those that agree: 0.8125 of 96 at similarity 0.75, less four standard deviations.
 AGREE = 63
 
@@ -107,9 +109,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def forest(classes: DataFrame, near: bool) -> DataFrame:
-    """Candidates (a, b) from the sorted orders of `classes` (doc_id, sig, packed, comp).
+    """Candidates (a, b, agree) from the sorted orders of `classes` (doc_id, sig, packed, comp), both ends' comp different.
 
-    near: only the nearest one behind each class, and (a, a) for every class that has a candidate at all.
+    near: for each class a only the candidate of each tree that agrees best; else all, once.
     """
     width = DEPTH * 4
 
@@ -130,7 +132,7 @@ def forest(classes: DataFrame, near: bool) -> DataFrame:
             new = np.ones(len(ids), bool)
             new[1:] = (tree[1:] != tree[:-1]) | (key[1:, :LEAST] != key[:-1, :LEAST]).any(1)
             region = np.cumsum(new)
-            found, a_out, b_out = np.zeros(len(ids), bool), [], []
+            best, partner, out = np.zeros(len(ids), "i8"), np.zeros(len(ids), "i8"), []
             cur = np.arange(max(first, 1), len(ids))
             for lag in range(1, WINDOW + 1):
                 cur = cur[cur >= lag]
@@ -138,39 +140,49 @@ def forest(classes: DataFrame, near: bool) -> DataFrame:
                 if not len(cur):
                     break
                 x = packed[cur] ^ packed[cur - lag]
-                agree = PERMS - np.bitwise_count((x | x >> 1) & 0x55).sum(1)
+                agree = PERMS - np.bitwise_count((x | x >> 1) & 0x55).sum(1, dtype="i8")
                 ok = (agree >= AGREE) & (comp[cur] != comp[cur - lag])
-                i, j = cur[ok], cur[ok] - lag
+                i, j, agree = cur[ok], cur[ok] - lag, agree[ok]
                 if near:
-                    fresh = ~found[i]
-                    a_out += [ids[i], ids[j], ids[i[fresh]]]
-                    b_out += [ids[i], ids[j], ids[j[fresh]]]
-                    found[i] = True
+                    for u, v in ((i, j), (j, i)):
+                        more = agree > best[u]
+                        best[u[more]], partner[u[more]] = agree[more], ids[v[more]]
                 else:
-                    a_out.append(ids[i])
-                    b_out.append(ids[j])
+                    out.append(np.stack((ids[i], ids[j], agree)))
             tail = [r[-WINDOW:] for r in rows]
-            if a_out:
-                pairs = np.unique(np.stack((np.concatenate(a_out), np.concatenate(b_out))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            if near:
+                out = [np.stack((ids, partner, best))[:, best > 0]]
+            if out:
+                pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], ["a", "b", "agree"])
 
     trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * width + 1, F.lit(width)).alias("key"))))
     rows = classes.select(trees.alias("t"), "doc_id", "packed", "comp").select("t.tree", "t.key", "doc_id", "packed", "comp")
     rows = rows.repartitionByRange("tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(run, "a bigint, b bigint, agree bigint")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, shingles (bytes) for the documents in `ids`."""
+    """doc_id, shingles (bytes) for the documents in `ids`; repeated rows once. Texts travel compressed."""
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([zip_.compress(t or b"") for t in texts], pa.binary())], ["doc_id", "z"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sets = [shingles(t).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
+                sets = [shingles(unzip.decompress(z)).tobytes() for z in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, shingles binary")
+    texts = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(press, "doc_id bigint, z binary")
+    # the number of candidates has no bound, so they are never broadcast; the aggregate keeps the join's partitioning
+    texts = texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("z").alias("h")).agg(F.first("z").alias("z"))
+    return texts.select("doc_id", "z").mapInArrow(run, "doc_id bigint, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,16 +214,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("packed").alias("packed"))
     classes = staged(classes.withColumn("comp", F.monotonically_increasing_id()), "minhash-classes")
 
-    near = staged(forest(classes, True), "minhash-near")
-    ids = near.where("a = b").select(F.col("a").alias("doc_id"))
-    sets = staged(sets_of(docs, ids).dropDuplicates(["doc_id", "shingles"]), "minhash-sets")
-    # rows of one doc_id may hold several texts: each class is searched for itself, and the doc_id joins them
-    links = staged(confirmed(near.where("a != b"), sets, percent), "minhash-links")
+    # up to NEAR partners of each class that agree best
+    near = forest(classes, True).groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "b")), False), 1, NEAR).alias("best"))
+    near = staged(near, "minhash-near")
+    ids = near.select(F.col("a").alias("doc_id"))
+    sets = staged(sets_of(docs, ids), "minhash-sets")
+    pairs = near.select("a", F.explode("best.b").alias("b"))
+    links = staged(confirmed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), sets, percent), "minhash-links")
     first = staged(components(links), "minhash-first")
-    open_ = classes.join(ids, "doc_id", "left_semi").drop("comp").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    open_ = classes.join(ids.hint("merge"), "doc_id", "left_semi").drop("comp").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     open_ = open_.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    rest = staged(forest(open_, False), "minhash-rest")
-    more = confirmed(rest.where("a != b"), sets, percent)
+    rest = forest(open_, False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    more = staged(confirmed(rest, sets, percent), "minhash-more")
 
     same = full.select("set_id", "doc_id").join(classes.select("set_id", F.col("doc_id").alias("rep")), "set_id")
     # a class's other ids hang on its first; a doc_id with several texts brings its classes together
