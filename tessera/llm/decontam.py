@@ -6,9 +6,9 @@ passages of 2 * SEGMENT words every SEGMENT words, so any run of SEGMENT words l
 query of its distinct words; all segments that score THRESHOLD or more are retrieved, exactly:
 
 * a passage whose terms' largest impacts add up to less is left at once;
-* terms are sorted by largest impact, and those before the pivot (where the sum reaches the threshold) cannot bring in a
-  segment alone: only blocks of BLOCK segments in a list at or behind the pivot are looked at;
-* of those, a block is read only if its terms' block maxima reach the threshold.
+* the longest lists come before the pivot: their largest impacts together stay below half the threshold, so they cannot
+  bring in a segment, and only blocks of BLOCK segments that the other lists reach are looked at;
+* a block is read only if the block maxima there, with what the lists before the pivot can add, reach the threshold.
 
 Retrieved items are verified on their words: a word counts if a shingle of five words around it is in the passage.
 Question and answer are the item before and after its last sentence break (or two thirds of its words). A document
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SEGMENT = 64
-BLOCK = 64
+BLOCK = 16
 THRESHOLD = 0.35
 OVERLAP, QUESTION = 0.6, 0.8
 SHINGLE = 5
@@ -80,29 +80,30 @@ class Index:
         self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         self.top = np.zeros(len(self.vocab))
         np.maximum.at(self.top, self.term, self.impact)
+        # the longest lists come before the pivot, as many as cannot reach half the threshold together
+        by_length = np.argsort(-np.bincount(self.term, minlength=len(self.vocab)), kind="stable")
+        self.before = np.zeros(len(self.vocab), bool)
+        self.before[by_length[np.cumsum(self.top[by_length]) < THRESHOLD / 2]] = True
         self.term_at = np.searchsorted(self.block_key // self.n_blocks, np.arange(len(self.vocab) + 1))
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
-        """(passage, segment, score) of all at or above THRESHOLD, from distinct (passage, term) pairs."""
+        """(passage, segment, score) of all at or above THRESHOLD, from sorted distinct (passage, term) pairs."""
         if not len(passage):
             return []
-        bound = np.bincount(passage, self.top[term])
-        keep = bound[passage] >= THRESHOLD
+        keep = np.bincount(passage, self.top[term])[passage] >= THRESHOLD
         passage, term = passage[keep], term[keep]
         if not len(passage):
             return []
-        order = np.lexsort((self.top[term], passage))
-        passage, term = passage[order], term[order]
-        starts = np.flatnonzero(np.diff(passage, prepend=-1))
-        lengths = np.diff(np.append(starts, len(passage)))
-        sums = np.cumsum(self.top[term])
-        sums -= np.repeat(sums[starts] - self.top[term[starts]], lengths)
-        pivot = sums >= THRESHOLD - 1e-9
-        # blocks that a list at or behind the pivot reaches
-        rows, entry = expand(self.term_at[term[pivot]], self.term_at[term[pivot] + 1])
-        cand = np.unique(passage[pivot][rows] * self.n_blocks + self.block_key[entry] % self.n_blocks)
+        # what the lists before the pivot can add at most, and the blocks that the others reach
+        before = self.before[term]
+        rest = np.bincount(passage, np.where(before, self.top[term], 0.0))
+        rows, entry = expand(self.term_at[term[~before]], self.term_at[term[~before] + 1])
+        cand, sums = accumulate(passage[~before][rows] * self.n_blocks + self.block_key[entry] % self.n_blocks, self.block_max[entry])
+        cand = cand[sums + rest[cand // self.n_blocks] >= THRESHOLD - 1e-9]
         cand_p, cand_b = cand // self.n_blocks, cand % self.n_blocks
         # their bounds by block maxima of all terms
+        starts = np.flatnonzero(np.diff(passage, prepend=-1))
+        lengths = np.diff(np.append(starts, len(passage)))
         at = np.searchsorted(passage[starts], cand_p)
         rows, pair = expand(starts[at], starts[at] + lengths[at])
         want = term[pair] * self.n_blocks + cand_b[rows]
@@ -113,9 +114,7 @@ class Index:
         # and the postings of the blocks that are left
         use = good[rows]
         r2, posting = expand(self.block_at[where[use]], self.block_at[where[use] + 1])
-        key = cand_p[rows[use]][r2] * len(self.owner) + self.seg[posting]
-        pairs, inverse = np.unique(key, return_inverse=True)
-        score = np.bincount(inverse, self.impact[posting])
+        pairs, score = accumulate(cand_p[rows[use]][r2] * len(self.owner) + self.seg[posting], self.impact[posting])
         return [(int(k // len(self.owner)), int(k % len(self.owner)), float(s)) for k, s in zip(pairs, score) if s >= THRESHOLD]
 
 
@@ -131,6 +130,17 @@ def expand(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
 
 
+def accumulate(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their weights."""
+    if len(keys) and keys.max() - keys.min() < 4 * len(keys) + 1_000_000:
+        low = keys.min()
+        sums = np.bincount(keys - low, weights)
+        there = np.flatnonzero(sums)
+        return there + low, sums[there]
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(inverse, weights, len(distinct))
+
+
 def covered(item: list[str], passage: list[str]) -> np.ndarray:
     """Which of the item's words lie in a shingle of the passage."""
     n = min(SHINGLE, len(item))
@@ -158,7 +168,12 @@ def scan(texts: list[str | None], index: Index) -> list[list[tuple[int, float, f
     known = term >= 0
     piece = (base[doc] + at // SEGMENT)[known]
     v = len(index.vocab)
-    keys = np.unique(np.concatenate((piece * v + term[known], (piece + 1) * v + term[known])))
+    pairs = np.unique(piece * v + term[known])
+    # a passage's bound is at most the sum of its two pieces'
+    at_piece = pairs // v
+    bound = np.bincount(at_piece, index.top[pairs % v], int(n_passages.sum()) + 1)
+    open_ = bound + np.concatenate(([0.0], bound[:-1])) >= THRESHOLD
+    keys = np.unique(np.concatenate((pairs[open_[at_piece]], pairs[open_[at_piece + 1]] + v)))
     found: dict[tuple[int, int], list] = {}
     for p, seg, score in index.retrieve(keys // v, keys % v):
         d = int(np.searchsorted(base, p, "right")) - 1
