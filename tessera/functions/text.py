@@ -23,11 +23,22 @@ def trigrams(c: Column) -> Column:
 
 
 _REGISTRY: dict[str, tuple[Tokenizer, Callable[[str], list[str]]]] = {}
+#: SQL text of a tokenizer, with {c} for the column; without it, the SQL front-end cannot use the tokenizer.
+_SQL: dict[str, str] = {}
 
 
-def register_tokenizer(name: str, tokenize: Tokenizer, plan: Callable[[str], list[str]]) -> None:
+def register_tokenizer(name: str, tokenize: Tokenizer, plan: Callable[[str], list[str]], sql: str | None = None) -> None:
     """Add a tokenizer: one function over a column for rows, one over a string for query terms."""
     _REGISTRY[name] = (tokenize, plan)
+    if sql:
+        _SQL[name] = sql
+
+
+def register_python_tokenizer(spark, name: str, tokenize: Callable[[str], list[str]]) -> None:
+    """Add a tokenizer in plain Python; rows go through it in Arrow batches."""
+    udf = F.pandas_udf(lambda s: s.map(lambda t: tokenize(t) if t is not None else None), "array<string>", F.PandasUDFType.SCALAR)
+    spark.udf.register(f"tessera_tokens_{name}", udf)
+    register_tokenizer(name, lambda c: udf(c), tokenize, f"tessera_tokens_{name}({{c}})")
 
 
 def tokenizer(name: str) -> tuple[Tokenizer, Callable[[str], list[str]]]:
@@ -36,8 +47,11 @@ def tokenizer(name: str) -> tuple[Tokenizer, Callable[[str], list[str]]]:
     return _REGISTRY[name]
 
 
-register_tokenizer("simple", simple_tokens, lambda s: s.lower().split())
-register_tokenizer("trigram", trigrams, lambda s: [s.lower()[i : i + 3] for i in range(len(s) - 2)])
+register_tokenizer("simple", simple_tokens, lambda s: s.lower().split(), r"filter(split(lower({c}), '(?U)\\s+'), t -> t <> '')")
+register_tokenizer(
+    "trigram", trigrams, lambda s: [s.lower()[i : i + 3] for i in range(len(s) - 2)],
+    "if(char_length({c}) >= 3, transform(sequence(1, char_length({c}) - 2), i -> substring(lower({c}), i, 3)), array())",
+)
 
 
 def parse_query(query: str, plan: Callable[[str], list[str]] = tokenizer("simple")[1]):
@@ -139,6 +153,25 @@ def match_tree(tokens: Column, tree) -> Column:
     return (left & right) if tree[0] == "and" else (left | right)
 
 
+def match_sql(c: str, query: str, name: str = "simple") -> str:
+    """The predicate of MATCH as Spark SQL text."""
+    if name not in _SQL:
+        raise KeyError(f"Tokenizer {name} has no SQL form")
+    tokens = _SQL[name].format(c=c)
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def text(tree) -> str:
+        if tree[0] == "token":
+            return f"coalesce(array_contains({tokens}, {quoted(tree[1])}), false)"
+        if tree[0] == "phrase":
+            words = f"array({', '.join(map(quoted, tree[1]))})"
+            n = len(tree[1])
+            return f"coalesce(size({tokens}) >= {n} AND exists(sequence(1, greatest(size({tokens}) - {n - 1}, 1)), i -> slice({tokens}, i, {n}) = {words}), false)"
+        return f"({text(tree[1])} {tree[0].upper()} {text(tree[2])})"
+
+    return text(parse_query(query, tokenizer(name)[1]))
+
+
 def match(c: Column, query: str, name: str = "simple") -> Column:
     """MATCH(c) AGAINST(query): evaluated inside the scan's projection, no Python at run time."""
     tokenize, plan = tokenizer(name)
@@ -151,6 +184,10 @@ def postings(df: DataFrame, key: str, text: str, name: str = "simple") -> DataFr
     return tokens.groupBy("token", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def _back(i: int) -> Callable[[Column], Column]:
+    return lambda p: p - i
+
+
 def resolve(index: DataFrame, tree, key: str) -> DataFrame:
     """Keys that satisfy a parsed query, from postings alone: intersections, unions and position joins."""
     if tree[0] == "token":
@@ -158,7 +195,7 @@ def resolve(index: DataFrame, tree, key: str) -> DataFrame:
     if tree[0] == "phrase":
         out = None
         for i, word in enumerate(tree[1]):
-            here = index.where(F.col("token") == word).select(key, F.transform("positions", lambda p, i=i: p - i).alias(f"p{i}"))
+            here = index.where(F.col("token") == word).select(key, F.transform("positions", _back(i)).alias(f"p{i}"))
             out = here if out is None else out.join(here, key)
         common = F.col("p0")
         for i in range(1, len(tree[1])):
