@@ -5,7 +5,7 @@ Documents with equal sets are one class, and classes alone are searched. Each cl
 minima; a tree sorts all classes by its signature, so that those with the longest common prefix are neighbours. In a
 region, which shares the first LEAST minima, every class is a candidate with the next WINDOW ones behind it: all pairs
 in a small region, the deepest prefixes in a dense one, where the sort goes on by the later minima. Candidates whose
-packed signatures (two bits a minimum) disagree by more than four standard deviations are let go; links are confirmed
+packed minima (two bits each; in the second round four bits of more minima) agree four standard deviations too seldom are let go; links are confirmed
 on the full sets of 64-bit shingle hashes.
 
 Two rounds keep large groups linear: the first confirms, for each class, the NEAR candidates that agree best; the second
@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.lean import lean
 from tessera.llm.links import components
 from tessera.sources.tables import staged
 
@@ -40,10 +41,12 @@ WINDOW = 64
 NEAR = 2
 #: Of PERMS packed minima, those that agree: 0.8125 of 96 at similarity 0.75, less four standard deviations.
 AGREE = 63
+#: The same for the second round's FINE minima of four bits: 0.7656 of 256, less four standard deviations.
+FINE, AGREE_FINE = 256, 169
 
 _rng = np.random.default_rng(20)
-_mul = _rng.integers(1, 2**63, PERMS, dtype="u8") * np.uint64(2) + np.uint64(1)
-_xor = _rng.integers(0, 2**63, PERMS, dtype="u8")
+_mul = _rng.integers(1, 2**63, max(PERMS, FINE), dtype="u8") * np.uint64(2) + np.uint64(1)
+_xor = _rng.integers(0, 2**63, max(PERMS, FINE), dtype="u8")
 _place = _rng.integers(1, 2**63, SHINGLE, dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
@@ -73,39 +76,55 @@ def shingles(text: bytes | None) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    best = np.full(PERMS, np.iinfo("u8").max, "u8")
-    for at in range(0, len(s), 512):
-        np.minimum(best, ((s[None, at : at + 512] ^ _xor[:, None]) * _mul[:, None]).min(1), out=best)
+    """FINE minima; the first PERMS make the trees."""
+    best = np.full(FINE, np.iinfo("u8").max, "u8")
+    for at in range(0, len(s), 256):
+        np.minimum(best, ((s[None, at : at + 256] ^ _xor[:, None]) * _mul[:, None]).min(1), out=best)
     return (best >> np.uint64(32)).astype(">u4")
 
 
 def pack(sig: np.ndarray) -> bytes:
-    """Two bits of each minimum."""
-    low = (sig & 3).astype("u1")
+    """Two bits of each tree minimum."""
+    low = (sig[:PERMS] & 3).astype("u1")
     return (low[0::4] | low[1::4] << 2 | low[2::4] << 4 | low[3::4] << 6).tobytes()
 
 
+def pack_fine(sig: np.ndarray) -> bytes:
+    """Four bits of each minimum."""
+    low = (sig & 15).astype("u1")
+    return (low[0::2] | low[1::2] << 4).tobytes()
+
+
+def agreeing(x: np.ndarray, fine: bool) -> np.ndarray:
+    """Packed minima that agree, from the rows' exclusive or."""
+    if not fine:
+        return PERMS - np.bitwise_count((x | x >> 1) & 0x55).sum(1, dtype="i8")
+    x = x | x >> 2
+    return FINE - np.bitwise_count((x | x >> 1) & 0x11).sum(1, dtype="i8")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set; null if empty), sig, packed."""
+    """doc_id, n_shingles, set_id (digest of the set; null if empty), sig, packed, fine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                n, ids, sigs, packed = [], [], [], []
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n, ids, sigs, packed, fine = [], [], [], [], []
                 for text in part.column(1).cast(pa.binary()).to_pylist():
                     s = shingles(text)
                     n.append(len(s))
                     sig = signature(s) if len(s) else None
                     ids.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-                    sigs.append(None if sig is None else sig.tobytes())
+                    sigs.append(None if sig is None else sig[:PERMS].tobytes())
                     packed.append(None if sig is None else pack(sig))
+                    fine.append(None if sig is None else pack_fine(sig))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(n, "i8"), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), pa.array(packed, pa.binary())],
-                    ["doc_id", "n_shingles", "set_id", "sig", "packed"],
+                    [part.column(0).cast(pa.int64()), pa.array(n, "i8"), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), pa.array(packed, pa.binary()), pa.array(fine, pa.binary())],
+                    ["doc_id", "n_shingles", "set_id", "sig", "packed", "fine"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id binary, sig binary, packed binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, set_id binary, sig binary, packed binary, fine binary")
 
 
 def forest(classes: DataFrame, near: bool) -> DataFrame:
@@ -139,9 +158,8 @@ def forest(classes: DataFrame, near: bool) -> DataFrame:
                 cur = cur[region[cur] == region[cur - lag]]
                 if not len(cur):
                     break
-                x = packed[cur] ^ packed[cur - lag]
-                agree = PERMS - np.bitwise_count((x | x >> 1) & 0x55).sum(1, dtype="i8")
-                ok = (agree >= AGREE) & (comp[cur] != comp[cur - lag])
+                agree = agreeing(packed[cur] ^ packed[cur - lag], not near)
+                ok = (agree >= (AGREE if near else AGREE_FINE)) & (comp[cur] != comp[cur - lag])
                 i, j, agree = cur[ok], cur[ok] - lag, agree[ok]
                 if near:
                     for u, v in ((i, j), (j, i)):
@@ -159,7 +177,7 @@ def forest(classes: DataFrame, near: bool) -> DataFrame:
     trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * width + 1, F.lit(width)).alias("key"))))
     rows = classes.select(trees.alias("t"), "doc_id", "packed", "comp").select("t.tree", "t.key", "doc_id", "packed", "comp")
     rows = rows.repartitionByRange("tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-    return rows.mapInArrow(run, "a bigint, b bigint, agree bigint")
+    return rows.mapInArrow(lean(run), "a bigint, b bigint, agree bigint")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -168,21 +186,23 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(3)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([zip_.compress(t or b"") for t in texts], pa.binary())], ["doc_id", "z"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([zip_.compress(t or b"") for t in texts], pa.binary())], ["doc_id", "z"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 sets = [shingles(unzip.decompress(z)).tobytes() for z in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    texts = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(press, "doc_id bigint, z binary")
+    texts = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(press), "doc_id bigint, z binary")
     # the number of candidates has no bound, so they are never broadcast; the aggregate keeps the join's partitioning
     texts = texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("z").alias("h")).agg(F.first("z").alias("z"))
-    return texts.select("doc_id", "z").mapInArrow(run, "doc_id bigint, shingles binary")
+    return texts.select("doc_id", "z").mapInArrow(lean(run), "doc_id bigint, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,14 +224,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     rows = staged(signatures(docs), "minhash")
     full = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("packed").alias("packed"))
+    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("sig", "packed", "fine")])
     classes = staged(classes.withColumn("comp", F.monotonically_increasing_id()), "minhash-classes")
 
     # up to NEAR partners of each class that agree best
@@ -223,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = staged(confirmed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), sets, percent), "minhash-links")
     first = staged(components(links), "minhash-first")
     open_ = classes.join(ids.hint("merge"), "doc_id", "left_semi").drop("comp").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    open_ = open_.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    open_ = open_.withColumn("comp", F.coalesce("component", "doc_id")).drop("component", "packed").withColumnRenamed("fine", "packed")
     rest = forest(open_, False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     more = staged(confirmed(rest, sets, percent), "minhash-more")
 
@@ -231,7 +251,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # a class's other ids hang on its first; a doc_id with several texts brings its classes together
     shared = full.groupBy("doc_id").agg(F.count_distinct("set_id").alias("n")).where("n > 1").select("doc_id")
     bridge = same.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    every = staged(components(links.union(more).union(bridge)), "minhash-all")
+    known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    every = staged(components(known.union(more).union(bridge)), "minhash-all")
     labels = classes.select("set_id", F.col("doc_id").alias("node")).join(every, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
