@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.lean import lean
 from tessera.llm.minhash import mix64
 from tessera.sources.tables import staged
 
@@ -110,7 +111,7 @@ class Words:
         return anchor[order], tag[order], start[order], count[order]
 
 
-def slices(batch: pa.RecordBatch, rows: int = 1024):
+def slices(batch: pa.RecordBatch, rows: int = 512):
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
         yield part.column(0).to_numpy(zero_copy_only=False), part.column(1).cast(pa.binary()).to_pylist()
@@ -154,7 +155,7 @@ def packed(docs: DataFrame) -> DataFrame:
             for ids, texts in slices(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([None if t is None else zip_.compress(t) for t in texts], pa.binary())], ["doc", "z"])
 
-    return docs.mapInArrow(run, "doc bigint, z binary")
+    return docs.mapInArrow(lean(run), "doc bigint, z binary")
 
 
 def read_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +214,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the remaining words, joined by one space)."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("doc"), F.col("text").cast("string").alias("text"))
 
-    anchors = d.mapInArrow(count_anchors, "anchor bigint, low int, high int, n int").groupBy("anchor")
+    anchors = d.mapInArrow(lean(count_anchors), "anchor bigint, low int, high int, n int").groupBy("anchor")
     anchors = anchors.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("n > 1")
     anchors = staged(anchors.select("anchor", (F.col("low") != F.col("high")).alias("branches")), "anchors")
 
-    edges = d.mapInArrow(list_edges, "anchor bigint, tag int, doc bigint, start int, n int").join(anchors, "anchor")
+    edges = d.mapInArrow(lean(list_edges), "anchor bigint, tag int, doc bigint, start int, n int").join(anchors, "anchor")
     edges = staged(edges, "edges")
     first = staged(edges.groupBy("anchor", "tag").agg(F.min(F.struct("doc", "start")).alias("f")), "first")
     placed = staged(edges.join(first, ["anchor", "tag"]).select("doc", "start", "n", "branches", F.col("f.doc").alias("src"), F.col("f.start").alias("src_start")), "placed")
@@ -239,7 +240,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     places = place(singles, 0, "doc", "start", "size", zero, zero).unionByName(place(spans, 1, "doc", "start", "size", "src", "src_start")).unionByName(place(wanted, 2, "doc", "start", "size", zero, zero))
     places = places.groupBy("doc").agg(F.collect_list("p").alias("places"))
     read = packed(d).where("z is not null").join(places, "doc").select("doc", "z", "places")
-    read = staged(read.mapInArrow(read_places, "kind bigint, doc bigint, start bigint, size bigint, src bigint, src_start bigint, h1 bigint, h2 bigint"), "places")
+    read = staged(read.mapInArrow(lean(read_places), "kind bigint, doc bigint, start bigint, size bigint, src bigint, src_start bigint, h1 bigint, h2 bigint"), "places")
 
     there = read.where("kind = 2").select(F.col("doc").alias("src"), F.col("start").alias("src_start"), "size", "h1", "h2").distinct()
     verified = read.where("kind = 1").join(there, ["src", "src_start", "size", "h1", "h2"]).select("doc", "start", "size", "h1", "h2")
@@ -250,5 +251,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     ranges = verified.unionByName(again).groupBy("doc").agg(F.collect_set(F.struct("start", "size", "h1", "h2")).alias("ranges"))
     ranges = staged(ranges, "ranges")
     out = packed(d).join(ranges, "doc", "left").select("doc", "z", "ranges")
-    out = out.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    out = out.mapInArrow(lean(cut), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NONE, F.col("doc_id")))

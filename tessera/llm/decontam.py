@@ -34,8 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.lean import lean
+
 SEGMENT = 64
-BLOCK = 16
+BLOCK = 2
 THRESHOLD = 0.35
 OVERLAP, QUESTION = 0.6, 0.8
 SHINGLE = 5
@@ -222,8 +224,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def run_with(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
                     hits = scan(part.column(1).to_pylist(), index)
                     rows = [(i, *h) for i, found in enumerate(hits) for h in found]
                     if rows:
@@ -236,7 +238,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for index in indexes(benchmark):
-        part = source.mapInArrow(run_with(index), schema)
+        part = source.mapInArrow(lean(run_with(index)), schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -247,12 +249,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def run_with(index: Index, at_text: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
                     yield part.filter(pa.array([not h for h in scan(part.column(at_text).to_pylist(), index)], pa.bool_()))
 
         return run
 
     for index in indexes(benchmark):
-        docs = docs.mapInArrow(run_with(index, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(lean(run_with(index, docs.columns.index("text"))), docs.schema)
     return docs

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.lean import lean
+
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
@@ -250,8 +252,8 @@ def scan(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 raws = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
                 spans = [to_points(raw, s) for raw, s in zip(raws, find(raws, net))]
                 count = lambda k: pa.array([sum(x[2] == k for x in s) for s in spans], "i8")  # noqa: E731, B023
@@ -262,7 +264,7 @@ def scan(df: DataFrame) -> DataFrame:
                 )
 
     schema = f"doc_id {key}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_cnn bigint"
-    return df.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def masked(raw: bytes, spans: list[tuple[int, int, int]], mark: bytes = b"[SECRET]") -> bytes:
@@ -282,8 +284,8 @@ def redact(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 raws = part.column(at_text).cast(pa.binary()).to_pylist()
                 spans = find([r or b"" for r in raws], net)
                 if any(spans):
@@ -292,4 +294,4 @@ def redact(df: DataFrame) -> DataFrame:
                     part = part.set_column(at_text, "text", pa.array(new, part.schema.field(at_text).type))
                 yield part
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
