@@ -222,7 +222,7 @@ class BiLSTM:
             g["w" + d], g["b" + d] = gw, gb
         return g
 
-    def fit(self, seqs, labels, epochs: int = 4, rate: float = 0.01, seed: int = 1) -> None:
+    def fit(self, seqs, labels, epochs: int = 6, rate: float = 0.006, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
         m, v, t = {k: 0 for k in self.p}, {k: 0 for k in self.p}, 0
         for _ in range(epochs):
@@ -273,7 +273,18 @@ def generate(count: int, seed: int) -> list[str]:
     syllables = "an er in th re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma ç é ñ ü ß 中 文 да не".split()
     word = lambda: "".join(pick(syllables) for _ in range(some(1, 5)))
     words = lambda a, b: " ".join(word() for _ in range(some(a, b)))
-    prose = lambda: " ".join(words(3, 14).capitalize() + pick([".", ".", ",", "", "!", "?"]) for _ in range(some(1, 9)))
+    def prose() -> str:
+        text = " ".join(words(3, 14).capitalize() + pick([".", ".", ",", "", "!", "?"]) for _ in range(some(1, 9)))
+        odd = rng.random()
+        if odd < 0.12:  # junk, capitals, tables in text, and the same over and over
+            mark = pick(["!!", "###", "$$$", "%%%", "***", " |"])
+            text = " ".join(w + mark for w in text.split())
+        if odd < 0.04:
+            text = text.upper()
+        if 0.02 < odd < 0.06 or odd > 0.98:
+            text = " ".join([text] * some(3, 80))
+        return text
+
     links = lambda a, b: [f'<a href="/{word()}">{words(1, 4)}</a>' for _ in range(some(a, b))]
 
     def paragraph() -> str:
@@ -355,7 +366,7 @@ def labelled(count: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]
 @cache
 def trained() -> BiLSTM:
     net = BiLSTM()
-    net.fit(*labelled(1200, 21))
+    net.fit(*labelled(2000, 21))
     return net
 
 
