@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import functools
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from tessera.catalog.database import Database, Table, Transaction, phys
 from tessera.functions import text as fts
 from tessera.sql.binder import SPARK, Binder, Scope, Source, kind_of, tick
 from tessera.sql.errors import ConstraintError, SqlError
+from tessera.sql.lexer import _SPEC
 from tessera.sql.parser import Node, parse
 
 #: Above this share of a table's rows a token is too common for its postings to help.
@@ -29,14 +31,42 @@ class Result:
     df: DataFrame | None = None
     count: int | None = None
     message: str = ""
+    #: The same query with integer sums as doubles, for sums that pass 64 bits.
+    promoted: Callable[[], DataFrame] | None = None
 
     def rows(self) -> list[Row]:
-        return self.df.collect() if self.df is not None else []
+        if self.df is None:
+            return []
+        try:
+            return self.df.collect()
+        except Exception as e:
+            if self.promoted is None or "ARITHMETIC_OVERFLOW" not in str(e):
+                raise
+            return self.promoted().collect()
 
     def __iter__(self) -> Iterator[Row]:
         return self.df.toLocalIterator() if self.df is not None else iter(())
 
 
+class Query:
+    """A statement's text with its parameters, bound one by one: Query("… @id …").bind("id", 7)."""
+
+    def __init__(self, sql: str, params: dict | None = None):
+        self.sql, self.params = sql, dict(params or {})
+
+    def bind(self, name: str, value) -> Query:
+        return Query(self.sql, self.params | {name: value})
+
+    def interpolate(self) -> str:
+        """The text with literals in place of parameters, for logs; statements themselves bind typed values."""
+        binder, out, at = Binder(lambda n: None, self.params), [], 0
+        for m in _SPEC.finditer(self.sql):
+            if m.lastgroup == "param" and m[0] != "?":
+                out += [self.sql[at : m.start()], binder.x_param(Node("param", {"name": m[0][1:]}), Scope(), False)[0]]
+                at = m.end()
+        return "".join([*out, self.sql[at:]])
+
+
 class Session:
     """Statements against one database, or (without one) against registered frames only."""
 
@@ -49,7 +79,9 @@ class Session:
         self.frames[name] = df
 
     # entry points
-    def execute(self, sql: str, params: dict | None = None, tx: Transaction | None = None) -> Result:
+    def execute(self, sql: str | Query, params: dict | None = None, tx: Transaction | None = None) -> Result:
+        if isinstance(sql, Query):
+            sql, params = sql.sql, sql.params | (params or {})
         return self.run(cached_parse(sql), params or {}, tx)
 
     def sql(self, sql: str, params: dict | None = None) -> DataFrame:
@@ -62,9 +94,10 @@ class Session:
 
     def run(self, s: Node, params: dict, tx: Transaction | None) -> Result:
         if s.kind in ("select", "explain"):
-            text, _ = self.bind(s.query, params, tx)
+            text, _, sums = self.bind(s.query, params, tx)
             if s.kind == "select":
-                return Result(self.spark.sql(text))
+                again = lambda: self.spark.sql(self.bind(s.query, params, tx, promote=True)[0])
+                return Result(self.spark.sql(text), promoted=again if sums else None)
             plan = self.spark.sql(text)._jdf.queryExecution().toString()
             return Result(self.spark.createDataFrame([(plan,)], "`Query Plan` string"))
         if self.db is None:
@@ -123,8 +156,10 @@ class Session:
         state = (tx.state() if tx is not None else self.db.state()) if self.db is not None else {"tables": {}}
         return Table(state["tables"][name]) if name in state["tables"] else None
 
-    def bind(self, q: Node, params: dict, tx: Transaction | None):
+    def bind(self, q: Node, params: dict, tx: Transaction | None, promote: bool = False):
+        """(Spark SQL text, columns with types, whether it has an integer SUM)."""
         binder = self.binder(params, tx)
+        binder.promote = promote
         out = binder.query(q)
         if tx is not None:
             simple = q.body.kind == "core" and q.body.source is not None and q.body.source.kind == "table"
@@ -132,7 +167,7 @@ class Session:
                 if self.db is not None and name in tx.state()["tables"]:
                     key = tx.table(name).key[0]["name"]
                     tx.note_read(name, *(bounds(q.body.where, key, params) if simple and len(binder.used) == 1 else (None, None)))
-        return out
+        return *out, binder.sums
 
     def narrow(self, source: Source, where: Node, binder: Binder, tx: Transaction | None) -> str | None:
         """A key predicate from full-text postings for MATCH, or LIKE with a trigram index, when it is rare enough."""
@@ -176,9 +211,6 @@ class Session:
         return None
 
     # changing
-    def constant(self, e: Node, params: dict, tx: Transaction):
-        return self.binder(params, tx).expr(e, Scope())
-
     def insert(self, s: Node, params: dict, tx: Transaction) -> int:
         t = tx.table(s.table)
         names = s.columns or [c["name"] for c in t.columns]
@@ -186,17 +218,17 @@ class Session:
         if len(set(names)) < len(names):
             raise SqlError("A column is named twice")
         if s.rows is not None:
-            rows = []
+            rows, binder = [], self.binder(params, tx)
             for values in s.rows:
                 if len(values) != len(names):
                     raise SqlError(f"{len(names)} columns, {len(values)} values")
-                rows.append([self.fits(*self.constant(v, params, tx), c) for v, c in zip(values, targets)])
+                rows.append([self.fits(*binder.expr(v, Scope()), c) for v, c in zip(values, targets)])
             cols = ", ".join(tick(n) for n in names)
             numbered = ", ".join(f"({i}, {', '.join(r)})" for i, r in enumerate(rows))
             # in the order of the text, which gives sequences their numbers
             text = f"SELECT {cols} FROM VALUES {numbered} AS v(`__at`, {cols}) ORDER BY `__at`"
         else:
-            text, cols = self.bind(s.query, params, tx)
+            text, cols, _ = self.bind(s.query, params, tx)
             if len(cols) != len(names):
                 raise SqlError(f"{len(names)} columns, {len(cols)} values")
             for (_, kind), c in zip(cols, targets):
@@ -319,11 +351,11 @@ def bounds(where: Node | None, key: str, params: dict) -> tuple:
         if e.kind == "between" and not e.negated:
             parts = [(">=", e.arg, e.low), ("<=", e.arg, e.high)]
         for op, a, b in parts:
-            if b.kind == "column":
+            if b.kind == "column" and a.kind != "column":
                 a, b, op = b, a, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
-            if a.kind != "column" or a.name != key or b.kind not in ("literal", "param"):
+            if a.kind != "column" or a.name != key:
                 continue
-            v = b.value if b.kind == "literal" else params.get(b.name)
+            v = constant(b, params)
             if v is None:
                 continue
             if op in ("=", ">", ">="):
@@ -333,6 +365,20 @@ def bounds(where: Node | None, key: str, params: dict) -> tuple:
     return low, high
 
 
+def constant(e: Node, params: dict):
+    """The value of a literal, a parameter or a typed date or timestamp literal; None if it is something else."""
+    if e.kind == "literal":
+        return e.value
+    if e.kind == "param":
+        return params.get(e.name)
+    if e.kind == "cast" and e.arg.kind == "literal" and e.arg.type == "string" and e.type in ("date", "timestamp"):
+        try:
+            return (datetime.date if e.type == "date" else datetime.datetime).fromisoformat(e.arg.value)
+        except ValueError:
+            return None
+    return None
+
+
 def selective(tree, common: dict[str, int], rows: int) -> bool:
     """Whether postings can be expected to leave few rows: some token of every conjunction is rare."""
     if tree[0] == "token":

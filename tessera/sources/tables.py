@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera"
 
 
+_made: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Staged tables go when the program ends."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or not _made:
+        return
+    try:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _made:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the JVM may be gone already; the folder is then left to its owner
+        return
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

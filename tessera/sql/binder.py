@@ -78,10 +78,12 @@ class Scope:
 class Binder:
     """tables: name -> (view, columns with types). tokenizer_of: (table, column) -> tokenizer name of a full-text index."""
 
-    def __init__(self, tables: Callable[[str], tuple[str, dict[str, str]]], params: dict | None = None, tokenizer_of=None, strict: bool = False, narrow=None):
+    def __init__(self, tables: Callable[[str], tuple[str, dict[str, str]]], params: dict | None = None, tokenizer_of=None, strict: bool = False, narrow=None, promote: bool = False):
         self.tables, self.params, self.strict = tables, params or {}, strict
         self.tokenizer_of = tokenizer_of or (lambda table, column: None)
         self.narrow = narrow or (lambda source, where: None)
+        # integer sums as doubles where they pass 64 bits; `sums` tells whether there is one
+        self.promote, self.sums = promote, False
         self.used: set[str] = set()
         self.ctes: list[dict[str, tuple[str, dict[str, str]]]] = []
         self.n = 0
@@ -455,6 +457,10 @@ class Binder:
         if e.name in ("SUM", "AVG") and kind not in (*NUMERIC, "null"):
             raise SqlError(f"{e.name} needs numbers, not {kind}")
         distinct = "DISTINCT " * (e.distinct and e.name not in ("MIN", "MAX"))
+        if e.name == "SUM" and kind == "int":
+            self.sums = True
+            if self.promote:
+                return f"coalesce(CAST(try_sum({distinct}{text}) AS DOUBLE), sum({distinct}CAST({text} AS DOUBLE)))", "float"
         out = {"COUNT": "int", "AVG": "decimal" if kind == "decimal" else "float"}.get(e.name, kind)
         return f"{e.name.lower()}({distinct}{text})", out
 
