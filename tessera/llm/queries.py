@@ -106,7 +106,7 @@ QUERIES["op5_embedding_dedup"] = op5_embedding_dedup
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("score")
 
 
 QUERIES["op9_decontamination"] = op9_decontamination
@@ -117,3 +117,60 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_substring_dedup"] = op2_substring_dedup
+
+
+# What SQL can express of the operators above, by plain enumeration.
+ORACLES["op2_substring_dedup"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, s, array_to_string(ws[s + 1 : s + 20], ' ') as k from (select doc_id, ws, unnest(range(0, len(ws) - 19)) as s from w where len(ws) >= 20)),
+later as (select doc_id, s from (select *, row_number() over (partition by k order by doc_id, s) as r from win) where r > 1),
+gone as (select distinct doc_id, s + o as i from later, range(20) t(o)),
+words as (select doc_id, unnest(ws) as word, unnest(range(0, len(ws))) as i from w),
+kept as (select doc_id, string_agg(word, ' ' order by i) as text, count(*) as n from words anti join gone using (doc_id, i) group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from w left join kept using (doc_id)"""
+
+_COMPONENTS = r"""
+reach(node, component) as (select distinct a, a from links union select l.b, r.component from reach r join links l on r.node = l.a),
+least as (select node, min(component) as component from reach group by node)"""
+
+ORACLES["op8_minhash_dedup"] = (
+    r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)
+  union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.k = y.k and x.doc_id <> y.doc_id group by all),
+links as (select a, b from common join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),"""
+    + _COMPONENTS
+    + r"""
+select w.doc_id, coalesce(n, 0) as n_shingles, coalesce(component, w.doc_id) as component_id, coalesce(component, w.doc_id) = w.doc_id as kept
+from w left join n using (doc_id) left join least on node = w.doc_id"""
+)
+
+ORACLES["op5_embedding_dedup"] = (
+    r"""
+with recursive e as (select vec_id, cast(embedding as double[]) as v from embeddings where embedding is not null),
+links as (select x.vec_id as a, y.vec_id as b from e x join e y on x.vec_id <> y.vec_id where list_cosine_similarity(x.v, y.v) >= 0.9),"""
+    + _COMPONENTS
+    + r"""
+select vec_id, (select count(*) from links where a = vec_id) as n_links, coalesce(component, vec_id) as component_id, coalesce(component, vec_id) = vec_id as kept
+from embeddings left join least on node = vec_id"""
+)
+
+ORACLES["op9_decontamination"] = r"""
+with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as ws from documents),
+i as (
+  select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as ws,
+    len(regexp_extract_all(regexp_extract(trim(text, chr(10) || ' '), '(?s)^(.*[.?!:\n]\s)', 1), '[\p{L}\p{N}_]+')) as broken from benchmark where text is not null),
+q as (select item_id, ws, len(ws) as n, least(5, len(ws)) as g, case when broken > 0 and broken < len(ws) then broken else greatest(1, cast(round(len(ws) * 2 / 3) as bigint)) end as ask from i where len(ws) > 0),
+sizes as (select distinct g from q),
+dg as (select distinct doc_id, k from (select doc_id, array_to_string(ws[p + 1 : p + g], ' ') as k from (select doc_id, ws, g, unnest(range(0, len(ws) - g + 1)) as p from d, sizes where len(ws) >= g))),
+ig as (select item_id, p, g, array_to_string(ws[p + 1 : p + g], ' ') as k from (select item_id, ws, g, unnest(range(0, n - g + 1)) as p from q)),
+hit as (select distinct doc_id, item_id, p + o as pos from (select doc_id, item_id, p, unnest(range(0, g)) as o from dg join ig using (k))),
+c as (select doc_id, item_id, count(*) as whole, count(*) filter (pos < ask) as asked, any_value(n) as n, any_value(ask) as ask from hit join q using (item_id) group by doc_id, item_id),
+r as (
+  select doc_id, item_id, whole::double / n as overlap, asked::double / ask as question_overlap, case when ask < n then (whole - asked)::double / (n - ask) else 0.0::double end as answer_overlap from c)
+select * from r where overlap >= 0.6 or (question_overlap >= 0.8 and answer_overlap > 0)"""
