@@ -226,7 +226,11 @@ class BiLSTM:
         rng = np.random.default_rng(seed)
         m, v, t = {k: 0 for k in self.p}, {k: 0 for k in self.p}, 0
         for _ in range(epochs):
-            for part in np.array_split(rng.permutation(len(seqs)), max(1, len(seqs) // 32)):
+            # batches of like length, in random order
+            order = rng.permutation(len(seqs))
+            order = [i for at in range(0, len(order), 320) for i in sorted(order[at : at + 320], key=lambda i: len(seqs[i]))]
+            parts = [order[at : at + 32] for at in range(0, len(order), 32)]
+            for part in (parts[i] for i in rng.permutation(len(parts))):
                 x, mask = pad([seqs[i] for i in part])
                 y = np.zeros(mask.shape, "f4")
                 for j, i in enumerate(part):

@@ -64,7 +64,7 @@ select doc_id, size, source_size, target, cast(greatest(least(start + size, take
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048).drop("cut_bytes")
 
 
 QUERIES["op10_token_counts"] = op10_token_counts
