@@ -246,6 +246,41 @@ class Database:
         self.publish(state["version"], state["tables"])
         return stats
 
+    def compact(self, name: str) -> None:
+        """Many small folders to one, range-clustered by key (so key lookups skip files); postings to one segment."""
+        state = self.state()
+        t = self.table(name, state)
+        key = [phys(c) for c in t.key]
+        rows = self.read(t)
+        path = self.write(rows.repartitionByRange(*key).sortWithinPartitions(*key), name)
+        t.state["folders"] = [{"path": path, "ids": [c["id"] for c in t.columns]}]
+        for index in t["indexes"].values():
+            if index["fulltext"]:
+                index["segments"] = [{"path": self.write(self.index_rows(t, index, self.read(t)), name), "gone": []}]
+        self.publish(state["version"], state["tables"])
+
+    def vacuum(self, states: int = 20, seconds: int = 3600) -> int:
+        """Delete data that none of the last `states` states names and that is older than `seconds`; returns how many.
+
+        The age protects folders of transactions that have not committed yet; a reader of an older state fails.
+        """
+        now, used = self.version(), set()
+        for version in range(max(1, now - states + 1), now + 1):
+            state = self.state(version)
+            used.update(state["changes"].values())
+            for t in state["tables"].values():
+                used.update(f["path"] for f in t["folders"])
+                for index in t["indexes"].values():
+                    for segment in index["segments"]:
+                        used.update([segment["path"], *segment["gone"]])
+        gone = 0
+        for table in self.store.names("data"):
+            for name, age in self.store.ages(f"data/{table}"):
+                if f"data/{table}/{name}" not in used and age >= seconds:
+                    self.store.delete(f"data/{table}/{name}")
+                    gone += 1
+        return gone
+
     def begin(self, level: str = "snapshot") -> Transaction:
         return Transaction(self, level)
 

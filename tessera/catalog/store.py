@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +23,10 @@ class Store:
         at = self.path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
 
+    def ages(self, folder: str) -> list[tuple[str, float]]:
+        """Names in a folder with seconds since their last change."""
+        return [(s.getPath().getName(), time.time() - s.getModificationTime() / 1000) for s in self.fs.listStatus(self.path(folder))]
+
     def read(self, name: str) -> dict:
         stream = self.fs.open(self.path(name))
         try:

@@ -193,3 +193,19 @@ def test_random_changes_against_a_dictionary(c):
             assert run(c, f"delete from t where id = {k}") == [int(k in model)]
             model.pop(k, None)
         assert rows(c, "select id, v from t order by id") == sorted(model.items())
+
+
+def test_compact_and_vacuum(c):
+    run(c, "create table t (id int primary key, body string)", "create fulltext index ft on t (body)")
+    for i in range(4):
+        run(c, f"insert into t values ({i}, 'word{i % 2} all'), ({i + 10}, 'x')")
+    run(c, "delete from t where id = 1", "update t set body = 'word9' where id = 2")
+    db, before = c.session("d").db, rows(c, "select * from t order by id")
+    db.compact("t")
+    t = db.table("t")
+    assert len(t["folders"]) == 1 and len(t["indexes"]["ft"]["segments"]) == 1
+    assert rows(c, "select * from t order by id") == before
+    assert db.vacuum(states=1, seconds=3600) == 0 and db.vacuum(states=1, seconds=0) > 5
+    run(c, "analyze t", "insert into t values (99, 'word9 new')")
+    assert rows(c, "select id from t where match(body) against('word9') order by id") == [(2,), (99,)]
+    assert rows(c, "select count(*) from t") == [(8,)]
