@@ -73,6 +73,14 @@ class Session:
     def __init__(self, spark: SparkSession, db: Database | None = None, strict: bool = False):
         self.spark, self.db, self.strict = spark, db, strict
         self.frames: dict[str, DataFrame] = {}
+        self.made: list[str] = []
+
+    def view(self, df: DataFrame) -> str:
+        """A view for the statement at hand; plans hold what it names, so it goes when the statement is planned."""
+        name = f"t_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(name)
+        self.made.append(name)
+        return name
 
     def register(self, name: str, df: DataFrame) -> None:
         """Make a frame readable under a name."""
@@ -93,11 +101,26 @@ class Session:
         return lambda params=None, tx=None: self.run(tree, params or {}, tx)
 
     def run(self, s: Node, params: dict, tx: Transaction | None) -> Result:
+        try:
+            return self.run_one(s, params, tx)
+        finally:
+            self.drop_views()
+
+    def drop_views(self) -> None:
+        while self.made:
+            self.spark.catalog.dropTempView(self.made.pop())
+
+    def planned(self, q: Node, params: dict, tx: Transaction | None) -> DataFrame:
+        try:
+            return self.spark.sql(self.bind(q, params, tx, promote=True)[0])
+        finally:
+            self.drop_views()
+
+    def run_one(self, s: Node, params: dict, tx: Transaction | None) -> Result:
         if s.kind in ("select", "explain"):
             text, _, sums = self.bind(s.query, params, tx)
             if s.kind == "select":
-                again = lambda: self.spark.sql(self.bind(s.query, params, tx, promote=True)[0])
-                return Result(self.spark.sql(text), promoted=again if sums else None)
+                return Result(self.spark.sql(text), promoted=(lambda: self.planned(s.query, params, tx)) if sums else None)
             plan = self.spark.sql(text)._jdf.queryExecution().toString()
             return Result(self.spark.createDataFrame([(plan,)], "`Query Plan` string"))
         if self.db is None:
@@ -132,9 +155,7 @@ class Session:
                     types = {c: kind_of(t) for c, t in df.dtypes}
                 else:
                     raise SqlError(f"Table not found: {name}")
-                label = f"t_{uuid.uuid4().hex}"
-                df.createOrReplaceTempView(label)
-                seen[name] = (tick(label), types)
+                seen[name] = (tick(self.view(df)), types)
             return seen[name]
 
         return view
@@ -204,8 +225,7 @@ class Session:
                     hits = fts.resolve(posts, tree, "__key").select("__key.*")
                 else:
                     hits = fts.resolve(posts, tree, phys(t.key[0]))
-                view = f"t_{uuid.uuid4().hex}"
-                hits.createOrReplaceTempView(view)
+                view = self.view(hits)
                 keys = ", ".join(f"{tick(source.alias)}.{tick(c['name'])}" for c in t.key)
                 return f"({keys}) IN (SELECT {', '.join(phys(c) for c in t.key)} FROM {view})"
         return None

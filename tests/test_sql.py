@@ -138,6 +138,11 @@ def test_parameters(s):
     assert [run({"v": v}).rows()[0][0] for v in (10, 30, None)] == [2, 3, 0]
 
 
+def test_views_do_not_stay(spark, s):
+    s.sql("select count(*) from t join l on t.id = l.id where t.id in (select id from r)").collect()
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("t_")]
+
+
 def test_explain(s):
     plan = s.sql("explain select k, count(*) from t where v > 5 group by k").first()[0]
     assert "Physical Plan" in plan and "Aggregate" in plan
