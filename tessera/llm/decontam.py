@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.lean import lean
+from tessera.llm.lean import arrow
 
 SEGMENT = 64
 BLOCK = 2
@@ -238,7 +238,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for index in indexes(benchmark):
-        part = source.mapInArrow(lean(run_with(index)), schema)
+        part = source.transform(arrow, run_with(index), schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -256,5 +256,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for index in indexes(benchmark):
-        docs = docs.mapInArrow(lean(run_with(index, docs.columns.index("text"))), docs.schema)
+        docs = docs.transform(arrow, run_with(index, docs.columns.index("text")), docs.schema)
     return docs

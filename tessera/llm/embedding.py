@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.lean import lean
+from tessera.llm.lean import arrow
 from tessera.llm.links import components
 from tessera.sources.tables import staged
 
@@ -146,7 +146,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9) -> DataFrame:
                     ["entry", "n", "x", "cell", "walk"],
                 )
 
-    placed = staged(entries.select("v", "entry", "n").mapInArrow(lean(place), "entry bigint, n bigint, x binary, cell bigint, walk array<bigint>"), "vector-cells")
+    placed = staged(entries.select("v", "entry", "n").transform(arrow, place, "entry bigint, n bigint, x binary, cell bigint, walk array<bigint>"), "vector-cells")
     # cells: at most k*k rows, whatever the input
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     own = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("entry"), F.col("blocks")).alias("block"), "entry", "x", "n")
@@ -185,7 +185,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9) -> DataFrame:
             yield flush(at, queue)
 
     work = own.unionByName(asks).repartition("cell", "block").sortWithinPartitions("cell", "block", F.col("n").desc())
-    found = staged(work.mapInArrow(lean(search), "a bigint, b bigint, n bigint"), "vector-links")
+    found = staged(work.transform(arrow, search, "a bigint, b bigint, n bigint"), "vector-links")
     counts = found.where("b = -1").groupBy(F.col("a").alias("entry")).agg(F.sum("n").alias("links"))
     names = components(found.where("b <> -1").select("a", "b"))
     # an entry's component is the least id of its entries' ids

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.lean import lean
+from tessera.llm.lean import arrow
 
 PATH_DIM, WORD_DIM, PLAIN = 64, 24, 8
 DIM = PATH_DIM + WORD_DIM + PLAIN
@@ -390,4 +390,4 @@ def extract(df: DataFrame) -> DataFrame:
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), "i8")], ["page_id", "url", "text", "n_chars"]
                 )
 
-    return df.select("page_id", "url", "html").mapInArrow(lean(run), f"page_id {key}, url string, text string, n_chars bigint")
+    return df.select("page_id", "url", "html").transform(arrow, run, f"page_id {key}, url string, text string, n_chars bigint")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.lean import lean
+from tessera.llm.lean import arrow
 
 DIM = 1024
 UND = "und"
@@ -117,7 +117,7 @@ def train(df: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(range(DIM), "i4"), pa.array(vector)], ["lang", "i", "v"])
 
     rows = df.where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull()).select("text", "lang")
-    sums = rows.mapInArrow(lean(bundle), "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+    sums = rows.transform(arrow, bundle, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
     langs = sorted({r.lang for r in sums})
     protos = np.zeros((len(langs), DIM))
     for r in sums:
@@ -147,7 +147,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]
                         found[i], scores[i] = langs[best], float(min(max(row[best], 0), 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found), pa.array(scores)], [*part.schema.names[:-1], *names])
 
-    return df.select(*keep, F.col("text").alias("__text")).mapInArrow(lean(score), schema)
+    return df.select(*keep, F.col("text").alias("__text")).transform(arrow, score, schema)
 
 
 def identify(df: DataFrame) -> DataFrame:

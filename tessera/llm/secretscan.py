@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.lean import lean
+from tessera.llm.lean import arrow
 
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -264,7 +264,7 @@ def scan(df: DataFrame) -> DataFrame:
                 )
 
     schema = f"doc_id {key}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_cnn bigint"
-    return df.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
+    return df.select("doc_id", F.col("text").cast("string").alias("text")).transform(arrow, run, schema)
 
 
 def masked(raw: bytes, spans: list[tuple[int, int, int]], mark: bytes = b"[SECRET]") -> bytes:
@@ -294,4 +294,4 @@ def redact(df: DataFrame) -> DataFrame:
                     part = part.set_column(at_text, "text", pa.array(new, part.schema.field(at_text).type))
                 yield part
 
-    return df.mapInArrow(lean(run), df.schema)
+    return df.transform(arrow, run, df.schema)

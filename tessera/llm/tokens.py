@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.lean import lean
+from tessera.llm.lean import arrow
 
 CACHE = 1_000_000
 _counters: dict[str, ChunkCounter] = {}
@@ -123,7 +123,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 2048, prefixes: bool = F
                     names += ["ends", "totals"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return df.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
+    return df.select("doc_id", F.col("text").cast("string").alias("text")).transform(arrow, run, schema)
 
 
 def check_splits(path: str, texts: list[str]) -> bool:
