@@ -30,14 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.lean import lean
-from tessera.llm.minhash import mix64
+from tessera.llm.lean import arrow
+from tessera.llm.words import mix64, word_hashes
 from tessera.sources.tables import staged
 
 WINDOW, KMER = 20, 6
@@ -66,11 +65,16 @@ class Words:
     """A text's words, with hashes of any range of them."""
 
     def __init__(self, raw: bytes | None):
-        self.words = (raw or b"").split()
-        self.h = np.fromiter(map(xxhash.xxh64_intdigest, self.words), "u8", len(self.words))
+        self.raw = raw or b""
+        self.h = word_hashes(self.raw)
 
     def __len__(self) -> int:
-        return len(self.words)
+        return len(self.h)
+
+    def text(self, keep: np.ndarray) -> bytes:
+        """The kept words, joined by one space."""
+        words = self.raw.split()
+        return b" ".join(words if keep.all() else [w for w, k in zip(words, keep.tolist()) if k])
 
     def ranges(self, start: np.ndarray, end: np.ndarray, both: bool = True) -> list[np.ndarray]:
         """One or two independent 64-bit hashes of the words [start, end)."""
@@ -155,7 +159,7 @@ def packed(docs: DataFrame) -> DataFrame:
             for ids, texts in slices(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([None if t is None else zip_.compress(t) for t in texts], pa.binary())], ["doc", "z"])
 
-    return docs.mapInArrow(lean(run), "doc bigint, z binary")
+    return docs.transform(arrow, run, "doc bigint, z binary")
 
 
 def read_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +205,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(drop, own, 1)
             np.add.at(drop, own + WINDOW, -1)
             keep = np.cumsum(drop)[:-1] == 0
-            kept = b" ".join(words.words if keep.all() else [w for w, k in zip(words.words, keep) if k])
+            kept = words.text(keep)
             for c, v in zip(cols, (batch.column(0)[i].as_py(), len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept)):
                 c.append(v)
         yield pa.RecordBatch.from_arrays(
@@ -214,11 +218,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the remaining words, joined by one space)."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("doc"), F.col("text").cast("string").alias("text"))
 
-    anchors = d.mapInArrow(lean(count_anchors), "anchor bigint, low int, high int, n int").groupBy("anchor")
+    anchors = d.transform(arrow, count_anchors, "anchor bigint, low int, high int, n int").groupBy("anchor")
     anchors = anchors.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("n > 1")
     anchors = staged(anchors.select("anchor", (F.col("low") != F.col("high")).alias("branches")), "anchors")
 
-    edges = d.mapInArrow(lean(list_edges), "anchor bigint, tag int, doc bigint, start int, n int").join(anchors, "anchor")
+    edges = d.transform(arrow, list_edges, "anchor bigint, tag int, doc bigint, start int, n int").join(anchors, "anchor")
     edges = staged(edges, "edges")
     first = staged(edges.groupBy("anchor", "tag").agg(F.min(F.struct("doc", "start")).alias("f")), "first")
     placed = staged(edges.join(first, ["anchor", "tag"]).select("doc", "start", "n", "branches", F.col("f.doc").alias("src"), F.col("f.start").alias("src_start")), "placed")
@@ -240,7 +244,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     places = place(singles, 0, "doc", "start", "size", zero, zero).unionByName(place(spans, 1, "doc", "start", "size", "src", "src_start")).unionByName(place(wanted, 2, "doc", "start", "size", zero, zero))
     places = places.groupBy("doc").agg(F.collect_list("p").alias("places"))
     read = packed(d).where("z is not null").join(places, "doc").select("doc", "z", "places")
-    read = staged(read.mapInArrow(lean(read_places), "kind bigint, doc bigint, start bigint, size bigint, src bigint, src_start bigint, h1 bigint, h2 bigint"), "places")
+    read = staged(read.transform(arrow, read_places, "kind bigint, doc bigint, start bigint, size bigint, src bigint, src_start bigint, h1 bigint, h2 bigint"), "places")
 
     there = read.where("kind = 2").select(F.col("doc").alias("src"), F.col("start").alias("src_start"), "size", "h1", "h2").distinct()
     verified = read.where("kind = 1").join(there, ["src", "src_start", "size", "h1", "h2"]).select("doc", "start", "size", "h1", "h2")
@@ -251,5 +255,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     ranges = verified.unionByName(again).groupBy("doc").agg(F.collect_set(F.struct("start", "size", "h1", "h2")).alias("ranges"))
     ranges = staged(ranges, "ranges")
     out = packed(d).join(ranges, "doc", "left").select("doc", "z", "ranges")
-    out = out.mapInArrow(lean(cut), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    out = out.transform(arrow, cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NONE, F.col("doc_id")))

@@ -30,8 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.lean import lean
+from tessera.llm.lean import arrow
 from tessera.llm.links import components
+from tessera.llm.words import mix64, word_hashes
 from tessera.sources.tables import staged
 
 SHINGLE = 5
@@ -50,21 +51,9 @@ _xor = _rng.integers(0, 2**63, max(PERMS, FINE), dtype="u8")
 _place = _rng.integers(1, 2**63, SHINGLE, dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
-def mix64(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def words_of(text: bytes | None) -> np.ndarray:
-    """64-bit hashes of a text's words."""
-    words = (text or b"").lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
-
-
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    w = words_of(text)
+    w = word_hashes((text or b"").lower())
     if not len(w):
         return w
     if len(w) < SHINGLE:
@@ -124,7 +113,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "set_id", "sig", "packed", "fine"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, set_id binary, sig binary, packed binary, fine binary")
+    return docs.select("doc_id", F.col("text").cast("string")).transform(arrow, run, "doc_id bigint, n_shingles bigint, set_id binary, sig binary, packed binary, fine binary")
 
 
 def forest(classes: DataFrame, near: bool) -> DataFrame:
@@ -177,7 +166,7 @@ def forest(classes: DataFrame, near: bool) -> DataFrame:
     trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * width + 1, F.lit(width)).alias("key"))))
     rows = classes.select(trees.alias("t"), "doc_id", "packed", "comp").select("t.tree", "t.key", "doc_id", "packed", "comp")
     rows = rows.repartitionByRange("tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-    return rows.mapInArrow(lean(run), "a bigint, b bigint, agree bigint")
+    return rows.transform(arrow, run, "a bigint, b bigint, agree bigint")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -199,10 +188,10 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = [shingles(unzip.decompress(z)).tobytes() for z in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    texts = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(press), "doc_id bigint, z binary")
+    texts = docs.select("doc_id", F.col("text").cast("string")).transform(arrow, press, "doc_id bigint, z binary")
     # the number of candidates has no bound, so they are never broadcast; the aggregate keeps the join's partitioning
     texts = texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("z").alias("h")).agg(F.first("z").alias("z"))
-    return texts.select("doc_id", "z").mapInArrow(lean(run), "doc_id bigint, shingles binary")
+    return texts.select("doc_id", "z").transform(arrow, run, "doc_id bigint, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,7 +213,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").transform(arrow, run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
