@@ -5,11 +5,12 @@ Documents with equal sets are one class, and classes alone are searched. Each cl
 minima; a tree sorts all classes by its signature, so that those with the longest common prefix are neighbours. In a
 region, which shares the first LEAST minima, every class is a candidate with the next WINDOW ones behind it: all pairs
 in a small region, the deepest prefixes in a dense one, where the sort goes on by the later minima. Candidates whose
-packed minima (two bits each; in the second round four bits of more minima) agree four standard deviations too seldom are let go; links are confirmed
+packed minima (two bits each; later four bits of more minima) agree four standard deviations too seldom are let go; links are confirmed
 on the full sets of 64-bit shingle hashes.
 
-Two rounds keep large groups linear: the first confirms, for each class, the NEAR candidates that agree best; the second
-confirms all candidates whose ends are still in different components. Order is by range partitioning on the
+Three rounds keep large groups linear: the first confirms, for each class, the NEAR candidates that agree best; the second
+does so with NEAR_WIDE among classes still in different components, with finer sketches and over WIDE neighbours; the third confirms
+all candidates whose ends are still in different components. Order is by range partitioning on the
 signature, so a dense region is cut where its prefixes get longer, and equal signatures by id; the pairs that
 a cut separates in one tree meet in the others. A pair at similarity 0.75 shares a region in some tree with
 probability 1 - (1 - 0.75**3)**16 > 0.9998, a more similar one with more.
@@ -38,11 +39,11 @@ from tessera.sources.tables import staged
 SHINGLE = 5
 TREES, DEPTH, LEAST = 16, 6, 3
 PERMS = TREES * DEPTH
-WINDOW = 64
-NEAR = 2
+WINDOW, WIDE = 64, 1024
+NEAR, NEAR_WIDE = 2, 16
 #: Of PERMS packed minima, those that agree: 0.8125 of 96 at similarity 0.75, less four standard deviations.
 AGREE = 63
-#: The same for the second round's FINE minima of four bits: 0.7656 of 256, less four standard deviations.
+#: The same for the later rounds' FINE minima of four bits: 0.7656 of 256, less four standard deviations.
 FINE, AGREE_FINE = 256, 169
 
 _rng = np.random.default_rng(20)
@@ -116,7 +117,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).transform(arrow, run, "doc_id bigint, n_shingles bigint, set_id binary, sig binary, packed binary, fine binary")
 
 
-def forest(classes: DataFrame, near: bool) -> DataFrame:
+def forest(classes: DataFrame, near: bool, fine: bool, window: int) -> DataFrame:
     """Candidates (a, b, agree) from the sorted orders of `classes` (doc_id, sig, packed, comp), both ends' comp different.
 
     near: for each class a only the candidate of each tree that agrees best; else all, once.
@@ -142,13 +143,13 @@ def forest(classes: DataFrame, near: bool) -> DataFrame:
             region = np.cumsum(new)
             best, partner, out = np.zeros(len(ids), "i8"), np.zeros(len(ids), "i8"), []
             cur = np.arange(max(first, 1), len(ids))
-            for lag in range(1, WINDOW + 1):
+            for lag in range(1, window + 1):
                 cur = cur[cur >= lag]
                 cur = cur[region[cur] == region[cur - lag]]
                 if not len(cur):
                     break
-                agree = agreeing(packed[cur] ^ packed[cur - lag], not near)
-                ok = (agree >= (AGREE if near else AGREE_FINE)) & (comp[cur] != comp[cur - lag])
+                agree = agreeing(packed[cur] ^ packed[cur - lag], fine)
+                ok = (agree >= (AGREE_FINE if fine else AGREE)) & (comp[cur] != comp[cur - lag])
                 i, j, agree = cur[ok], cur[ok] - lag, agree[ok]
                 if near:
                     for u, v in ((i, j), (j, i)):
@@ -156,7 +157,7 @@ def forest(classes: DataFrame, near: bool) -> DataFrame:
                         best[u[more]], partner[u[more]] = agree[more], ids[v[more]]
                 else:
                     out.append(np.stack((ids[i], ids[j], agree)))
-            tail = [r[-WINDOW:] for r in rows]
+            tail = [r[-window:] for r in rows]
             if near:
                 out = [np.stack((ids, partner, best))[:, best > 0]]
             if out:
@@ -216,6 +217,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").transform(arrow, run, "a bigint, b bigint")
 
 
+def partners(candidates: DataFrame, most: int) -> DataFrame:
+    """a, best: up to `most` candidates of each class that agree best."""
+    return candidates.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "b")), False), 1, most).alias("best"))
+
+
+def pairs_of(candidates: DataFrame) -> DataFrame:
+    return candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def apart(classes: DataFrame, known: DataFrame) -> DataFrame:
+    """The classes with their components so far and their fine sketches."""
+    out = classes.drop("comp", "packed").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return out.withColumn("comp", F.coalesce("component", "doc_id")).drop("component").withColumnRenamed("fine", "packed")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     rows = staged(signatures(docs), "minhash")
@@ -223,25 +239,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("sig", "packed", "fine")])
     classes = staged(classes.withColumn("comp", F.monotonically_increasing_id()), "minhash-classes")
 
-    # up to NEAR partners of each class that agree best
-    near = forest(classes, True).groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "b")), False), 1, NEAR).alias("best"))
-    near = staged(near, "minhash-near")
+    near = staged(partners(forest(classes, True, False, WINDOW), NEAR), "minhash-near")
     ids = near.select(F.col("a").alias("doc_id"))
     sets = staged(sets_of(docs, ids), "minhash-sets")
-    pairs = near.select("a", F.explode("best.b").alias("b"))
-    links = staged(confirmed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), sets, percent), "minhash-links")
-    first = staged(components(links), "minhash-first")
-    open_ = classes.join(ids.hint("merge"), "doc_id", "left_semi").drop("comp").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    open_ = open_.withColumn("comp", F.coalesce("component", "doc_id")).drop("component", "packed").withColumnRenamed("fine", "packed")
-    rest = forest(open_, False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    more = staged(confirmed(rest, sets, percent), "minhash-more")
+    links = staged(confirmed(pairs_of(near.select("a", F.explode("best.b").alias("b"))), sets, percent), "minhash-links")
+    known = staged(components(links), "minhash-first")
+
+    # the same among classes that are still apart, with finer sketches and over wide stretches of dense regions
+    again = forest(apart(classes.join(ids.hint("merge"), "doc_id", "left_semi"), known), True, True, WIDE)
+    links = staged(confirmed(pairs_of(partners(again, NEAR_WIDE).select("a", F.explode("best.b").alias("b"))), sets, percent), "minhash-links")
+    stars = lambda k: k.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    known = staged(components(stars(known).union(links)), "minhash-second")
+
+    # and all other candidates between what is still apart
+    rest = forest(apart(classes.join(ids.hint("merge"), "doc_id", "left_semi"), known), False, True, WINDOW)
+    more = staged(confirmed(pairs_of(rest), sets, percent), "minhash-more")
 
     same = full.select("set_id", "doc_id").join(classes.select("set_id", F.col("doc_id").alias("rep")), "set_id")
     # a class's other ids hang on its first; a doc_id with several texts brings its classes together
     shared = full.groupBy("doc_id").agg(F.count_distinct("set_id").alias("n")).where("n > 1").select("doc_id")
     bridge = same.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    every = staged(components(known.union(more).union(bridge)), "minhash-all")
+    every = staged(components(stars(known).union(more).union(bridge)), "minhash-all")
     labels = classes.select("set_id", F.col("doc_id").alias("node")).join(every, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
