@@ -2,18 +2,18 @@
 
 A document's set holds its distinct shingles of five words (A-Z lower-cased; fewer words: the whole sequence is one).
 Documents with equal sets are one class, and classes alone are searched. Each class has TREES signatures of DEPTH
-minima; a tree sorts all classes by its signature, so that those with the longest common prefix are neighbours. In a
-region, which shares the first LEAST minima, every class is a candidate with the next WINDOW ones behind it: all pairs
-in a small region, the deepest prefixes in a dense one, where the sort goes on by the later minima. Candidates whose
-packed minima (two bits each; later four bits of more minima) agree four standard deviations too seldom are let go; links are confirmed
-on the full sets of 64-bit shingle hashes.
-
-Three rounds keep large groups linear: the first confirms, for each class, the NEAR candidates that agree best; the second
-does so with NEAR_WIDE among classes still in different components, with finer sketches and over WIDE neighbours; the third confirms
-all candidates whose ends are still in different components. Order is by range partitioning on the
-signature, so a dense region is cut where its prefixes get longer, and equal signatures by id; the pairs that
-a cut separates in one tree meet in the others. A pair at similarity 0.75 shares a region in some tree with
-probability 1 - (1 - 0.75**3)**16 > 0.9998, a more similar one with more.
+minima. Classes that share the first LEAST minima of a tree are a region, and all pairs in a region are candidates.
+Candidates whose packed minima (two bits each; later four bits of more minima) agree four standard deviations too seldom
+are let go; links are confirmed on the full sets of 64-bit shingle hashes.
+
+Three rounds keep large groups linear. The first two only join early what is easily found: a tree sorts the classes by
+its signature, so that those with the longest common prefix are neighbours; the first round confirms, for each class, the
+NEAR candidates that agree best among WINDOW neighbours, the second the NEAR_WIDE best ones with finer sketches among WIDE
+neighbours in different components. The third is whole: in every region, whatever its size, it compares all pairs of
+classes that are still in different components. A region is cut into blocks, and pairs of blocks are spread over tasks;
+classes of a region's largest component are not compared with each other. So regions of one component cost nothing, and
+only a large region of many components, which no round could join, costs its pairs. A pair at similarity 0.75 shares a
+region in some tree with probability 1 - (1 - 0.75**3)**16 > 0.9998, a more similar one with more.
 
 Defined cases: null text, or text without a word, has an empty set and links with nothing; rows that share a doc_id
 are one node (links of either count) and each returns its own n_shingles; a null doc_id keeps a null component;
@@ -23,6 +23,7 @@ empty tables give no rows; only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,10 @@ NEAR, NEAR_WIDE = 2, 16
 AGREE = 63
 #: The same for the later rounds' FINE minima of four bits: 0.7656 of 256, less four standard deviations.
 FINE, AGREE_FINE = 256, 169
+#: Lowest bits of FINE minima that differ, looked at first: 0.125 of 256 at similarity 0.75, and five standard deviations.
+DIFFER = 58
+#: Classes of a block in the whole comparison of a region.
+BLOCK = 2048
 
 _rng = np.random.default_rng(20)
 _mul = _rng.integers(1, 2**63, max(PERMS, FINE), dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -170,6 +175,65 @@ def forest(classes: DataFrame, near: bool, fine: bool, window: int) -> DataFrame
     return rows.transform(arrow, run, "a bigint, b bigint, agree bigint")
 
 
+def regions(classes: DataFrame) -> DataFrame:
+    """Candidates (a, b): all pairs of `classes` (doc_id, sig, packed fine, comp) that share a region, both ends' comp different."""
+    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * DEPTH * 4 + 1, F.lit(LEAST * 4)))))
+    rows = classes.select(trees.alias("region"), "doc_id", "packed", "comp")
+    sizes = rows.groupBy("region", "comp").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    sizes = sizes.where(F.col("n") > F.col("top.n"))
+    sizes = sizes.select("region", F.col("top.comp").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("others"), F.ceil(F.col("top.n") / BLOCK).alias("tops"))
+    rows = rows.join(sizes, "region").withColumn("h", F.xxhash64("doc_id", "packed"))
+    # blocks 0 .. others - 1, then those of the largest component, which meet the others only
+    own, one, zero = F.pmod("h", "others"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    met = F.transform(F.sequence(zero, F.col("others") + F.col("tops") - one), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own > k).alias("side")))
+    top = F.transform(F.sequence(zero, F.col("others") - one), lambda k: F.struct(k.alias("i"), (F.col("others") + F.pmod("h", "tops")).alias("j"), F.lit(True).alias("side")))
+    rows = rows.select("region", F.explode(F.when(F.col("comp") == F.col("top"), top).otherwise(met)).alias("m"), "doc_id", "packed", "comp")
+    rows = rows.select("region", "m.i", "m.j", "m.side", "doc_id", "packed", "comp").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
+
+    def whole(group, sided, ids, packed, comp, side) -> Iterator[pa.RecordBatch]:
+        """All pairs of equal group: every row meets those behind it, whatever their number."""
+        low = packed & np.uint64(0x1111111111111111)
+        low = low[:, 0::4] | low[:, 1::4] << np.uint64(1) | low[:, 2::4] << np.uint64(2) | low[:, 3::4] << np.uint64(3)
+        out, held, cur, lag = [], 0, np.arange(len(ids)), 0
+        while len(cur):
+            lag += 1
+            cur = cur[cur >= lag]
+            cur = cur[group[cur] == group[cur - lag]]
+            i = cur[(comp[cur] != comp[cur - lag]) & (~sided[cur] | (side[cur] != side[cur - lag]))]
+            i = i[np.bitwise_count(low[i] ^ low[i - lag]).sum(1, dtype="i8") <= DIFFER]
+            if len(i):
+                i = i[agreeing((packed[i] ^ packed[i - lag]).view("u1"), True) >= AGREE_FINE]
+                out.append(np.stack((np.maximum(ids[i], ids[i - lag]), np.minimum(ids[i], ids[i - lag]))))
+                held += len(i)
+            if out and (held > 500_000 or not len(cur)):
+                pairs = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], ["a", "b"])
+                out, held = [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in chain(batches, (None,)):
+            rows = tail
+            if batch is not None:
+                n = batch.num_rows
+                if not n:
+                    continue
+                rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 6)]
+                rows.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8").reshape(n, -1))
+                rows = rows if tail is None else [np.concatenate((a, b)) for a, b in zip(tail, rows)]
+            if rows is None:
+                return
+            region, i, j, side, ids, comp, packed = rows
+            new = np.ones(len(ids), bool)
+            new[1:] = (region[1:] != region[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            # the last group may go on in the next batch
+            at = len(ids) if batch is None else int(np.flatnonzero(new)[-1])
+            yield from whole(np.cumsum(new)[:at], (i != j)[:at], ids[:at], packed[:at], comp[:at], side[:at])
+            tail = [r[at:] for r in rows]
+
+    return rows.transform(arrow, run, "a bigint, b bigint")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, shingles (bytes) for the documents in `ids`; repeated rows once. Texts travel compressed."""
 
@@ -251,9 +315,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     stars = lambda k: k.select(F.col("node").alias("a"), F.col("component").alias("b"))
     known = staged(components(stars(known).union(links)), "minhash-second")
 
-    # and all other candidates between what is still apart
-    rest = forest(apart(classes.join(ids.hint("merge"), "doc_id", "left_semi"), known), False, True, WINDOW)
-    more = staged(confirmed(pairs_of(rest), sets, percent), "minhash-more")
+    # and all pairs of every region between what is still apart, of all classes
+    rest = staged(regions(apart(classes, known)).distinct(), "minhash-rest")
+    ends = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct()
+    late = staged(ends.join(ids.hint("merge"), "doc_id", "left_anti"), "minhash-late")
+    if not late.isEmpty():
+        sets = sets.union(staged(sets_of(docs, late), "minhash-sets"))
+    more = staged(confirmed(rest, sets, percent), "minhash-more")
 
     same = full.select("set_id", "doc_id").join(classes.select("set_id", F.col("doc_id").alias("rep")), "set_id")
     # a class's other ids hang on its first; a doc_id with several texts brings its classes together

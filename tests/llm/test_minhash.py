@@ -90,3 +90,23 @@ def test_components(spark):
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
     assert out == {n: find(n) for e in edges for n in e if e[0] != e[1]}
+
+
+def test_whole_regions(spark, monkeypatch):
+    """Families of different texts over one template, larger than any window: pairs inside them are all found."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"y{rng.randrange(10**7)}" for _ in range(n)]
+    base, rows = [f"t{i}" for i in range(99)], []
+    # any two texts are at 0.69, the two of a pair at 0.77
+    for pair in range(150):
+        more = fresh(6)
+        for _ in range(2):
+            rows.append((len(rows) * 7919 % 10007, " ".join(base + more + fresh(15))))
+    monkeypatch.setattr(minhash, "WINDOW", 1)
+    monkeypatch.setattr(minhash, "WIDE", 1)
+    monkeypatch.setattr(minhash, "NEAR", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 40, raising=False)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    assert sum(not r[3] for r in want) > 100
+    assert got(minhash.near_duplicates(df)) == want
