@@ -6,7 +6,8 @@ trigrams; a language's prototype bundles all its training texts. A text gets the
 highest cosine with it. Letters are lower-cased; whatever is no letter (Unicode L*) is one word break.
 
 Training sums integers, so the prototypes do not depend on the order of rows. They go to the driver: languages x DIM
-numbers, whatever the corpus holds. Memory per worker: one slice of texts and the vectors of its distinct trigrams.
+numbers, whatever the corpus holds. Memory per worker: one slice of texts, the vectors of its distinct trigrams and those
+of all letters met (DIM bytes each; every letter has its own).
 
 Defined cases: null text or text without a letter is `und`, score 0; equal cosines go to the first language in sorted
 order; without training rows everything is `und`; null lang is not trained on; a null doc_id counts as empty text in
@@ -27,8 +28,8 @@ from tessera.llm.lean import arrow
 DIM = 1024
 UND = "und"
 SLICE = 192
-#: Letters that a worker tells apart; later ones share places.
-LETTERS = 1 << 10
+#: Bits of a letter's place; there are fewer letters than that in all of Unicode.
+BITS = 20
 
 
 class Codes:
@@ -40,7 +41,7 @@ class Codes:
         is_letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         self.place = np.where(is_letter, -1, 0).astype("i4")
         self.used = 1
-        self.vectors = np.zeros((LETTERS, DIM), "i1")
+        self.vectors = np.zeros((1 << 10, DIM), "i1")
         self.vectors[0] = self.draw(32)
 
     @classmethod
@@ -61,11 +62,11 @@ class Codes:
         places = self.place[codes]
         if (places < 0).any():
             for code in np.unique(codes[places < 0]).tolist():
-                at = self.used if self.used < LETTERS else 1 + code % (LETTERS - 1)
-                if self.used < LETTERS:
-                    self.vectors[at] = self.draw(code)
-                    self.used += 1
-                self.place[code] = at
+                if self.used == len(self.vectors):
+                    self.vectors = np.concatenate((self.vectors, np.zeros_like(self.vectors)))
+                self.vectors[self.used] = self.draw(code)
+                self.place[code] = self.used
+                self.used += 1
             places = self.place[codes]
         keep = places > 0
         if not keep.any():
@@ -74,10 +75,11 @@ class Codes:
         places = np.concatenate(([0], places[keep], [0]))
         if places[-2] == 0:
             places = places[:-1]
-        return np.unique((places[:-2] << 20) | (places[1:-1] << 10) | places[2:], return_counts=True)
+        places = places.astype("i8")
+        return np.unique((places[:-2] << 2 * BITS) | (places[1:-1] << BITS) | places[2:], return_counts=True)
 
     def bind(self, grams: np.ndarray) -> np.ndarray:
-        a, b, c = (self.vectors[(grams >> s) & (LETTERS - 1)] for s in (20, 10, 0))
+        a, b, c = (self.vectors[(grams >> s) & ((1 << BITS) - 1)] for s in (2 * BITS, BITS, 0))
         return (np.roll(a, 2, 1) * np.roll(b, 1, 1) * c).astype("f4")
 
     def bundle(self, rows: list[list[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:

@@ -40,3 +40,16 @@ def test_bundling_is_the_sum_of_bound_trigrams():
         a, b, c = (langid.Codes.draw(ord(ch)).astype(int) for ch in letters[i : i + 3])
         want += np.roll(a, 2) * np.roll(b, 1) * c
     assert (codes.bundle([[codes.trigrams(text)]])[0] == want).all()
+
+
+def test_every_letter_has_its_own_vector():
+    import numpy as np
+
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 3000))) + " слово"
+    codes, late = langid.Codes(), langid.Codes()
+    got = codes.bundle([[codes.trigrams(text)]])[0]
+    late.trigrams("слово" + "".join(map(chr, range(0xAC00, 0xAC00 + 2000))))
+    letters = f" {text} "
+    a, b, c = (np.stack([langid.Codes.draw(ord(ch)).astype("i4") for ch in letters[i : len(letters) - 2 + i]]) for i in range(3))
+    assert (got == (np.roll(a, 2, 1) * np.roll(b, 1, 1) * c).sum(0)).all()
+    assert (late.bundle([[late.trigrams(text)]])[0] == got).all()
