@@ -10,8 +10,10 @@ query of its distinct words; all segments that score THRESHOLD or more are retri
   bring in a segment, and only blocks of BLOCK segments that the other lists reach are looked at;
 * a block is read only if the block maxima there, with what the lists before the pivot can add, reach the threshold.
 
-Retrieved items are verified on their words: a word counts if a shingle of five words around it is in the passage.
-Question and answer are the item before and after its last sentence break (or two thirds of its words). A document
+Items are judged on their words: a word counts if a shingle of five words around it is in the document, wherever that is.
+A second inverted index, of all shingles of the items, gives these words for every item that shares a shingle with a
+document, so an item that no single passage brings to THRESHOLD (a question with the start of a long answer, or parts in
+several places) is judged like any other. The score is the best of the document's passages. Question and answer are the item before and after its last sentence break (or two thirds of its words). A document
 holds an item if OVERLAP of the item's words are covered, or QUESTION of its question's and any of its answer's.
 
 The benchmark is read by the driver in blocks of at most BYTES of text; each block's index goes to all executors and the
@@ -35,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.lean import arrow
+from tessera.llm.words import mix64
 
 SEGMENT = 64
 BLOCK = 2
@@ -73,6 +76,7 @@ class Index:
                     seg.append(s)
                     impact.append(x / total)
         self.owner = np.array(self.owner, "i8")
+        self.index_shingles()
         order = np.lexsort((seg, term))
         self.term, self.seg, self.impact = np.array(term, "i8")[order], np.array(seg, "i8")[order], np.array(impact)[order]
         self.n_blocks = max(1, -(-len(self.owner) // BLOCK))
@@ -88,6 +92,20 @@ class Index:
         self.before[by_length[np.cumsum(self.top[by_length]) < THRESHOLD / 2]] = True
         self.term_at = np.searchsorted(self.block_key // self.n_blocks, np.arange(len(self.vocab) + 1))
 
+    def index_shingles(self) -> None:
+        """Hashes of the items' shingles, sorted, with item and first word, by shingle length (shorter for short items)."""
+        found: dict[int, list] = {}
+        for at, (_, w, _) in enumerate(self.items):
+            g = min(SHINGLE, len(w))
+            if g:
+                h = shingle_hashes(np.array([self.vocab[x] for x in w], "i8"), g)
+                found.setdefault(g, []).append(np.stack((h.view("i8"), np.full(len(h), at), np.arange(len(h)))))
+        self.shingles = {}
+        for g, parts in found.items():
+            h, at, word = np.concatenate(parts, axis=1)
+            order = np.argsort(h.view("u8"), kind="stable")
+            self.shingles[g] = h.view("u8")[order], at[order], word[order]
+
     def retrieve(self, passage: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
         """(passage, segment, score) of all at or above THRESHOLD, from sorted distinct (passage, term) pairs."""
         if not len(passage):
@@ -143,6 +161,15 @@ def accumulate(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     return distinct, np.bincount(inverse, weights, len(distinct))
 
 
+def shingle_hashes(term: np.ndarray, g: int) -> np.ndarray:
+    """One hash for each run of g words."""
+    n = max(len(term) - g + 1, 0)
+    h = np.zeros(n, "u8")
+    for i in range(g):
+        h = mix64(h + term[i : i + n].astype("u8") + np.uint64(1))
+    return h
+
+
 def covered(item: list[str], passage: list[str]) -> np.ndarray:
     """Which of the item's words lie in a shingle of the passage."""
     n = min(SHINGLE, len(item))
@@ -176,23 +203,61 @@ def scan(texts: list[str | None], index: Index) -> list[list[tuple[int, float, f
     bound = np.bincount(at_piece, index.top[pairs % v], int(n_passages.sum()) + 1)
     open_ = bound + np.concatenate(([0.0], bound[:-1])) >= THRESHOLD
     keys = np.unique(np.concatenate((pairs[open_[at_piece]], pairs[open_[at_piece + 1]] + v)))
-    found: dict[tuple[int, int], list] = {}
+    scores: dict[tuple[int, int], float] = {}
     for p, seg, score in index.retrieve(keys // v, keys % v):
-        d = int(np.searchsorted(base, p, "right")) - 1
-        k = p - int(base[d])
-        item = int(index.owner[seg])
-        mask = covered(index.items[item][1], docs[d][max(0, (k - 1) * SEGMENT - SHINGLE) : (k + 1) * SEGMENT + SHINGLE])
-        if mask.any():
-            old = found.setdefault((d, item), [0.0, np.zeros(len(mask), bool)])
-            found[d, item] = [max(old[0], score), old[1] | mask]
-    for (d, item), (score, mask) in sorted(found.items()):
-        item_id, _, ask = index.items[item]
-        whole, question, answer = float(mask.mean()), float(mask[:ask].mean()), float(mask[ask:].mean()) if ask < len(mask) else 0.0
-        if whole >= OVERLAP or (question >= QUESTION and answer > 0):
-            out[d].append((item_id, score, whole, question, answer))
+        at_ = int(np.searchsorted(base, p, "right")) - 1, int(index.owner[seg])
+        scores[at_] = max(scores.get(at_, 0.0), score)
+    # all shingles that documents and items share, by (document, item)
+    hits = []
+    for g, (table, owner, word) in index.shingles.items():
+        run = np.convolve(known, np.ones(g, "i8"), "valid") == g if len(term) >= g else np.zeros(0, bool)
+        first = np.flatnonzero(run & (doc[: len(run)] == doc[g - 1 :])) if len(run) else np.zeros(0, "i8")
+        h = np.zeros(len(first), "u8")
+        for i in range(g):
+            h = mix64(h + term[first + i].astype("u8") + np.uint64(1))
+        # a shingle that a document repeats counts once
+        low = np.searchsorted(table, h)
+        there = table[np.minimum(low, len(table) - 1)] == h
+        distinct = np.unique(np.stack((doc[first[there]], low[there])), axis=1)
+        d, low = distinct
+        rows, entry = expand(low, np.searchsorted(table, table[low], "right"))
+        hits.append(np.stack((d[rows], owner[entry], word[entry])))
+    d, item, word = np.concatenate(hits, axis=1)
+    order = np.lexsort((item, d))
+    d, item, word = d[order], item[order], word[order]
+    first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
+    for at_, end in zip(first, np.append(first[1:], len(d))):
+        i, k = int(d[at_]), int(item[at_])
+        item_id, words, ask = index.items[k]
+        mask = np.zeros(len(words), bool)
+        for o in range(min(SHINGLE, len(words))):
+            mask[word[at_:end] + o] = True
+        if not holds(mask, ask):
+            continue
+        # hashes found it; its words decide
+        mask = covered(words, docs[i])
+        if held := holds(mask, ask):
+            out[i].append((item_id, scores[i, k] if (i, k) in scores else best_score(index, k, term[doc == i]), *held))
     return out
 
 
+def holds(mask: np.ndarray, ask: int) -> tuple[float, float, float] | None:
+    """Overlap of item, question and answer, if they make a leak."""
+    whole, question, answer = float(mask.mean()), float(mask[:ask].mean()), float(mask[ask:].mean()) if ask < len(mask) else 0.0
+    return (whole, question, answer) if whole >= OVERLAP or (question >= QUESTION and answer > 0) else None
+
+
+def best_score(index: Index, item: int, term: np.ndarray) -> float:
+    """The best score of the item's segments over the passages of one document, without retrieval."""
+    best = 0.0
+    for p in range(-(-len(term) // SEGMENT) + 1):
+        passage = np.unique(term[max(0, (p - 1) * SEGMENT) : (p + 1) * SEGMENT])
+        for s in np.flatnonzero(index.owner == item):
+            mine = (index.seg == s) & np.isin(index.term, passage)
+            best = max(best, float(index.impact[mine].sum()))
+    return best
+
+
 def indexes(benchmark: DataFrame) -> list[Index]:
     """The benchmark's items in blocks of bounded size. Two passes: word counts over all items, then the blocks."""
     rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text")

@@ -68,3 +68,18 @@ def test_cases(spark):
     assert sorted(r.doc_id for r in D.clean(df, bench).collect()) == [0, 1, 5, 7]
     assert D.contaminated(df, bench.limit(0)).count() == 0 and D.clean(df, bench.limit(0)).count() == len(docs)
     assert D.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_short_question_and_start_of_a_long_answer(spark):
+    rng = random.Random(8)
+    item = lambda n, c: " ".join(f"{c}{rng.randrange(9000)}" for _ in range(n))
+    fill = lambda n: " ".join(f"f{rng.randrange(50)}" for _ in range(n))
+    items = [(i, item(9, "q") + ". " + item(55, "a")) for i in range(20)] + [(20, item(60, "s"))]
+    docs = [(i, f"{fill(70)} {' '.join(t.split()[:11])} {fill(70)}") for i, t in items[:20]]
+    pieces = items[20][1].split()
+    docs.append((20, " ".join(f"{' '.join(pieces[k : k + 10])} {fill(200)}" for k in range(0, 50, 10))))
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute(docs, items)
+    assert len(want) == 21
+    assert sorted([(r.doc_id, r.item_id) for r in D.contaminated(df, bench).collect()], key=str) == want
+    assert D.clean(df, bench).count() == 0
