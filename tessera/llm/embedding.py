@@ -2,12 +2,14 @@
 
 Unit vectors are cut in halves; each half has its own k-means codebook, and the pairs of codewords form a grid of
 cells. A vector is indexed in the cell of its two nearest codewords. To search, the multi-sequence walk visits cells in
-order of the summed squared distance of their codewords to the query's halves; it stops after the number of cells
-that reached RECALL of the true neighbours of a sample, measured by brute force on the sample's own rows, with a
-margin. Cosines are then computed in double precision, and only pairs at or above the threshold are links.
-
-Codebooks and the stop are fitted on at most SAMPLE vectors (the first by hash of vec_id); every row is indexed and
-every row is a query. Equal vectors are one entry with a count, so exact copies cost nothing. A cell's entries are
+order of the summed squared distance of their codewords to the query's halves, over the whole grid; it stops after twice
+the number of cells in which RECALL of PROBES sampled queries have all their true neighbours, found by brute force among
+all vectors. Fewer than FEW queries with a neighbour do not show that number; the stop then also holds for made
+neighbours, at the threshold in random directions. Cosines are computed in double precision, and only pairs at or above
+the threshold are links.
+
+Equal vectors are one entry with a count, so exact copies cost nothing and do not weigh in the stop. Codebooks are fitted on
+at most SAMPLE entries (the first by hash); every row is indexed and every row is a query. A cell's entries are
 cut into blocks of BLOCK, met by the same queries, so a dense cell is spread over tasks. A block compares its queries and
 entries as one matrix; per query it returns a count, and per connected piece links to its least id, not all pairs.
 
@@ -35,6 +37,7 @@ BLOCK = 2048
 #: Most codewords of a half, so the grid has at most CODEWORDS**2 cells whatever the input.
 CODEWORDS = 512
 LEAST_VISITS = 8
+PROBES, FEW = 2000, 1000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -59,19 +62,31 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    def __init__(self, x: np.ndarray, threshold: float, rows: int):
-        """x: unit vectors of the sample; rows: vectors in all, for a grid whose cells hold a like number at any size."""
+    def __init__(self, x: np.ndarray, rows: int):
+        """x: distinct unit vectors of the sample; rows: vectors in all, for a grid whose cells hold a like number at any size."""
         self.half = x.shape[1] // 2
         k = 2 ** int(np.log2(max(rows / 16, 1)) / 2)
         self.k = int(min(k, CODEWORDS, max(len(x) // 20, 1)))
         self.books = codebook(x[:, : self.half], self.k), codebook(x[:, self.half :], self.k, seed=1)
-        self.reach = min(self.k, 16)
-        self.visits = self.reach**2
-        probe = x[: min(len(x), 2000)]
-        cells, order = self.cells(x), self.walk(probe)
-        rank = [int(np.flatnonzero(order[i] == cells[j])[0]) if (order[i] == cells[j]).any() else self.visits for i, j in zip(*np.nonzero(probe @ x.T >= threshold)) if i != j]
-        need = int(np.quantile(rank, RECALL, method="higher")) + 1 if rank else 1
-        self.visits = min(max(2 * need, LEAST_VISITS), self.reach**2)
+        self.visits = LEAST_VISITS
+
+    def grid(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1])
+
+    def stop(self, probe: np.ndarray, far: dict[int, float], threshold: float) -> None:
+        """Set visits. far: for each probe with neighbours, the summed distance of the last cell that holds one."""
+        da, db = self.grid(probe)
+        rank = lambda i, d: int((da[i][:, None] + db[i] <= d + 1e-9).sum())
+        ranks = [rank(i, d) for i, d in far.items()]
+        need = int(np.quantile(ranks, RECALL, method="higher")) if ranks else 1
+        if len(ranks) < FEW:
+            g = np.random.default_rng(2).normal(size=probe.shape)
+            g -= (g * probe).sum(1, keepdims=True) * probe
+            g /= np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-9)
+            cell = self.cells(threshold * probe + np.sqrt(max(1 - threshold**2, 0)) * g)
+            made = [rank(i, da[i, c // self.k] + db[i, c % self.k]) for i, c in enumerate(cell)]
+            need = max(need, int(np.quantile(made, RECALL, method="higher")))
+        self.visits = min(max(2 * need, LEAST_VISITS), self.k**2)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         a, b = distances(x[:, : self.half], self.books[0]).argmin(1), distances(x[:, self.half :], self.books[1]).argmin(1)
@@ -79,16 +94,18 @@ class MultiIndex:
 
     def walk(self, x: np.ndarray) -> np.ndarray:
         """The first `visits` cells of each query by the multi-sequence order over each half's nearest codewords."""
-        out = np.empty((len(x), self.visits), "i8")
-        for at in range(0, len(x), 512):
-            part = x[at : at + 512]
-            d = [distances(part[:, : self.half], self.books[0]), distances(part[:, self.half :], self.books[1])]
-            near = [np.argsort(v, 1, kind="stable")[:, : self.reach] for v in d]
+        visits = min(self.visits, self.k**2)
+        out = np.empty((len(x), visits), "i8")
+        # the cell at ranks i, j of the halves has (i + 1) * (j + 1) - 1 cells before it at least
+        at_i, at_j = np.nonzero(np.arange(1, self.k + 1)[:, None] * np.arange(1, self.k + 1) <= visits)
+        step = max(1, min(512, 4_000_000 // len(at_i)))
+        for at in range(0, len(x), step):
+            d = self.grid(x[at : at + step])
+            near = [np.argsort(v, 1, kind="stable") for v in d]
             da, db = (np.take_along_axis(v, n, 1) for v, n in zip(d, near))
-            both = (da[:, :, None] + db[:, None, :]).reshape(len(part), -1)
-            order = np.argsort(both, 1, kind="stable")[:, : self.visits]
-            i, j = order // self.reach, order % self.reach
-            out[at : at + 512] = np.take_along_axis(near[0], i, 1) * self.k + np.take_along_axis(near[1], j, 1)
+            order = np.argsort(da[:, at_i] + db[:, at_j], 1, kind="stable")[:, :visits]
+            i, j = at_i[order], at_j[order]
+            out[at : at + step] = np.take_along_axis(near[0], i, 1) * self.k + np.take_along_axis(near[1], j, 1)
         return out
 
 
@@ -124,17 +141,34 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     rows = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     sane = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.where(sane & F.col("vec_id").isNotNull())
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    if sample:
-        sizes = [len(r.v) for r in sample]
-        dim = max(set(sizes), key=sizes.count)
-        good = good.where(F.size("v") == dim)
-        index = MultiIndex(unit(np.array([r.v for r in sample if len(r.v) == dim])), threshold, good.count())
-    else:
+    sizes = [r.n for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select(F.size("v").alias("n")).collect()]
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    dim = max(set(sizes), key=sizes.count)
+    good = good.where(F.size("v") == dim)
 
     # equal vectors are one entry; its id is their least
     entries = staged(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("entry", F.monotonically_increasing_id()), "vectors")
+    sample = entries.orderBy(F.xxhash64("v"), "id").limit(SAMPLE).select("entry", "v").collect()
+    index = MultiIndex(unit(np.array([r.v for r in sample])), entries.count())
+    probe, probe_id = unit(np.array([r.v for r in sample[:PROBES]])), np.array([r.entry for r in sample[:PROBES]])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        da, db = index.grid(probe)
+        far = np.full(len(probe), -np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = unit(np.array(part.column(0).to_pylist()))
+                i, j = np.nonzero((probe @ x.T >= threshold) & (probe_id[:, None] != part.column(1).to_numpy()))
+                cell = index.cells(x)[j]
+                np.maximum.at(far, i, da[i, cell // index.k] + db[i, cell % index.k])
+        i = np.flatnonzero(far > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(far[i])], ["i", "far"])
+
+    # at most PROBES rows
+    far = entries.select("v", "entry").transform(arrow, neighbours, "i bigint, far double").groupBy("i").agg(F.max("far").alias("far")).collect()
+    index.stop(probe, {r.i: r.far for r in far}, threshold)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -57,3 +57,17 @@ def test_cases(spark):
     assert got(embedding.near_duplicates(df)) == brute(rows)
     assert embedding.near_duplicates(df.limit(0)).count() == 0
     assert got(embedding.near_duplicates(df.where("vec_id = 2"))) == [(2, 0, 2, True)]
+
+
+def test_copies_do_not_hide_small_groups(spark):
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=64)
+    x = np.concatenate([np.tile(hot, (1500, 1)), *(b + rng.normal(0, 0.32, (10, 64)) for b in rng.normal(size=(20, 64))), rng.normal(size=(600, 64))])
+    rows = [(int(i), [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    out = {r[0]: r[1] for r in got(embedding.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")))}
+    u = embedding.unit(np.array([v for _, v in rows[1500:]]))
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert want.sum() > 300 and out[0] == 1499
+    found = sum(out[1500 + i] for i in range(len(u)))
+    print("recall", found / want.sum())
+    assert found >= 0.995 * want.sum()
