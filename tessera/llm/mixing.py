@@ -10,7 +10,9 @@ least), and the slot of rank k takes block k. So a source takes exactly floor(ta
 `epochs` times its size, and any prefix of the slots holds the sources in proportion.
 
 Scale: only (doc_id, source, size) leave the scan. Running sums go by (source, 1 of 4096 hash buckets), and ranks by
-(source, chunk of slots), so a hot source is spread over many tasks; its bucket totals alone meet in one window.
+(source, chunk of slots), so a hot source is spread over many tasks; its bucket totals alone meet in one window. Sources
+are numbered and summed by ranges of names, so they need not fit one task either: what meets in a window without a key is
+one row for each range.
 
 Defined cases: null text has size 0 and takes 0; a null source is a source; rows with one doc_id are separate
 documents; an empty table gives no rows; other columns are ignored.
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from tessera.sources.tables import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK, GRID = 4096, 1024
-#: floor(2**32 / golden ratio): a Weyl sequence of 2**32 distinct points.
+CHUNK, LEAST_GRID = 4096, 10
+#: floor(2**32 / golden ratio): a Weyl sequence of 2**32 distinct points, which then begins again.
 STEP = 2654435769
 
 
@@ -39,37 +41,56 @@ def div(a: Column, b: Column) -> Column:
     return F.call_function("div", a.cast("decimal(38,0)"), b.cast("decimal(38,0)"))
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """source, source_size, part, sid: sources numbered by code point, null last, without bringing all to one task."""
+    by_name = F.col("source").asc_nulls_last()
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = staged(s.repartitionByRange(by_name).withColumn("part", F.spark_partition_id()), "mix-sources")
+    # one row for each range
+    counts = s.groupBy("part").count()
+    ahead = F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = s.join(counts.select("part", ahead.alias("ahead")), "part")
+    return s.withColumn("sid", F.col("ahead") + F.row_number().over(W.partitionBy("part").orderBy(by_name))).drop("ahead")
+
+
 def targets(sizes: DataFrame, weights=(1, 2, 3), epochs: int = 3) -> DataFrame:
     """source, sid, source_size, target, take, lo, hi (cumulative share). One row per source."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    s = s.withColumn("sid", F.row_number().over(by_name))
+    s = ranked(sizes)
     s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("sid") - 1) % len(weights) + 1).cast("int")).cast("bigint"))
-    cap = F.col("source_size") * epochs
-    order = [(cap / F.col("w")), F.col("sid")]
-    before, after = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1), W.orderBy(*order).rowsBetween(0, W.unboundedFollowing)
-    every = W.orderBy("sid").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = s.withColumns({"total": F.sum("source_size").over(every), "used": F.coalesce(F.sum(cap).over(before), F.lit(0)), "left": F.sum("w").over(after)})
-    level = (F.col("total") - F.col("used")).cast("double") / F.col("left").cast("double")
-    s = s.withColumn("level", F.when(level * F.col("w") <= cap, level))
-    s = s.withColumn("level", F.max("level").over(every))
-    share = F.col("level") * F.col("w")
-    s = s.withColumn("target", F.when(share <= cap, share).otherwise(cap.cast("double")))
-    s = s.withColumn("take", F.floor("target"))
-    running = W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
-    all_taken = F.greatest(F.sum("take").over(every), F.lit(1))
-    hi = F.sum("take").over(running)
-    return s.select("source", "sid", "source_size", "target", "take", ((hi - F.col("take")) / all_taken).alias("lo"), (hi / all_taken).alias("hi"))
+    s = staged(s.withColumn("cap", F.col("source_size") * epochs), "mix-ranked")
+    # water filling: sources at their cap leave the rest to the others, until no more reach theirs; each step is two sums
+    total, used, left, level = s.agg(F.sum("source_size")).first()[0] or 0, -1, 0, 0.0
+    now = s.agg(F.lit(0).cast("bigint").alias("used"), F.sum("w").alias("left")).first()
+    while now.left and (now.used, now.left) != (used, left):
+        used, left = now.used, now.left
+        level = float(total - used) / float(left)
+        full = F.lit(level) * F.col("w") > F.col("cap")
+        now = s.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("used"), F.sum(F.when(~full, F.col("w"))).alias("left")).first()
+    share = F.lit(level) * F.col("w")
+    s = s.withColumn("target", F.when(share <= F.col("cap"), share).otherwise(F.col("cap").cast("double"))).withColumn("take", F.floor("target"))
+    parts = s.groupBy("part").agg(F.sum("take").alias("words"))
+    every = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ahead = F.coalesce(F.sum("words").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = s.join(parts.select("part", ahead.alias("ahead"), F.greatest(F.sum("words").over(every), F.lit(1)).alias("taken")), "part")
+    hi = F.col("ahead") + F.sum("take").over(W.partitionBy("part").orderBy("sid").rowsBetween(W.unboundedPreceding, 0))
+    return s.select("source", "sid", "source_size", "target", "take", ((hi - F.col("take")) / F.col("taken")).alias("lo"), (hi / F.col("taken")).alias("hi"))
+
+
+def golden(i: Column) -> Column:
+    """frac(i * phi) on 32 bits, for any i up to 2**47; halves are multiplied apart, so that nothing passes 63 bits."""
+    low, high = F.pmod(i, F.lit(2**16)), F.pmod(F.shiftright(i, 16), F.lit(2**16))
+    return F.pmod(low * F.lit(STEP) + F.pmod(high * F.lit(STEP), F.lit(2**16)) * F.lit(2**16), F.lit(2**32)).cast("double") / float(2**32)
 
 
 def schedule(goals: DataFrame, n: int) -> DataFrame:
     """slot, sid, rank (0-based within the source) for n slots."""
     spark = goals.sparkSession
-    u = F.pmod(F.col("id") * F.lit(STEP), F.lit(2**32)).cast("double") / float(2**32)
-    slots = spark.range(n).select(F.col("id").alias("slot"), u.alias("u")).withColumn("cell", F.floor(F.col("u") * GRID))
-    # a grid over [0, 1) turns the interval join into an equi-join; a source spans the cells that it overlaps
-    last = F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1))
-    spans = goals.where(F.col("take") > 0).select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * GRID), last)).alias("cell"))
+    # a grid over [0, 1) turns the interval join into an equi-join; a source spans the cells that it overlaps, and cells
+    # are several times as many as sources, so that a cell holds few of either
+    grid = 2 ** max(LEAST_GRID, (4 * goals.count()).bit_length())
+    slots = spark.range(n).select(F.col("id").alias("slot"), golden(F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * grid))
+    last = F.least(F.floor(F.col("hi") * grid), F.lit(grid - 1))
+    spans = goals.where(F.col("take") > 0).select("sid", "lo", "hi", F.explode(F.sequence(F.least(F.floor(F.col("lo") * grid), last), last)).alias("cell"))
     slots = slots.join(spans, "cell").where((F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi"))).select("slot", "sid")
     slots = slots.withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     counts = slots.groupBy("sid", "chunk").count()

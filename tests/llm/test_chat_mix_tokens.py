@@ -28,6 +28,46 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_long_conversations_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        turn = [F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role")]
+        df = spark.range(n).select(*turn, F.repeat(F.lit("ab é<"), 20).alias("text"))
+        began = time.time()
+        (row,) = chat.digest(chat.format_chats(df)).collect()
+        assert row.n_turns == n and row.loss_chars == n // 2 * 100
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 6
+    assert seconds(64_000) < 12
+
+
+def test_masks_agree_in_code_points_and_bytes(spark):
+    docs = spark.read.parquet(f"{SF}/conversations.parquet").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" é😀</turn>")))
+    for r in chat.format_chats(docs).collect():
+        raw = r.formatted.encode()
+        assert all(raw[s["from"] : s["to"]].decode() == r.formatted[s.start : s.end] for s in r.loss_spans)
+        assert all(a.end < b.start for a, b in zip(r.loss_spans, r.loss_spans[1:]))
+
+
+def test_golden_points_do_not_overflow(spark):
+    ids = [0, 1, 5, 2**31 + 7, 3_500_000_000, 2**40 + 12345]
+    rows = spark.createDataFrame([(i,) for i in ids], "i bigint").select("i", mixing.golden(F.col("i")).alias("u")).collect()
+    assert all(r.u == (r.i * mixing.STEP % 2**32) / 2**32 for r in rows)
+
+
+def test_mix_of_many_sources(spark, tmp_path):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 1500}" if i % 3 else "hot") for i in range(4000)] + [(-1, "a b", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = __import__("duckdb").connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(ORACLES["op6_mixing"]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["op6_mixing"](spark, str(tmp_path)).collect())
+    assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6 and a[4] == b[4] for a, b in zip(want, got)) and len(want) == len(got)
+
+
 def test_mix_cases(spark):
     rows = [(1, "a b c", "en", "x", 1), (1, "a b c", "en", "x", 1), (2, None, None, None, None), (3, "", None, None, 0), (None, "q " * 50, None, "y", 1), (5, "z", "", "tiny", 1)]
     df = spark.createDataFrame(rows, DOCS).withColumn("target", F.lit(1))
