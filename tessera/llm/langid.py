@@ -5,7 +5,7 @@ the vectors of its letters, the first rotated twice and the second once; a text'
 trigrams; a language's prototype bundles all its training texts. A text gets the language whose prototype has the
 highest cosine with it. Letters are lower-cased; whatever is no letter (Unicode L*) is one word break.
 
-Training sums integers, so the prototypes do not depend on the order of rows. They go to the driver: languages x DIM
+Training sums 64-bit integers, so the prototypes do not depend on the order of rows or on how they are dealt to tasks. They go to the driver: languages x DIM
 numbers, whatever the corpus holds. Memory per worker: one slice of texts, the vectors of its distinct trigrams and those
 of all letters met (DIM bytes each; every letter has its own).
 
@@ -80,19 +80,21 @@ class Codes:
 
     def bind(self, grams: np.ndarray) -> np.ndarray:
         a, b, c = (self.vectors[(grams >> s) & ((1 << BITS) - 1)] for s in (2 * BITS, BITS, 0))
-        return (np.roll(a, 2, 1) * np.roll(b, 1, 1) * c).astype("f4")
+        return np.roll(a, 2, 1) * np.roll(b, 1, 1) * c
 
     def bundle(self, rows: list[list[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
         """One vector for each list of counted trigrams."""
         grams = np.unique(np.concatenate([g for row in rows for g, _ in row]))
-        counts = np.zeros((len(rows), len(grams)), "f4")
+        # products are whole numbers; four bytes hold them exactly up to 2**24
+        most = max(sum(int(n.sum()) for _, n in row) for row in rows)
+        counts = np.zeros((len(rows), len(grams)), "f4" if most < 2**24 else "f8")
         for i, row in enumerate(rows):
             for g, n in row:
                 counts[i, np.searchsorted(grams, g)] += n
         out = np.zeros((len(rows), DIM))
         for at in range(0, len(grams), 2048):
-            out += counts[:, at : at + 2048] @ self.bind(grams[at : at + 2048])
-        return out
+            out += counts[:, at : at + 2048] @ self.bind(grams[at : at + 2048]).astype(counts.dtype)
+        return out.round().astype("i8")
 
 
 def fold(doc_id: Column) -> Column:
@@ -116,10 +118,10 @@ def train(df: DataFrame) -> tuple[list[str], np.ndarray]:
                     for lang, vector in zip(rows, codes.bundle(list(rows.values()))):
                         sums[lang] = sums.get(lang, 0) + vector
         for lang, vector in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(range(DIM), "i4"), pa.array(vector)], ["lang", "i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(range(DIM), "i4"), pa.array(vector, "i8")], ["lang", "i", "v"])
 
     rows = df.where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull()).select("text", "lang")
-    sums = rows.transform(arrow, bundle, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+    sums = rows.transform(arrow, bundle, "lang string, i int, v bigint").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
     langs = sorted({r.lang for r in sums})
     protos = np.zeros((len(langs), DIM))
     for r in sums:

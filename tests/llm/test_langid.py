@@ -53,3 +53,30 @@ def test_every_letter_has_its_own_vector():
     a, b, c = (np.stack([langid.Codes.draw(ord(ch)).astype("i4") for ch in letters[i : len(letters) - 2 + i]]) for i in range(3))
     assert (got == (np.roll(a, 2, 1) * np.roll(b, 1, 1) * c).sum(0)).all()
     assert (late.bundle([[late.trigrams(text)]])[0] == got).all()
+
+
+def test_order_and_partitions_do_not_matter(spark):
+    import random
+
+    draw = random.Random(4)
+    letters = [*map(chr, range(0x4E00, 0x4E00 + 4000)), *map(chr, range(0xAC00, 0xAC00 + 1500))]
+    draw.shuffle(letters)
+    texts = ["".join(letters[at : at + 25]) for at in range(0, 5500, 25)]
+    rows = [(i, t * 2, "han" if t[0] < "鿿" else "kor") for i, t in enumerate(texts)] + [(900 + i, texts[i][:12], None) for i in range(0, 220, 7)]
+
+    def result(rows, parts):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(parts)
+        langs, protos = langid.train(df)
+        return langs, protos.tobytes(), sorted((r.doc_id, r.lang_pred, round(r.score, 12)) for r in langid.identify(df).collect())
+
+    want = result(rows, 1)
+    draw.shuffle(rows)
+    assert result(rows, 5) == want
+
+
+def test_long_texts_are_summed_exactly():
+    codes = langid.Codes.get()
+    grams, counts = codes.trigrams("ab")
+    big = [(grams, counts * (2**24 + 1))]
+    want = codes.bundle([[(grams, counts)]])[0] * (2**24 + 1)
+    assert (codes.bundle([big])[0] == want).all()
