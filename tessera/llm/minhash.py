@@ -11,8 +11,11 @@ its signature, so that those with the longest common prefix are neighbours; the
 NEAR candidates that agree best among WINDOW neighbours, the second the NEAR_WIDE best ones with finer sketches among WIDE
 neighbours in different components. The third is whole: in every region, whatever its size, it compares all pairs of
 classes that are still in different components. A region is cut into blocks, and pairs of blocks are spread over tasks;
-classes of a region's largest component are not compared with each other. So regions of one component cost nothing, and
-only a large region of many components, which no round could join, costs its pairs. A pair at similarity 0.75 shares a
+classes of a region's largest component are not compared with each other, and a pair is looked at in the first tree alone
+where it shares a region. The sets of classes whose sketches agree with some other's then follow into the block, which
+confirms its pairs and returns a spanning forest of the links: pairs that are no links never become rows. So regions of
+one component cost nothing, and only a large region of many components, which no round could join, costs comparisons of
+sketches, all spread over tasks. A pair at similarity 0.75 shares a
 region in some tree with probability 1 - (1 - 0.75**3)**16 > 0.9998, a more similar one with more.
 
 Defined cases: null text, or text without a word, has an empty set and links with nothing; rows that share a doc_id
@@ -48,8 +51,8 @@ AGREE = 63
 FINE, AGREE_FINE = 256, 169
 #: Lowest bits of FINE minima that differ, looked at first: 0.125 of 256 at similarity 0.75, and five standard deviations.
 DIFFER = 58
-#: Classes of a block in the whole comparison of a region.
-BLOCK = 2048
+#: Most classes, and bytes of their full sets, of a block in the whole comparison of a region (about; one class may be larger).
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
 
 _rng = np.random.default_rng(20)
 _mul = _rng.integers(1, 2**63, max(PERMS, FINE), dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -176,62 +179,118 @@ def forest(classes: DataFrame, near: bool, fine: bool, window: int) -> DataFrame
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """Candidates (a, b): all pairs of `classes` (doc_id, sig, packed fine, comp) that share a region, both ends' comp different."""
-    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * DEPTH * 4 + 1, F.lit(LEAST * 4)))))
-    rows = classes.select(trees.alias("region"), "doc_id", "packed", "comp")
-    sizes = rows.groupBy("region", "comp").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    """Rows (region, i, j, side, doc_id, comp, packed fine, keys): every region with classes of several components, cut into pairs of blocks."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * DEPTH * 4 + 1, F.lit(LEAST * 4))))
+    # the low halves of all 16 names, one after the other, tell in which trees two classes share a region
+    low = F.unhex(F.array_join(F.transform(keys, lambda k: F.lpad(F.hex(k.bitwiseAND(F.lit(2**32 - 1))), 8, "0")), ""))
+    classes = classes.select("doc_id", "comp", "packed", (F.col("n_shingles") * 8).alias("bytes"), keys.alias("names"), low.alias("keys"))
+    rows = classes.select(F.posexplode("names").alias("tree", "region"), "doc_id", "comp", "packed", "keys", "bytes")
+    sizes = rows.groupBy("region", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "comp")).alias("top"))
     sizes = sizes.where(F.col("n") > F.col("top.n"))
-    sizes = sizes.select("region", F.col("top.comp").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("others"), F.ceil(F.col("top.n") / BLOCK).alias("tops"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))
+    others = blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))
+    sizes = sizes.select("region", F.col("top.comp").alias("top"), others.alias("others"), blocks(F.col("top.n"), F.col("top.bytes")).alias("tops"))
     rows = rows.join(sizes, "region").withColumn("h", F.xxhash64("doc_id", "packed"))
     # blocks 0 .. others - 1, then those of the largest component, which meet the others only
     own, one, zero = F.pmod("h", "others"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     met = F.transform(F.sequence(zero, F.col("others") + F.col("tops") - one), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own > k).alias("side")))
     top = F.transform(F.sequence(zero, F.col("others") - one), lambda k: F.struct(k.alias("i"), (F.col("others") + F.pmod("h", "tops")).alias("j"), F.lit(True).alias("side")))
-    rows = rows.select("region", F.explode(F.when(F.col("comp") == F.col("top"), top).otherwise(met)).alias("m"), "doc_id", "packed", "comp")
-    rows = rows.select("region", "m.i", "m.j", "m.side", "doc_id", "packed", "comp").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
-
-    def whole(group, sided, ids, packed, comp, side) -> Iterator[pa.RecordBatch]:
-        """All pairs of equal group: every row meets those behind it, whatever their number."""
-        low = packed & np.uint64(0x1111111111111111)
-        low = low[:, 0::4] | low[:, 1::4] << np.uint64(1) | low[:, 2::4] << np.uint64(2) | low[:, 3::4] << np.uint64(3)
-        out, held, cur, lag = [], 0, np.arange(len(ids)), 0
-        while len(cur):
-            lag += 1
-            cur = cur[cur >= lag]
-            cur = cur[group[cur] == group[cur - lag]]
-            i = cur[(comp[cur] != comp[cur - lag]) & (~sided[cur] | (side[cur] != side[cur - lag]))]
-            i = i[np.bitwise_count(low[i] ^ low[i - lag]).sum(1, dtype="i8") <= DIFFER]
-            if len(i):
-                i = i[agreeing((packed[i] ^ packed[i - lag]).view("u1"), True) >= AGREE_FINE]
-                out.append(np.stack((np.maximum(ids[i], ids[i - lag]), np.minimum(ids[i], ids[i - lag]))))
-                held += len(i)
-            if out and (held > 500_000 or not len(cur)):
-                pairs = np.concatenate(out, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], ["a", "b"])
-                out, held = [], 0
+    rows = rows.select("region", "tree", F.explode(F.when(F.col("comp") == F.col("top"), top).otherwise(met)).alias("m"), "doc_id", "comp", "packed", "keys")
+    return rows.select("region", "tree", "m.i", "m.j", "m.side", "doc_id", "comp", "packed", "keys")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
-        for batch in chain(batches, (None,)):
-            rows = tail
-            if batch is not None:
-                n = batch.num_rows
-                if not n:
-                    continue
-                rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 6)]
-                rows.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8").reshape(n, -1))
-                rows = rows if tail is None else [np.concatenate((a, b)) for a, b in zip(tail, rows)]
-            if rows is None:
-                return
-            region, i, j, side, ids, comp, packed = rows
-            new = np.ones(len(ids), bool)
-            new[1:] = (region[1:] != region[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups (region, i, j), from batches sorted by them."""
+    tail = None
+    for batch in chain(batches, (None,)):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            tail = part if tail is None else pa.concat_tables([tail, part])
+            new = np.flatnonzero(starts(tail))
             # the last group may go on in the next batch
-            at = len(ids) if batch is None else int(np.flatnonzero(new)[-1])
-            yield from whole(np.cumsum(new)[:at], (i != j)[:at], ids[:at], packed[:at], comp[:at], side[:at])
-            tail = [r[at:] for r in rows]
+            if len(new) == 1:
+                continue
+            done, tail = tail.slice(0, int(new[-1])), tail.slice(int(new[-1]))
+            yield done.combine_chunks()
+        elif tail is not None:
+            yield tail.combine_chunks()
+
+
+def starts(t: pa.Table) -> np.ndarray:
+    new = np.ones(t.num_rows, bool)
+    new[1:] = np.any([np.diff(t[c].to_numpy()) != 0 for c in ("region", "i", "j")], axis=0)
+    return new
+
+
+def block_pairs(t: pa.Table) -> Iterator[np.ndarray]:
+    """Row numbers of pairs in the groups of `t`: different components, sketches near enough, and no region shared in an earlier tree."""
+    group, side = np.cumsum(starts(t)), t["side"].to_numpy()
+    sided, comp, tree = t["i"].to_numpy() != t["j"].to_numpy(), t["comp"].to_numpy(), t["tree"].to_numpy()
+    packed = np.frombuffer(b"".join(t["packed"].to_pylist()), "<u8").reshape(len(group), -1)
+    keys = np.frombuffer(b"".join(t["keys"].to_pylist()), "<u4").reshape(len(group), -1)
+    low = packed & np.uint64(0x1111111111111111)
+    low = low[:, 0::4] | low[:, 1::4] << np.uint64(1) | low[:, 2::4] << np.uint64(2) | low[:, 3::4] << np.uint64(3)
+    cur, lag = np.arange(len(group)), 0
+    while len(cur):
+        lag += 1
+        cur = cur[cur >= lag]
+        cur = cur[group[cur] == group[cur - lag]]
+        i = cur[(comp[cur] != comp[cur - lag]) & (~sided[cur] | (side[cur] != side[cur - lag]))]
+        i = i[np.bitwise_count(low[i] ^ low[i - lag]).sum(1, dtype="i8") <= DIFFER]
+        i = i[agreeing((packed[i] ^ packed[i - lag]).view("u1"), True) >= AGREE_FINE]
+        if len(i):
+            i = i[(keys[i] == keys[i - lag]).argmax(1) == tree[i]]
+            yield np.stack((i, i - lag))
+
+
+def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks that are in a pair; pairs themselves, which may be many, do not leave the task."""
+    for t in grouped(batches):
+        mask = np.zeros(t.num_rows, bool)
+        for pairs in block_pairs(t):
+            mask[pairs] = True
+        yield from t.filter(pa.array(mask)).to_batches()
+
+
+def block_links(percent: int):
+    """Links (a, b) between the components of each group, confirmed on full sets: a spanning forest, not all links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches):
+            parent: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while (up := parent.setdefault(v, v)) != v:  # noqa: B023
+                    parent[v] = v = parent[up]  # noqa: B023
+                return v
+
+            comp, ids, sets = t["comp"].to_pylist(), t["doc_id"].to_pylist(), t["shingles"].combine_chunks()
+            out = []
+            for pairs in block_pairs(t):
+                for i, j in pairs.T.tolist():
+                    a, b = find(comp[i]), find(comp[j])
+                    if a != b and similar(sets[i], sets[j], percent):
+                        parent[a] = b
+                        out.append((ids[i], ids[j]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, "i8") for c in zip(*out)], ["a", "b"])
 
-    return rows.transform(arrow, run, "a bigint, b bigint")
+    return run
+
+
+def whole_regions(classes: DataFrame, sets: DataFrame, ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between the components `comp` of classes, from all pairs in every region. sets: those of `ids`; others are read."""
+    group = ["region", "i", "j"]
+    some = regions(classes).repartition(*group).sortWithinPartitions(*group).transform(arrow, involved, "region bigint, tree int, i bigint, j bigint, side boolean, doc_id bigint, comp bigint, packed binary, keys binary")
+    some = staged(some, "minhash-blocks")
+    late = staged(some.select("doc_id").distinct().join(ids.hint("merge"), "doc_id", "left_anti"), "minhash-late")
+    if not late.isEmpty():
+        sets = sets.union(staged(sets_of(docs, late), "minhash-sets"))
+    some = some.join(sets, "doc_id").select("region", "tree", "i", "j", "side", "doc_id", "comp", "packed", "keys", "shingles")
+    return some.repartition(*group).sortWithinPartitions(*group).transform(arrow, block_links(percent), "a bigint, b bigint")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -259,22 +318,23 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.select("doc_id", "z").transform(arrow, run, "doc_id bigint, shingles binary")
 
 
+def similar(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two full sets."""
+    x, y = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
+            mask = pa.array([similar(x, y, percent) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
@@ -300,7 +360,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     rows = staged(signatures(docs), "minhash")
     full = rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("sig", "packed", "fine")])
+    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "packed", "fine")])
     classes = staged(classes.withColumn("comp", F.monotonically_increasing_id()), "minhash-classes")
 
     near = staged(partners(forest(classes, True, False, WINDOW), NEAR), "minhash-near")
@@ -316,12 +376,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     known = staged(components(stars(known).union(links)), "minhash-second")
 
     # and all pairs of every region between what is still apart, of all classes
-    rest = staged(regions(apart(classes, known)).distinct(), "minhash-rest")
-    ends = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct()
-    late = staged(ends.join(ids.hint("merge"), "doc_id", "left_anti"), "minhash-late")
-    if not late.isEmpty():
-        sets = sets.union(staged(sets_of(docs, late), "minhash-sets"))
-    more = staged(confirmed(rest, sets, percent), "minhash-more")
+    more = staged(whole_regions(apart(classes, known), sets, ids, docs, percent), "minhash-more")
 
     same = full.select("set_id", "doc_id").join(classes.select("set_id", F.col("doc_id").alias("rep")), "set_id")
     # a class's other ids hang on its first; a doc_id with several texts brings its classes together
