@@ -1,36 +1,223 @@
 """Token counts by prefix dynamic programming.
 
-A text is cut at ASCII white space into chunks. The tokenizer drops white space and never joins across it, so the
-count of a prefix that ends with a chunk is the count of the shorter prefix plus the chunk's own count; a chunk's
-count comes from the tokenizer library itself and is remembered. The resulting table (byte end of each chunk, tokens
-up to it) answers truncation and budget questions by binary search, without encoding again.
+The table of a text holds, for every prefix, the exact number of tokens that the tokenizer gives for that prefix alone. It
+answers counts, truncation and budget questions without encoding again: `counts` reads it, `cut` finds the longest prefix
+within a limit. It is kept as one step (difference of counts) for each UTF-8 byte.
 
-Use only with a tokenizer that drops white space before its merges, such as word_bpe_49k.json; `check_splits` tests it.
+A text is cut at ASCII white space into chunks, and a chunk into the tokenizer's words; neither is joined by a merge, so a
+prefix costs what the whole words before its last one cost, and the last one's beginning. Inside a word, byte pair
+encoding has this recurrence: the encoding of the first i symbols ends with the one token t whose neighbour, the last token
+of the first i - |t| symbols, stands next to it when the two are encoded as a pair; its count is one more than theirs. A
+word's last symbol carries the word-end mark, so each prefix has two entries: as the inside of a longer word, and as a word.
+Prefixes of words are shared by many words and are remembered, as are words and chunks.
 
-Memory is bounded: one Arrow batch of texts and at most `cache` chunk counts per worker. Defined cases: null text is
-empty; special strings inside texts are handled as the library does by default; rows are independent, so ties,
-repeated rows and empty tables need nothing; other columns are ignored.
+The library itself counts every distinct chunk too. Where it disagrees (letters that its Unicode tables and Python's
+class differently), its count holds, and inside that chunk a prefix has the tokens that end in it.
+
+Defined cases: a prefix that ends inside a code point, or parts a letter from marks that compose with it, counts as the
+prefix before that letter; null text is empty; special strings inside texts are handled as the library does by
+default; rows are independent, so ties, repeated rows and empty tables need nothing; other columns are ignored. Use only
+with a tokenizer of the kind of word_bpe_49k.json; `check_splits` tests it.
+
+Memory is bounded: a slice of texts with their tables, and the memories named below, per worker.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import functools
+import json
+import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.lean import arrow
 
-CACHE = 1_000_000
+#: Bytes that a worker's chunks and their steps take, about, with so many beside each one's text; and entries of the memories of words and pairs.
+CACHE, BESIDE, ENTRIES = 180_000_000, 190, 300_000
+#: Prefixes of at most so many symbols are remembered by themselves.
+SHARED = 24
+_space = np.zeros(256, bool)
+_space[[9, 10, 11, 12, 13, 32]] = True
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, the rest from 256 up, in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    other = iter(range(256, 512))
+    return [chr(b) if b in set(plain) else chr(next(other)) for b in range(256)]
+
+
+LETTERS = byte_letters()
+
+
+class PrefixCounts:
+    """Counts of every prefix of a word, and of a chunk of words, for one tokenizer file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        self.mark = model["end_of_word_suffix"]
+        self.rank = {tuple(m): i for i, m in enumerate(tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"])}
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        # the library's white space is Unicode's, which leaves out four control characters that Python counts in
+        self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        tokens = set(model["vocab"]) - set(self.special)
+        self.inside = {t for t in tokens if not t.endswith(self.mark)}
+        self.ending = {t[: -len(self.mark)] for t in tokens if t.endswith(self.mark)}
+        self.longest = max(map(len, self.inside | self.ending))
+        self.pairs: dict[tuple[str, str, bool], bool] = {}
+        self.shared: dict[str, tuple[int, int, int]] = {}
+        self.words: dict[str, bytes] = {}
+
+    def merge(self, symbols: list[str]) -> list[str]:
+        """Byte pair encoding of few symbols, by the letter: the least rank first, the first of equals."""
+        while len(symbols) > 1:
+            r, at = min((self.rank.get(p, len(self.rank)), i) for i, p in enumerate(zip(symbols, symbols[1:])))
+            if r == len(self.rank):
+                break
+            symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
+        return symbols
+
+    def stands(self, before: str, token: str, ends: bool) -> bool:
+        """Whether `token` stays a token of its own behind the token `before` ("": at the start)."""
+        key = before, token, ends
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) >= ENTRIES:
+                self.pairs.clear()
+            symbols = [*before, *token]
+            if ends:
+                symbols[-1] += self.mark
+            known = self.pairs[key] = self.merge(symbols) == [*[before] * bool(before), token + self.mark * ends]
+        return known
+
+    def symbols(self, m: str) -> list[int]:
+        """Tokens of each prefix of a word in byte letters, taken as a word of its own."""
+        count, last, out = [0], [0], []
+        shared, pairs = self.shared, self.pairs
+        for i in range(1, len(m) + 1):
+            known = shared.get(m[:i]) if i <= SHARED else None
+            if known is None:
+                found = []
+                for tokens, ends in ((self.inside, False), (self.ending, True)):
+                    for at in range(max(0, i - self.longest), i):
+                        token = m[at:i]
+                        if token in tokens:
+                            before = m[at - last[at] : at]
+                            fits = pairs.get((before, token, ends))
+                            if self.stands(before, token, ends) if fits is None else fits:
+                                found.append(at)
+                                break
+                    else:
+                        raise ValueError(f"no token ends {m[:i]!r}")
+                known = count[found[0]] + 1, i - found[0], count[found[1]] + 1
+                if i <= SHARED:
+                    if len(shared) >= ENTRIES:
+                        shared.clear()
+                    shared[m[:i]] = known
+            count.append(known[0])
+            last.append(known[1])
+            out.append(known[2])
+        return out
+
+    def word(self, w: str) -> tuple[int, ...]:
+        """Tokens of each prefix, by code points."""
+        if w.isascii() and w.isprintable():
+            counts = tuple(self.symbols(w))
+        else:
+            raw = [c.encode("utf-8", "surrogatepass") for c in w]
+            all_ = self.symbols("".join(LETTERS[b] for c in raw for b in c))
+            counts = tuple(all_[e - 1] for e in accumulate(map(len, raw)))
+        if len(w) > 2 and w[0] == "'" and w[1].isalpha():  # a contraction's beginning is two words
+            counts = (counts[0], counts[0] + self.word(w[1])[0], *counts[2:])
+        return counts
+
+    def steps(self, w: str) -> bytes:
+        """A word's counts as differences, one signed byte for each of its bytes; remembered."""
+        known = self.words.get(w)
+        if known is None:
+            counts = self.word(w)
+            known = b"".join(b"\0" * (len(c.encode()) - 1) + (n - b).to_bytes(1, signed=True) for c, b, n in zip(w, (0, *counts), counts))
+            if len(w) <= 64:
+                if len(self.words) >= ENTRIES:
+                    self.words.clear()
+                self.words[w] = known
+        return known
+
+    def plain(self, text: str) -> list[int]:
+        """Tokens of each prefix of normalized text; letters outside the tokenizer's words, such as wide spaces, add none."""
+        out: list[int] = []
+        before = 0
+        for m in self.split.finditer(text):
+            if len(out) < m.start():
+                out += [before] * (m.start() - len(out))
+            out += [before + n for n in self.word(m[0])]
+            before = out[-1]
+        return out + [before] * (len(text) - len(out))
+
+    def part(self, text: str) -> tuple[list[int], list[int]]:
+        """(counts, bytes): prefixes of text without special strings, one for each letter with its marks."""
+        pieces = list(text) if unicodedata.is_normalized("NFC", text) else composed(text)
+        lower = [lowered(p) for p in pieces]
+        counts = self.plain("".join(lower))
+        if len(counts) > len(pieces):
+            counts = [counts[e - 1] for e in accumulate(map(len, lower))]
+        return counts, [len(p.encode()) for p in pieces]
+
+    def chunk(self, text: str) -> bytes:
+        """Steps of a chunk, a byte each; OverflowError if one does not fit."""
+        if "<" not in text or not self.special_at.search(text):
+            low = text.lower() if text.isascii() else "".join(map(lowered, text)) if unicodedata.is_normalized("NFC", text) else None
+            if low is not None and (text.isascii() or [len(c.encode()) for c in low] == [len(c.encode()) for c in text]):
+                words = self.split.findall(low)
+                if sum(map(len, words)) == len(text):
+                    return b"".join([self.words.get(w) or self.steps(w) for w in words])
+        counts, sizes, at, first = [], [], 0, 0
+        for m in [*self.special_at.finditer(text), None]:
+            # up to the special string's last letter it is text like any other
+            end = m.end() if m else len(text)
+            own, own_sizes = self.part(text[at:end])
+            if m and len(own):
+                own[-1] = (self.part(text[at : m.start()])[0] or [0])[-1] + 1
+            counts += [first + n for n in own]
+            sizes += own_sizes
+            at, first = end, counts[-1] if counts else 0
+        # bytes inside a letter belong to the prefix before it
+        return b"".join(b"\0" * (size - 1) + (n - b).to_bytes(1, signed=True) for size, b, n in zip(sizes, (0, *counts), counts))
+
+
+@functools.lru_cache(65536)
+def lowered(piece: str) -> str:
+    """NFC, then each code point's lower case by itself."""
+    return "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
+
+
+def composed(text: str) -> list[str]:
+    """Pieces that normalization does not join: a letter with what composes with it."""
+    out: list[str] = []
+    for c in text:
+        if out and (unicodedata.combining(c) or unicodedata.normalize("NFC", out[-1] + c) != unicodedata.normalize("NFC", out[-1]) + unicodedata.normalize("NFC", c)):
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
 _counters: dict[str, ChunkCounter] = {}
 
 
 class ChunkCounter:
-    """Exact token counts of white-space-free chunks, remembered up to a bound."""
+    """Prefix steps of white-space-free chunks, remembered up to a bound of bytes, with the library's own totals."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -38,9 +225,11 @@ class ChunkCounter:
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_truncation()
         self.encoder.no_padding()
-        self.known: dict[bytes, int] = {}
-        self.older: dict[bytes, int] = {}
-        self.cache = cache
+        self.prefixes = PrefixCounts(path)
+        # steps of a byte each, or of four where one needs more, which is rare
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.cache, self.held = cache, 0
 
     @classmethod
     def of(cls, path: str) -> ChunkCounter:
@@ -50,84 +239,112 @@ class ChunkCounter:
 
     def learn(self, chunks: set[bytes]) -> None:
         """Two generations: what a full cache still uses moves on, the rest is dropped."""
-        if len(self.known) > self.cache // 2:
-            self.known, self.older = {}, self.known
+        if self.held > self.cache // 2:
+            self.known, self.older, self.held = {}, self.known, 0
         new = chunks - self.known.keys()
         for chunk in new & self.older.keys():
             self.known[chunk] = self.older[chunk]
+        self.held += sum(2 * len(c) + BESIDE for c in new)
         new = list(new - self.older.keys())
         for at in range(0, len(new), 20_000):
-            self.known.update(self.encode(new[at : at + 20_000]))
+            self.encode(new[at : at + 20_000])
 
-    def encode(self, chunks: list[bytes]) -> zip:
-        """Counts of chunks by one call over all of them: each token belongs to the chunk that it starts in."""
+    def encode(self, chunks: list[bytes]) -> None:
+        """One call of the library over all chunks: each token belongs to the chunk that it starts in."""
         words = [c.decode() for c in chunks]
-        sizes = np.fromiter(map(len, words), "i8", len(words)) + 1
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        got = self.encoder.encode(" ".join(words), add_special_tokens=False).offsets
-        first = np.fromiter((a for a, _ in got), "i8", len(got))
-        return zip(chunks, np.diff(np.searchsorted(first, starts)).tolist())
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1)))
+        offsets = self.encoder.encode(" ".join(words), add_special_tokens=False).offsets
+        first = np.fromiter((a for a, _ in offsets), "i8", len(offsets))
+        bounds = np.searchsorted(first, starts).tolist()
+        for k, (chunk, word) in enumerate(zip(chunks, words)):
+            try:
+                steps = self.prefixes.chunk(word)
+            except (ValueError, OverflowError):  # letters that the tokenizer lacks, or a step beyond a byte
+                steps = b""
+            total = bounds[k + 1] - bounds[k]
+            if len(steps) != len(chunk) or sum(steps) - 256 * sum(x > 127 for x in steps) != total:
+                ends = np.array([b for _, b in offsets[bounds[k] : bounds[k + 1]]], "i8") - starts[k]
+                size = np.array([len(c.encode()) for c in word], "i8")
+                by_letter = np.searchsorted(np.sort(ends), np.arange(1, len(word) + 1), "right")
+                counts = np.repeat(np.concatenate(([0], by_letter[:-1])), size)
+                counts[np.cumsum(size) - 1] = by_letter
+                counts[-1] = total
+                step = np.diff(counts, prepend=0)
+                narrow = step.astype("i1")
+                steps = (narrow if (narrow == step).all() else step.astype("i4")).tobytes()
+            self.known[chunk] = steps
 
-    def counts(self, chunks: list[bytes]) -> list[int]:
-        """Per chunk; call learn() first."""
-        return list(map(self.known.__getitem__, chunks))
+    def table(self, text: bytes, chunks: list[bytes]) -> np.ndarray:
+        """Steps of the prefix counts of a whole text, a byte each; call learn() first."""
+        own = list(map(self.known.__getitem__, chunks))
+        raw = np.frombuffer(text, "u1")
+        there = ~_space[raw]
+        steps = b"".join(own)
+        if len(steps) == there.sum():
+            out = np.zeros(len(raw), "i1")
+            out[there] = np.frombuffer(steps, "i1")
+            return out
+        out = np.zeros(len(raw), "i4")
+        out[there] = np.concatenate([np.frombuffer(s, "i1" if len(s) == len(c) else "i4") for s, c in zip(own, chunks)])
+        return out
 
 
-def prefix_table(text: bytes, counter: ChunkCounter) -> tuple[np.ndarray, np.ndarray]:
-    """Byte end of each chunk and the tokens of the prefix that ends there."""
+def prefix_steps(text: bytes, counter: ChunkCounter) -> np.ndarray:
+    """The table of one text."""
     chunks = text.split()
     counter.learn(set(chunks))
-    ends, at = [], 0
-    for chunk in chunks:
-        at = text.index(chunk, at) + len(chunk)
-        ends.append(at)
-    return np.array(ends, "i8"), np.fromiter(accumulate(counter.counts(chunks)), "i8", len(chunks))
+    return counter.table(text, chunks)
+
+
+def counts(steps: np.ndarray) -> np.ndarray:
+    """Tokens of the prefix that ends with each byte."""
+    return np.cumsum(steps, dtype="i8")
+
+
+def unpack(table: bytes, n_bytes: int) -> np.ndarray:
+    """Steps from a stored table: one byte each, or four where a step needs them."""
+    return np.frombuffer(table, "i1" if len(table) == n_bytes else "<i4")
 
 
-def truncate_at(ends: np.ndarray, totals: np.ndarray, limit: int) -> int:
-    """Bytes of the longest prefix of whole chunks with at most `limit` tokens."""
-    k = bisect_right(totals, limit)
-    return int(ends[k - 1]) if k else 0
+def cut(text: bytes, steps: np.ndarray, limit: int) -> int:
+    """Bytes of the longest prefix of whole code points with at most `limit` tokens, white space behind it left out."""
+    tokens = counts(steps)
+    if not len(tokens) or tokens[-1] <= limit:
+        return len(text.rstrip())
+    good = np.flatnonzero(tokens <= limit)
+    # a prefix ends where the next byte begins a code point
+    good = good[(np.frombuffer(text, "u1")[np.minimum(good + 1, len(text) - 1)] & 0xC0) != 0x80]
+    return len(text[: int(good[-1]) + 1].rstrip()) if len(good) else 0
 
 
 def count_tokens(df: DataFrame, path: str, limit: int = 2048, prefixes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, cut_bytes (longest prefix of whole chunks within limit)[, ends, totals]."""
+    """doc_id, n_bytes, n_tokens, over_limit, cut_bytes (longest prefix within limit)[, prefix_table], all from the prefix table."""
     key = df.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key}, n_bytes bigint, n_tokens bigint, over_limit boolean, cut_bytes bigint" + ", ends array<bigint>, totals array<bigint>" * prefixes
+    schema = f"doc_id {key}, n_bytes bigint, n_tokens bigint, over_limit boolean, cut_bytes bigint" + ", prefix_table binary" * prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = ChunkCounter.of(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
                 chunks = [t.split() for t in texts]
                 counter.learn(set(chain.from_iterable(chunks)))
-                totals = [np.fromiter(accumulate(counter.counts(c)), "i8", len(c)) for c in chunks]
-                n = [int(t[-1]) if len(t) else 0 for t in totals]
-                cut, ends = [], []
-                for t, text, total in zip(n, texts, totals):
-                    if prefixes:
-                        ends.append(prefix_table(text, counter)[0])
-                        cut.append(truncate_at(ends[-1], total, limit))
-                    elif t <= limit:
-                        cut.append(len(text.rstrip()))
-                    else:  # only the chunks up to the cut are looked at
-                        k = bisect_right(total, limit)
-                        tail = text.split(None, k)[-1]
-                        cut.append(len(text[: len(text) - len(tail)].rstrip()) if k else 0)
-                out = [part.column("doc_id"), pa.array(map(len, texts), "i8"), pa.array(n, "i8"), pa.array([x > limit for x in n], pa.bool_()), pa.array(cut, "i8")]
+                tables = [counter.table(t, c) for t, c in zip(texts, chunks)]
+                n = [int(t.sum(dtype="i8")) for t in tables]
+                cuts = [cut(t, s, limit) for t, s in zip(texts, tables)]
+                out = [part.column("doc_id"), pa.array(map(len, texts), "i8"), pa.array(n, "i8"), pa.array([x > limit for x in n], pa.bool_()), pa.array(cuts, "i8")]
                 names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"]
                 if prefixes:
-                    out += [pa.array([e.tolist() for e in ends], pa.list_(pa.int64())), pa.array([t.tolist() for t in totals], pa.list_(pa.int64()))]
-                    names += ["ends", "totals"]
+                    out.append(pa.array([t.tobytes() for t in tables], pa.binary()))
+                    names.append("prefix_table")
                 yield pa.RecordBatch.from_arrays(out, names)
 
     return df.select("doc_id", F.col("text").cast("string").alias("text")).transform(arrow, run, schema)
 
 
 def check_splits(path: str, texts: list[str]) -> bool:
-    """Whether chunk counts add up to the library's count of the whole text."""
+    """Whether the last counts of the prefix tables are the library's counts of whole texts."""
     counter = ChunkCounter(path)
     whole = [len(e.ids) for e in counter.encoder.encode_batch(texts, add_special_tokens=False)]
-    return [int(t[-1]) if len(t) else 0 for t in (prefix_table(x.encode(), counter)[1] for x in texts)] == whole
+    return [int(prefix_steps(x.encode(), counter).sum(dtype="i8")) for x in texts] == whole

@@ -100,14 +100,13 @@ def test_token_counts(spark):
     texts = ["", None, " ", "don't STOP", "a<|endoftext|>b <|startoftext|>", "x\u2003y\x1cz", "e\u0301 \u0301a", "12 345 …!? ΣΑΣ ΑΣ\tİ", "ab" * 20000, "\ufeff \u00a0q"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(0, "dup dup dup")], "doc_id bigint, text string").withColumn("n_tokens", F.lit("clash"))
     out = tokens.count_tokens(df, path, 3, prefixes=True).collect()
-    assert sorted((r.doc_id, r.n_tokens, r.n_bytes) for r in out) == sorted(
-        (i, len(t.encode(x or "", add_special_tokens=False).ids), len((x or "").encode())) for i, x in [*enumerate(texts), (0, "dup dup dup")]
-    )
+    count = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    assert sorted((r.doc_id, r.n_tokens, r.n_bytes) for r in out) == sorted((i, count(x or ""), len((x or "").encode())) for i, x in [*enumerate(texts), (0, "dup dup dup")])
     for r in out:
-        text = (texts[r.doc_id] or "").encode() if r.n_bytes != 11 else b"dup dup dup"
-        for end, total in zip(r.ends[:50], r.totals):
-            assert len(t.encode(text[:end].decode(), add_special_tokens=False).ids) == total
-        assert len(t.encode(text[: r.cut_bytes].decode(), add_special_tokens=False).ids) <= 3
+        raw = (texts[r.doc_id] or "").encode() if r.n_bytes != 11 else b"dup dup dup"
+        assert len(raw) == r.n_bytes and count(raw[: r.cut_bytes].decode()) <= 3
+        own = tokens.counts(tokens.unpack(r.prefix_table, r.n_bytes))
+        assert len(own) == r.n_bytes and (not len(own) or own[-1] == r.n_tokens)
     plain = {(r.doc_id, r.n_bytes): r.cut_bytes for r in tokens.count_tokens(df, path, 3).collect()}
     assert plain == {(r.doc_id, r.n_bytes): r.cut_bytes for r in out}
     docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
@@ -117,3 +116,33 @@ def test_token_counts(spark):
     ids = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
     assert [got[i] for i in ids] == whole
     assert tokens.count_tokens(df.limit(0), path).count() == 0
+
+
+def test_every_prefix_has_the_library_count():
+    """Texts of many kinds, prefix by prefix; prefixes that part a letter from its marks are defined to end before it."""
+    import random
+    import unicodedata
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, counter, rng = Tokenizer.from_file(path), tokens.ChunkCounter(path, cache=20_000), random.Random(2)
+    alphabet = "abcdefghijklmnopqrstuvwxyz'!.<|>0123ABCéßñяжΣİẞ日本한글\ue000😀 \t\n\u2003\u00a0\x1c"
+    texts = ["they'reX 'r'll''s !'s", "a<|endoftext|>b!!<|startoftext|><|endoftext|>!", "<|endoftex<|endoftext|>", "ΣΑΣ", "zz" * 300, "-" * 500, "日本語のテキスト" * 20]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    texts += ["".join(rng.choice(["the", "ing", "ation", "un", "s", "'s", "xx", "!!", "==", "1", " ", "ß", "ção"]) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    for text in texts:
+        raw = text.encode()
+        got = tokens.counts(tokens.prefix_steps(raw, counter))
+        ends = np.cumsum([len(c.encode()) for c in text]) - 1
+        assert got[ends].tolist() == [len(t.encode(text[: i + 1], add_special_tokens=False).ids) for i in range(len(text))], text
+        for limit in (0, 1, 5):
+            fits = [i for i in range(len(text) + 1) if len(t.encode(text[:i], add_special_tokens=False).ids) <= limit]
+            assert tokens.cut(raw, tokens.prefix_steps(raw, counter), limit) == len(text[: fits[-1]].encode().rstrip())
+    text = "e\u0301a\u0327\u0301b \u1100\u1161\u11a8x"
+    got = tokens.counts(tokens.prefix_steps(text.encode(), counter))
+    whole = [i for i in range(1, len(text) + 1) if unicodedata.normalize("NFC", text).startswith(unicodedata.normalize("NFC", text[:i])) and (i == len(text) or not unicodedata.combining(text[i])) and text[i : i + 1] not in "\u1161\u11a8"[: 2 * (i < len(text))]]
+    for i in whole:
+        assert got[len(text[:i].encode()) - 1] == len(t.encode(text[:i], add_special_tokens=False).ids)
