@@ -30,26 +30,36 @@ def clustered_copy(df: DataFrame, path: str, key: str, partitions: int | None =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only a local session, all of one machine, may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir is unset: it must name a folder that the driver and all executors of {master} share")
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera"
+    return f"file://{tempfile.gettempdir()}/tessera"
 
 
-_made: list[str] = []
+_made: set[str] = set()
+
+
+def _delete(spark: SparkSession, paths) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 @atexit.register
 def _clean() -> None:
-    """Staged tables go when the program ends."""
+    """Staged tables that are left go when the program ends."""
     spark = SparkSession.getActiveSession()
     if spark is None or not _made:
         return
     try:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for name in _made:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _made)
     except Exception:  # the JVM may be gone already; the folder is then left to its owner
         return
 
@@ -57,6 +67,16 @@ def _clean() -> None:
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.add(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete staged tables that no frame still to be run reads; frames that are not staged tables are left alone."""
+    paths = {f.staged_path for f in frames if getattr(f, "staged_path", None) in _made}
+    if paths:
+        _delete(frames[0].sparkSession, paths)
+        _made.difference_update(paths)
