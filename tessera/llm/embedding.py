@@ -6,16 +6,20 @@ order of the summed squared distance of their codewords to the query's halves, o
 the number of cells in which RECALL of PROBES sampled queries have all their true neighbours, found by brute force among
 all vectors. Fewer than FEW queries with a neighbour do not show that number; the stop then also holds for made
 neighbours, at the threshold in random directions. Cosines are computed in double precision, and only pairs at or above
-the threshold are links.
+the threshold are links. A pair is found if either of its vectors visits the other's cell, and then counts for both.
 
 Equal vectors are one entry with a count, so exact copies cost nothing and do not weigh in the stop. Codebooks are fitted on
-at most SAMPLE entries (the first by hash); every row is indexed and every row is a query. A cell's entries are
-cut into blocks of BLOCK, met by the same queries, so a dense cell is spread over tasks. A block compares its queries and
-entries as one matrix; per query it returns a count, and per connected piece links to its least id, not all pairs.
+at most SAMPLE entries and SAMPLE_BYTES (the first by hash); the grid grows with the number of vectors as far as the sample
+can fit it; every row is indexed and every row is a query. A cell's entries are cut into blocks of BLOCK, met by the same
+queries, so a dense cell is spread over tasks. A block compares its queries and entries as one matrix; per vector it
+returns a count, and per connected piece links to its least id, not all pairs.
 
-Defined cases: vectors that are null, zero, of another length than most of the sample's, or with a null or non-finite
-component link with nothing; rows that share a vec_id are one node in components and separate entries otherwise; ties
-need nothing, as all pairs at the threshold count; an empty table gives no rows; other columns are ignored.
+Vectors of different lengths are never neighbours. Lengths between two powers of two share one index, in which shorter
+vectors are filled up with zeros, so there are at most some thirty indexes, however many lengths there are.
+
+Defined cases: vectors that are null, zero or with a null or non-finite component link with nothing; rows that share a
+vec_id are one node in components and separate entries otherwise; ties need nothing, as all pairs at the threshold count;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,27 +33,37 @@ from pyspark.sql import functions as F
 
 from tessera.llm.lean import arrow
 from tessera.llm.links import components
-from tessera.sources.tables import staged
+from tessera.sources.tables import release, staged
 
-SAMPLE = 20_000
+SAMPLE, SAMPLE_BYTES = 80_000, 64 << 20
 RECALL = 0.999
 BLOCK = 2048
-#: Most codewords of a half, so the grid has at most CODEWORDS**2 cells whatever the input.
-CODEWORDS = 512
+#: A cell of the grid is to hold about so many vectors; vectors of the sample for each codeword.
+CELL, PER_WORD = 16, 20
 LEAST_VISITS = 8
 PROBES, FEW = 2000, 1000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors. Scaled first, so that no square overflows or vanishes."""
     x = x.astype("f8")
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def filled(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a list column, filled up with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), dim))
+    out[np.arange(dim) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def codebook(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = distances(x, c).argmin(1)
+        near = np.concatenate([distances(x[at : at + 4096], c).argmin(1) for at in range(0, len(x), 4096)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)[:, None]
@@ -65,8 +79,8 @@ class MultiIndex:
     def __init__(self, x: np.ndarray, rows: int):
         """x: distinct unit vectors of the sample; rows: vectors in all, for a grid whose cells hold a like number at any size."""
         self.half = x.shape[1] // 2
-        k = 2 ** int(np.log2(max(rows / 16, 1)) / 2)
-        self.k = int(min(k, CODEWORDS, max(len(x) // 20, 1)))
+        k = 2 ** int(np.log2(max(rows / CELL, 1)) / 2)
+        self.k = int(min(k, max(len(x) // PER_WORD, 1)))
         self.books = codebook(x[:, : self.half], self.k), codebook(x[:, self.half :], self.k, seed=1)
         self.visits = LEAST_VISITS
 
@@ -109,49 +123,61 @@ class MultiIndex:
         return out
 
 
-def compare(entries: tuple, queries: tuple, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Of one block: links of each query, counted with copies, and edges that connect what the links connect."""
-    (e_id, e_x, e_n), (q_id, q_x) = entries, queries
-    count, edges = np.zeros(len(q_id), "i8"), []
-    label = {}
+def joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of n nodes is connected with, by the links i - j."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        # a label's own label is as good and saves rounds
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-    def find(v: int) -> int:
-        while label.setdefault(v, v) != v:
-            label[v] = label[label[v]]
-            v = label[v]
-        return v
 
-    for at in range(0, len(q_id), 1024):
-        hit = (q_x[at : at + 1024] @ e_x.T >= threshold) & (q_id[at : at + 1024, None] != e_id)
-        count[at : at + 1024] = hit @ e_n
-        for i in np.flatnonzero(hit.any(1)):
-            a = find(int(q_id[at + i]))
-            for j in np.unique(e_id[hit[i]]).tolist():
-                b = find(j)
-                if a != b:
-                    label[max(a, b)] = min(a, b)
-                    a = min(a, b)
-    edges = [(v, find(v)) for v in label if find(v) != v]
-    return count, edges
+def compare(entries: tuple, queries: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One block: (ids, links that each gains, counted with copies) and edges (a, b) that connect what the links connect.
 
+    entries: id, vector, size, count, cells they visit themselves; queries: id, vector, size, count, own cell. A query gains
+    its links here; an entry gains those of queries whose cell it does not visit, as no block of that cell counts them.
+    """
+    (e_id, e_x, e_size, e_n, e_walk), (q_id, q_x, q_size, q_n, q_cell) = entries, queries
+    gain, edges = {}, []
 
-def near_duplicates(df: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
-    spark = df.sparkSession
-    rows = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    sane = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = rows.where(sane & F.col("vec_id").isNotNull())
-    sizes = [r.n for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select(F.size("v").alias("n")).collect()]
-    if not sizes:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    dim = max(set(sizes), key=sizes.count)
-    good = good.where(F.size("v") == dim)
+    def add(ids, n):
+        for v, k in zip(ids.tolist(), n.tolist()):
+            if k:
+                gain[v] = gain.get(v, 0) + k
 
-    # equal vectors are one entry; its id is their least
-    entries = staged(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("entry", F.monotonically_increasing_id()), "vectors")
-    sample = entries.orderBy(F.xxhash64("v"), "id").limit(SAMPLE).select("entry", "v").collect()
-    index = MultiIndex(unit(np.array([r.v for r in sample])), entries.count())
-    probe, probe_id = unit(np.array([r.v for r in sample[:PROBES]])), np.array([r.entry for r in sample[:PROBES]])
+    for at in range(0, len(q_id), 1024):
+        part = slice(at, at + 1024)
+        hit = (q_x[part] @ e_x.T >= threshold) & (q_id[part, None] != e_id) & (q_size[part, None] == e_size)
+        i, j = np.nonzero(hit)
+        if not len(i):
+            continue
+        add(q_id[part], np.bincount(i, e_n[j], len(q_id[part])).astype("i8"))
+        alone = np.concatenate([(e_walk[j[k : k + 65536]] != q_cell[part][i[k : k + 65536], None]).all(1) for k in range(0, len(i), 65536)])
+        add(e_id, np.bincount(j[alone], q_n[part][i[alone]], len(e_id)).astype("i8"))
+        nodes, at_node = np.unique(np.concatenate((q_id[part][i], e_id[j])), return_inverse=True)
+        least = nodes[joined(at_node[: len(i)], at_node[len(i) :], len(nodes))]
+        edges.append(np.stack((nodes, least))[:, nodes != least])
+    a, b = np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.zeros((2, 0), "i8")
+    return np.array(list(gain), "i8"), np.array(list(gain.values()), "i8"), a, b
+
+
+def links_of(entries: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n) of entries (entry, v, n), whose lengths differ by less than two times: n links more for a, or an edge a - b if n is 0."""
+    rows, dim = entries.agg(F.count("*"), F.max(F.size("v"))).first()
+    most = max(min(SAMPLE, SAMPLE_BYTES // (8 * dim)), 1)
+    sample = pa.chunked_array([r.column(0) for r in entries.orderBy(F.xxhash64("v"), "entry").limit(most).select("v", "entry").toArrow().to_batches()] or [[]])
+    ids = entries.orderBy(F.xxhash64("v"), "entry").limit(PROBES).select("entry").toArrow()
+    x = unit(filled(sample.combine_chunks(), dim))
+    index = MultiIndex(x, rows)
+    probe, probe_id = x[:PROBES], ids.column(0).to_numpy()
+    del sample, x
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         da, db = index.grid(probe)
@@ -159,7 +185,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = unit(np.array(part.column(0).to_pylist()))
+                x = unit(filled(part.column(0), dim))
                 i, j = np.nonzero((probe @ x.T >= threshold) & (probe_id[:, None] != part.column(1).to_numpy()))
                 cell = index.cells(x)[j]
                 np.maximum.at(far, i, da[i, cell // index.k] + db[i, cell % index.k])
@@ -172,56 +198,78 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = unit(np.array(batch.column(0).to_pylist()))
-                raw = [v.tobytes() for v in x]
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x = unit(filled(part.column(0), dim))
+                walk = np.ascontiguousarray(index.walk(x).astype("<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), batch.column(2), pa.array(raw, pa.binary()), pa.array(index.cells(x)), pa.array(index.walk(x).tolist(), pa.list_(pa.int64()))],
-                    ["entry", "n", "x", "cell", "walk"],
-                )
+                    [part.column(1), part.column(2), pa.array(np.diff(part.column(0).offsets.to_numpy()).astype("i4")), pa.array([v.tobytes() for v in x], pa.binary()),
+                     pa.array(index.cells(x)), pa.array([w.tobytes() for w in walk], pa.binary()), pa.array(walk.tolist(), pa.list_(pa.int32()))],
+                    ["entry", "n", "size", "x", "cell", "seen", "walk"],
+                )
 
-    placed = staged(entries.select("v", "entry", "n").transform(arrow, place, "entry bigint, n bigint, x binary, cell bigint, walk array<bigint>"), "vector-cells")
-    # cells: at most k*k rows, whatever the input
+    placed = staged(entries.select("v", "entry", "n").transform(arrow, place, "entry bigint, n bigint, size int, x binary, cell bigint, seen binary, walk array<int>"), "vector-cells")
+    # one row for each cell in use; Spark broadcasts them if they are few
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("entry"), F.col("blocks")).alias("block"), "entry", "x", "n")
-    asks = placed.select("entry", "x", F.explode("walk").alias("cell")).join(F.broadcast(blocks), "cell")
-    asks = asks.select("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "entry", "x", F.lit(0).cast("bigint").alias("n"))
+    own = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("entry"), F.col("blocks")).alias("block"), "entry", "x", "size", "n", F.col("cell").alias("home"), "seen")
+    asks = placed.select("entry", "x", "size", "n", F.col("cell").alias("home"), F.explode(F.col("walk").cast("array<bigint>")).alias("cell")).join(blocks, "cell")
+    asks = asks.select("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "entry", "x", "size", "n", "home", F.lit(None).cast("binary").alias("seen"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by cell, block and entries first: a block's entries stay, its queries pass in slices."""
-        at, held, e = None, [], None
+        at, held, e, queue = None, [], None, []
 
-        def flush(key, queries):
+        def flush():
             nonlocal e
             if e is None:
-                e = (np.array([h[0] for h in held], "i8"), np.stack([np.frombuffer(h[1]) for h in held]), np.array([h[2] for h in held], "i8"))
-            q = (np.array([r[0] for r in queries], "i8"), np.stack([np.frombuffer(r[1]) for r in queries]))
-            count, edges = compare(e, q, threshold)
-            a = [*q[0][count > 0].tolist(), *(v for v, _ in edges)]
-            b = [*[-1] * int((count > 0).sum()), *(w for _, w in edges)]
-            return pa.RecordBatch.from_arrays([pa.array(a, "i8"), pa.array(b, "i8"), pa.array([*count[count > 0].tolist(), *[0] * len(edges)], "i8")], ["a", "b", "n"])
-
-        queue: list = []
+                e = arrays(held)[:4] + (np.stack([np.frombuffer(h[5], "<i4") for h in held]),)
+            ids, gains, a, b = compare(e, arrays(queue), threshold)
+            queue.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids, a))), pa.array(np.concatenate((ids, b))), pa.array(np.concatenate((gains, np.zeros(len(a), "i8"))))], ["a", "b", "n"])
+
+        def arrays(rows):
+            return tuple(np.stack([np.frombuffer(r[k]) for r in rows]) if k == 1 else np.array([r[k] for r in rows], "i8") for k in range(5))
+
         for batch in batches:
-            for cell, block, entry, x, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for cell, block, *row in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if (cell, block) != at:
                     if queue and held:
-                        yield flush(at, queue)
-                    at, held, e, queue = (cell, block), [], None, []
-                if n:
-                    held.append((entry, x, n))
+                        yield flush()
+                    at, held, e = (cell, block), [], None
+                    queue.clear()
+                if row[5] is not None:
+                    held.append(row)
                 elif held:
-                    queue.append((entry, x))
+                    queue.append(row)
                     if len(queue) == 4096:
-                        yield flush(at, queue)
-                        queue = []
+                        yield flush()
         if queue and held:
-            yield flush(at, queue)
+            yield flush()
 
-    work = own.unionByName(asks).repartition("cell", "block").sortWithinPartitions("cell", "block", F.col("n").desc())
+    work = own.unionByName(asks).repartition("cell", "block").sortWithinPartitions("cell", "block", F.col("seen").isNull())
     found = staged(work.transform(arrow, search, "a bigint, b bigint, n bigint"), "vector-links")
-    counts = found.where("b = -1").groupBy(F.col("a").alias("entry")).agg(F.sum("n").alias("links"))
-    names = components(found.where("b <> -1").select("a", "b"))
+    release(placed)
+    return found
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row."""
+    rows = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    sane = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    good = rows.where(sane & F.col("vec_id").isNotNull())
+
+    # equal vectors are one entry; its id is their least
+    entries = good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumns({"entry": F.monotonically_increasing_id(), "bits": F.length(F.bin(F.size("v") - 1))})
+    entries = staged(entries, "vectors")
+    # an index for each power of two among the lengths, at most 31
+    found = [links_of(entries.where(F.col("bits") == r.bits), threshold) for r in entries.select("bits").distinct().orderBy("bits").collect()]
+    if not found:
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    counts = every.where("n > 0").groupBy(F.col("a").alias("entry")).agg(F.sum("n").alias("links"))
+    names = components(every.where("n = 0").select("a", "b"))
     # an entry's component is the least id of its entries' ids
     named = entries.join(names, entries["entry"] == names["node"], "left").select("v", "entry", "id", "n", F.coalesce("component", "entry").alias("comp"))
     ids = good.join(named.select("v", "comp", "n", F.col("entry")), "v")
@@ -229,10 +277,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     one = named.groupBy("comp").agg(F.min("id").alias("least"))
     linked = ids.join(one, "comp").join(counts, "entry", "left").select("vec_id", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     linked = staged(linked, "vector-rows")
+    release(entries, *found)
     shared = linked.groupBy("vec_id").agg(F.count_distinct("least").alias("k")).where("k > 1").select("vec_id")
     bridge = linked.join(shared, "vec_id", "left_semi").select(F.col("vec_id").alias("a"), F.col("least").alias("b"))
-    joined = components(bridge).withColumnRenamed("node", "least")
-    linked = linked.join(joined, "least", "left").select("vec_id", "n_links", F.coalesce("component", "least").alias("component_id"))
-    bad = rows.where(~F.coalesce(sane & (F.size("v") == dim), F.lit(False)) | F.col("vec_id").isNull())
+    merged = components(bridge).withColumnRenamed("node", "least")
+    linked = linked.join(merged, "least", "left").select("vec_id", "n_links", F.coalesce("component", "least").alias("component_id"))
+    bad = rows.where(~F.coalesce(sane, F.lit(False)) | F.col("vec_id").isNull())
     bad = bad.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(bad).withColumn("kept", F.col("vec_id").isNotNull() & (F.col("vec_id") == F.col("component_id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import staged
+from tessera.sources.tables import release, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,4 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = staged(large, "links")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = staged(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        last, e = e, staged(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        release(last, large)

@@ -71,3 +71,38 @@ def test_copies_do_not_hide_small_groups(spark):
     found = sum(out[1500 + i] for i in range(len(u)))
     print("recall", found / want.sum())
     assert found >= 0.995 * want.sum()
+
+
+def test_lengths_are_compared_each_for_itself(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for dim in (1, 3, 4, 5, 64, 65, 100):
+        base = rng.normal(size=(12, dim))
+        for v in np.concatenate((base, base + rng.normal(0, 0.2, base.shape), base[:3])):
+            rows.append((len(rows), [float(np.float32(c)) for c in v]))
+    # the same numbers at other lengths, with zeros behind, are no copies
+    rows += [(len(rows) + k, rows[70][1] + [0.0] * k) for k in range(3)] + [(900, []), (901, [1e300, -1e300]), (902, [1e-300, -1e-300])]
+    lengths = {len(v) for _, v in rows}
+    want = {r[0]: r for n in lengths for r in brute([x for x in rows if len(x[1]) == n])}
+    out = got(embedding.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")))
+    assert out == sorted(want.values())
+
+
+def test_links_are_symmetric_and_recall_holds_without_sampled_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(3000, 64))
+    near = base[:200] + rng.normal(0, 0.36, (200, 64))
+    x = np.concatenate((base, near))
+    rows = [(int(i), [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    monkeypatch.setattr(embedding, "PROBES", 20)
+    out = {r[0]: r for r in got(embedding.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")))}
+    u = embedding.unit(np.array([v for _, v in rows]))
+    s = u @ u.T >= 0.9
+    np.fill_diagonal(s, False)
+    pairs = [(int(a), int(b)) for a, b in zip(*np.nonzero(s)) if a < b]
+    assert len(pairs) > 100
+    # whoever has one partner shares its link with it
+    assert all(out[a][1] == out[b][1] for a, b in pairs if s[a].sum() == s[b].sum() == 1)
+    found = sum(r[1] for r in out.values()) / 2
+    print("recall", found / len(pairs))
+    assert found >= 0.99 * len(pairs)
