@@ -4,15 +4,17 @@ Unit vectors are cut in halves; each half has its own k-means codebook, and the
 cells. A vector is indexed in the cell of its two nearest codewords. To search, the multi-sequence walk visits cells in
 order of the summed squared distance of their codewords to the query's halves, over the whole grid; it stops after twice
 the number of cells in which RECALL of PROBES sampled queries have all their true neighbours, found by brute force among
-all vectors. Fewer than FEW queries with a neighbour do not show that number; the stop then also holds for made
-neighbours, at the threshold in random directions. Cosines are computed in double precision, and only pairs at or above
-the threshold are links. A pair is found if either of its vectors visits the other's cell, and then counts for both.
+all vectors. Fewer than FEW queries with a neighbour do not show that number; the stop then also lets RECALL_MADE of made
+pairs be found, which are the hardest there can be: just at the threshold, in random directions. Cosines are computed in
+double precision, and only pairs at or above the threshold are links. A pair is found if either of its vectors visits the
+other's cell, and then counts for both.
 
 Equal vectors are one entry with a count, so exact copies cost nothing and do not weigh in the stop. Codebooks are fitted on
 at most SAMPLE entries and SAMPLE_BYTES (the first by hash); the grid grows with the number of vectors as far as the sample
-can fit it; every row is indexed and every row is a query. A cell's entries are cut into blocks of BLOCK, met by the same
-queries, so a dense cell is spread over tasks. A block compares its queries and entries as one matrix; per vector it
-returns a count, and per connected piece links to its least id, not all pairs.
+can fit it; every row is indexed and every row is a query. Neighbouring cells of a row of the grid make a bucket, to which
+a query goes once with the cells that it visits there; a bucket of more than BLOCK entries is cut into blocks, met by the
+same queries, so a dense one is spread over tasks. A block compares each cell's queries and entries as one matrix; per
+vector it returns a count, and per connected piece links to its least id, not all pairs.
 
 Vectors of different lengths are never neighbours. Lengths between two powers of two share one index, in which shorter
 vectors are filled up with zeros, so there are at most some thirty indexes, however many lengths there are.
@@ -36,8 +38,10 @@ from tessera.llm.links import components
 from tessera.sources.tables import release, staged
 
 SAMPLE, SAMPLE_BYTES = 80_000, 64 << 20
-RECALL = 0.999
+RECALL, RECALL_MADE = 0.999, 0.99
 BLOCK = 2048
+#: Most buckets of several blocks that are broadcast (two numbers each); beyond it Spark chooses the join by size.
+BROADCAST = 100_000
 #: A cell of the grid is to hold about so many vectors; vectors of the sample for each codeword.
 CELL, PER_WORD = 16, 20
 LEAST_VISITS = 8
@@ -92,15 +96,17 @@ class MultiIndex:
         da, db = self.grid(probe)
         rank = lambda i, d: int((da[i][:, None] + db[i] <= d + 1e-9).sum())
         ranks = [rank(i, d) for i, d in far.items()]
-        need = int(np.quantile(ranks, RECALL, method="higher")) if ranks else 1
+        need, least = int(np.quantile(ranks, RECALL, method="higher")) if ranks else 1, LEAST_VISITS
         if len(ranks) < FEW:
             g = np.random.default_rng(2).normal(size=probe.shape)
             g -= (g * probe).sum(1, keepdims=True) * probe
             g /= np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-9)
-            cell = self.cells(threshold * probe + np.sqrt(max(1 - threshold**2, 0)) * g)
-            made = [rank(i, da[i, c // self.k] + db[i, c % self.k]) for i, c in enumerate(cell)]
-            need = max(need, int(np.quantile(made, RECALL, method="higher")))
-        self.visits = min(max(2 * need, LEAST_VISITS), self.k**2)
+            made = threshold * probe + np.sqrt(max(1 - threshold**2, 0)) * g
+            here, there, (ma, mb) = self.cells(probe), self.cells(made), self.grid(made)
+            back = lambda i, c: int((ma[i][:, None] + mb[i] <= ma[i, c // self.k] + mb[i, c % self.k] + 1e-9).sum())
+            either = [min(rank(i, da[i, c // self.k] + db[i, c % self.k]), back(i, h)) for i, (h, c) in enumerate(zip(here, there))]
+            least = max(least, int(np.quantile(either, RECALL_MADE, method="higher")))
+        self.visits = min(max(2 * need, least), self.k**2)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         a, b = distances(x[:, : self.half], self.books[0]).argmin(1), distances(x[:, self.half :], self.books[1]).argmin(1)
@@ -141,31 +147,31 @@ def joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 def compare(entries: tuple, queries: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One block: (ids, links that each gains, counted with copies) and edges (a, b) that connect what the links connect.
 
-    entries: id, vector, size, count, cells they visit themselves; queries: id, vector, size, count, own cell. A query gains
-    its links here; an entry gains those of queries whose cell it does not visit, as no block of that cell counts them.
+    Both are (id, vector, size, count, own cell, visited cells); entries are sorted by cell, with all the cells that they
+    visit themselves, and queries have those of this bucket. A query gains its links here; an entry gains those of queries
+    whose cell it does not visit, as no block of that cell counts them.
     """
-    (e_id, e_x, e_size, e_n, e_walk), (q_id, q_x, q_size, q_n, q_cell) = entries, queries
-    gain, edges = {}, []
-
-    def add(ids, n):
-        for v, k in zip(ids.tolist(), n.tolist()):
-            if k:
-                gain[v] = gain.get(v, 0) + k
-
-    for at in range(0, len(q_id), 1024):
-        part = slice(at, at + 1024)
-        hit = (q_x[part] @ e_x.T >= threshold) & (q_id[part, None] != e_id) & (q_size[part, None] == e_size)
-        i, j = np.nonzero(hit)
-        if not len(i):
-            continue
-        add(q_id[part], np.bincount(i, e_n[j], len(q_id[part])).astype("i8"))
-        alone = np.concatenate([(e_walk[j[k : k + 65536]] != q_cell[part][i[k : k + 65536], None]).all(1) for k in range(0, len(i), 65536)])
-        add(e_id, np.bincount(j[alone], q_n[part][i[alone]], len(e_id)).astype("i8"))
-        nodes, at_node = np.unique(np.concatenate((q_id[part][i], e_id[j])), return_inverse=True)
-        least = nodes[joined(at_node[: len(i)], at_node[len(i) :], len(nodes))]
-        edges.append(np.stack((nodes, least))[:, nodes != least])
-    a, b = np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.zeros((2, 0), "i8")
-    return np.array(list(gain), "i8"), np.array(list(gain.values()), "i8"), a, b
+    (e_id, e_x, e_size, e_n, e_cell, e_walk), (q_id, q_x, q_size, q_n, q_home, q_walk) = entries, queries
+    asks = np.repeat(np.arange(len(q_id)), [len(w) for w in q_walk])
+    cells = np.concatenate(q_walk)
+    order = np.argsort(cells, kind="stable")
+    asks, cells = asks[order], cells[order]
+    hits = []
+    for cell in np.unique(e_cell):
+        q = asks[slice(*np.searchsorted(cells, (cell, cell + 1)))]
+        low, high = np.searchsorted(e_cell, (cell, cell + 1))
+        for at in range(0, len(q), 1024):
+            part = q[at : at + 1024]
+            i, j = np.nonzero((q_x[part] @ e_x[low:high].T >= threshold) & (q_id[part, None] != e_id[low:high]) & (q_size[part, None] == e_size[low:high]))
+            hits.append(np.stack((part[i], low + j)))
+    i, j = np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), "i8")
+    ids, gain = np.concatenate((q_id, e_id)), np.zeros(len(q_id) + len(e_id), "i8")
+    np.add.at(gain, i, e_n[j])
+    alone = np.concatenate([(e_walk[j[k : k + 65536]] != q_home[i[k : k + 65536], None]).all(1) for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+    np.add.at(gain, len(q_id) + j[alone], q_n[i[alone]])
+    nodes, at_node = np.unique(np.concatenate((q_id[i], e_id[j])), return_inverse=True)
+    least = nodes[joined(at_node[: len(i)], at_node[len(i) :], len(nodes))] if len(i) else nodes
+    return ids[gain > 0], gain[gain > 0], nodes[nodes != least], least[nodes != least]
 
 
 def links_of(entries: DataFrame, threshold: float) -> DataFrame:
@@ -196,48 +202,65 @@ def links_of(entries: DataFrame, threshold: float) -> DataFrame:
     far = entries.select("v", "entry").transform(arrow, neighbours, "i bigint, far double").groupBy("i").agg(F.max("far").alias("far")).collect()
     index.stop(probe, {r.i: r.far for r in far}, threshold)
 
+    # groups of neighbouring cells in each row of the grid, so that a bucket holds a block's entries on average
+    groups = min(index.k, max(1, rows // (index.k * BLOCK)))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 x = unit(filled(part.column(0), dim))
-                walk = np.ascontiguousarray(index.walk(x).astype("<i4"))
+                cell, walk = index.cells(x), np.sort(index.walk(x), axis=1)
+                bucket = lambda c: c // index.k * groups + c % index.k * groups // index.k
+                # a query's cells are in the order of buckets too; where its bucket changes a new ask begins
+                to = bucket(walk)
+                first = np.flatnonzero(np.diff(to, axis=1, prepend=-1).ravel())
+                flat, last = walk.astype("<i4").ravel(), np.append(first[1:], walk.size)
+                cells = [flat[a:b].tobytes() for a, b in zip(first, last)]
+                asks = pa.StructArray.from_arrays([pa.array(to.ravel()[first]), pa.array(cells, pa.binary())], ["bucket", "cells"])
+                ends = np.searchsorted(first, np.arange(len(x) + 1) * walk.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(1), part.column(2), pa.array(np.diff(part.column(0).offsets.to_numpy()).astype("i4")), pa.array([v.tobytes() for v in x], pa.binary()),
-                     pa.array(index.cells(x)), pa.array([w.tobytes() for w in walk], pa.binary()), pa.array(walk.tolist(), pa.list_(pa.int32()))],
-                    ["entry", "n", "size", "x", "cell", "seen", "walk"],
+                     pa.array(cell), pa.array(bucket(cell)), pa.array([w.tobytes() for w in walk.astype("<i4")], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, "i4"), asks)],
+                    ["entry", "n", "size", "x", "cell", "bucket", "seen", "asks"],
                 )
 
-    placed = staged(entries.select("v", "entry", "n").transform(arrow, place, "entry bigint, n bigint, size int, x binary, cell bigint, seen binary, walk array<int>"), "vector-cells")
-    # one row for each cell in use; Spark broadcasts them if they are few
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("entry"), F.col("blocks")).alias("block"), "entry", "x", "size", "n", F.col("cell").alias("home"), "seen")
-    asks = placed.select("entry", "x", "size", "n", F.col("cell").alias("home"), F.explode(F.col("walk").cast("array<bigint>")).alias("cell")).join(blocks, "cell")
-    asks = asks.select("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "entry", "x", "size", "n", "home", F.lit(None).cast("binary").alias("seen"))
+    schema = "entry bigint, n bigint, size int, x binary, cell bigint, bucket bigint, seen binary, asks array<struct<bucket:bigint,cells:binary>>"
+    placed = staged(entries.select("v", "entry", "n").transform(arrow, place, schema), "vector-cells")
+    dense = staged(placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "vector-dense")
+    dense = F.broadcast(dense) if dense.count() <= BROADCAST else dense
+    blocks = F.coalesce("blocks", F.lit(1).cast("bigint"))
+    what = ["entry", "x", "size", "n", "cell"]
+    own = placed.join(dense, "bucket", "left").select("bucket", F.pmod(F.xxhash64("entry"), blocks).alias("block"), F.lit(False).alias("asks"), *what, F.col("seen").alias("cells"))
+    asks = placed.select(*what, F.explode("asks").alias("ask")).select("ask.bucket", *what, "ask.cells").join(dense, "bucket", "left")
+    asks = asks.select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), F.lit(True).alias("asks"), *what, "cells")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by cell, block and entries first: a block's entries stay, its queries pass in slices."""
+        """Sorted by bucket, block and entries first: a block's entries stay, its queries pass in slices."""
         at, held, e, queue = None, [], None, []
 
+        def arrays(rows):
+            walks = [np.frombuffer(r[5], "<i4") for r in rows]
+            return tuple(np.stack([np.frombuffer(r[k]) for r in rows]) if k == 1 else np.array([r[k] for r in rows], "i8") for k in range(5)) + (walks,)
+
         def flush():
             nonlocal e
             if e is None:
-                e = arrays(held)[:4] + (np.stack([np.frombuffer(h[5], "<i4") for h in held]),)
+                held.sort(key=lambda r: r[4])
+                e = arrays(held)
+                e = (*e[:5], np.stack(e[5]))
             ids, gains, a, b = compare(e, arrays(queue), threshold)
             queue.clear()
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids, a))), pa.array(np.concatenate((ids, b))), pa.array(np.concatenate((gains, np.zeros(len(a), "i8"))))], ["a", "b", "n"])
 
-        def arrays(rows):
-            return tuple(np.stack([np.frombuffer(r[k]) for r in rows]) if k == 1 else np.array([r[k] for r in rows], "i8") for k in range(5))
-
         for batch in batches:
-            for cell, block, *row in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if (cell, block) != at:
+            for bucket, block, asks, *row in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                if (bucket, block) != at:
                     if queue and held:
                         yield flush()
-                    at, held, e = (cell, block), [], None
+                    at, held, e = (bucket, block), [], None
                     queue.clear()
-                if row[5] is not None:
+                if not asks:
                     held.append(row)
                 elif held:
                     queue.append(row)
@@ -246,7 +269,7 @@ def links_of(entries: DataFrame, threshold: float) -> DataFrame:
         if queue and held:
             yield flush()
 
-    work = own.unionByName(asks).repartition("cell", "block").sortWithinPartitions("cell", "block", F.col("seen").isNull())
+    work = own.unionByName(asks).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks")
     found = staged(work.transform(arrow, search, "a bigint, b bigint, n bigint"), "vector-links")
     release(placed)
     return found
