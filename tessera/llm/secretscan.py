@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
-Base findings are pattern matches. Candidates of the network are all runs of key characters (16 or more, a letter and
-a digit at least) that meet no base finding; it reads each one with its context, in windows, so a long candidate is
-read whole. It is trained here, in numpy, on labelled findings that `labelled` generates: keys of many shapes in
-settings that assign or carry them, against addresses, hosts, paths, versions, numbers, identifiers and long words in
-prose. Scores are calibrated (Platt) on a held-out third, and the threshold is the highest that keeps `RECALL` of
-its secrets.
+Base findings are pattern matches. Candidates of the network are all runs of key characters outside them, 16 or more with
+a letter: a run that a base finding touches is cut around it, and where a longer run of letters and digits holds a hex or
+access match, that run is a candidate as a whole. The network reads each candidate with its context in windows that
+overlap at the end, so every character of a candidate is in the middle of one. It is trained here, in numpy, on labelled
+findings that `labelled` generates: keys of many shapes in settings that assign or carry them, against addresses, hosts,
+paths, versions, numbers, identifiers of programs, rules and long words in prose. Scores are calibrated (Platt) on a
+held-out third, and the threshold is the highest that keeps `RECALL` of its secrets, and a margin of two standard errors.
 
 Texts are scanned whole, as UTF-8 bytes; offsets are then turned into code points. Defined cases: null text is empty
 and has no findings; rows are independent, so ties, repeated rows and empty tables need nothing; other columns are
@@ -35,9 +36,19 @@ MARKS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 LEFT, MIDDLE, RIGHT = 20, 32, 8
 WIDTH = LEFT + MIDDLE + RIGHT
-EMBED, FILTERS, KERNEL = 10, 24, 5
+EMBED, FILTERS, KERNEL = 10, 32, 5
 RECALL = 0.98
 LEAST = 16
+#: Windows that are scored at once.
+VIEWS = 16_384
+#: Words that names in programs are made of.
+PARTS = (
+    "get set user account by from data base name file path list map key value index count size type id parse read write open close load save find create delete update "
+    "insert select order item node tree hash code string number array buffer stream client server request response session config option default error message event handler "
+    "manager service factory builder helper view model controller page image font color width height left right top bottom start end next last first max min http url json xml "
+    "sha rsa utf base with to is has on test main core util common internal module package version abstract single proxy bean thread lock queue task event loop state sync async "
+    "date time zone format print log debug trace check valid parse token type class object method field value enum static final public private shared local remote cache memory disk"
+).split()
 
 _key = np.zeros(256, bool)
 _key[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.~-")] = True
@@ -69,23 +80,34 @@ def base_spans(raw: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int,
 
 
 def candidates(raw: bytes, found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    out = []
+    """What the network reads: runs cut around base findings, and runs of letters and digits that hold one and more."""
+    out, chars = [], np.frombuffer(raw, "u1")
     for a, b in found:
-        chars = np.frombuffer(raw, "u1")[a:b]
-        if _digit[chars].any() and _letter[chars].any() and not any(s < b and a < e for s, e, _ in base):
-            out.append((a, b))
-    return out
-
-
-def windows(raw: bytes, a: int, b: int) -> list[tuple[np.ndarray, int]]:
+        at, own = a, [s for s in base if s[0] < b and a < s[1]]
+        for s, e, kind in own:
+            if s - at >= LEAST:
+                out.append((at, s))
+            at = max(at, e)
+            if kind and _letter[chars[s:e]].any():
+                left, right = s, e
+                while left > a and (_letter | _digit)[chars[left - 1]]:
+                    left -= 1
+                while right < b and (_letter | _digit)[chars[right]]:
+                    right += 1
+                if right - left > e - s:
+                    out.append((left, right))
+        if b - at >= LEAST:
+            out.append((at, b))
+    return sorted({(a, b) for a, b in out if _letter[chars[a:b]].any()})
+
+
+def windows(raw: bytes, a: int, b: int) -> Iterator[tuple[np.ndarray, int]]:
     """Fixed-width views of a candidate with its context: character codes, and how many are candidate characters."""
-    out = []
-    for at in range(a, max(b - LEAST, a) + 1, MIDDLE):
+    for at in [*range(a, b - MIDDLE, MIDDLE), max(a, b - MIDDLE)]:
         end = min(at + MIDDLE, b)
         left = raw[max(0, at - LEFT) : at].rjust(LEFT, b"\0")
         view = left + raw[at:end] + raw[end : end + RIGHT + MIDDLE - (end - at)]
-        out.append((np.frombuffer(view.ljust(WIDTH, b"\0")[:WIDTH], "u1"), end - at))
-    return out
+        yield np.frombuffer(view.ljust(WIDTH, b"\0")[:WIDTH], "u1"), end - at
 
 
 class CharCNN:
@@ -111,10 +133,11 @@ class CharCNN:
     def logits(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.concatenate([self.forward(x[i : i + 512], n[i : i + 512])[0] for i in range(0, len(x), 512)] or [np.zeros(0)])
 
-    def fit(self, x, n, y, epochs: int = 6, rate: float = 0.01, seed: int = 3) -> None:
+    def fit(self, x, n, y, epochs: int = 12, rate: float = 0.012, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         m, v, t = {k: 0 for k in self.p}, {k: 0 for k in self.p}, 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            step = rate * (1 - epoch / epochs)
             order = rng.permutation(len(x))
             for at in range(0, len(x), 128):
                 i = order[at : at + 128]
@@ -131,10 +154,10 @@ class CharCNN:
                 t += 1
                 for k in self.p:
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                    self.p[k] -= step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
     def calibrate(self, x, n, y) -> None:
-        """Platt scaling, then the highest threshold that keeps RECALL of the secrets."""
+        """Platt scaling, then the highest threshold that keeps RECALL of the secrets and two standard errors more."""
         z = self.logits(x, n)
         a, b = 1.0, 0.0
         for _ in range(500):
@@ -142,23 +165,35 @@ class CharCNN:
             a, b = a - 0.02 * (d * z).mean(), b - 0.02 * d.mean()
         self.slope, self.shift = a, b
         secret = np.sort(self.probability(x, n)[y == 1])
-        self.threshold = float(secret[int((1 - RECALL) * len(secret))])
+        lose = 1 - RECALL - 2 * np.sqrt(RECALL * (1 - RECALL) / len(secret))
+        self.threshold = float(secret[int(max(lose, 0) * len(secret))])
 
     def probability(self, x, n) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.logits(x, n) + self.shift)))
 
 
-def labelled(count: int = 4500, seed: int = 11) -> list[tuple[bytes, int, int, int]]:
+def labelled(count: int = 24_000, seed: int = 11) -> list[tuple[bytes, int, int, int]]:
     """Generated findings: (text, start, end, label)."""
     rng = np.random.default_rng(seed)
     pick = lambda seq: seq[int(rng.integers(len(seq)))]
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     draw = lambda chars, n: "".join(chars[j] for j in rng.integers(0, len(chars), n))
     some = lambda a, b: int(rng.integers(a, b))
-    syllables = "an er in th re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ión ç é ñ ü".split()
+    syllables = "sch cht tz pf keit heit schaft ung lich rst zu mpf ght str tion ness ment kh vsk szcz rz ij oe aa kk ckl an er in th re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ión ç é ñ ü".split()
     word = lambda: "".join(pick(syllables) for _ in range(some(1, 5)))
     prose = lambda: " ".join(word() for _ in range(some(3, 9)))
     ascii_word = lambda: word().encode("ascii", "ignore").decode() or "an"
+    parts = lambda a, b: [pick(PARTS) if rng.random() < 0.7 else ascii_word() for _ in range(some(a, b))]
+
+    def identifier() -> str:
+        """A name in a program, digits in any of its places or none."""
+        own = [p + (str(some(1, 300)) if rng.random() < 0.2 else "") for p in parts(3, 8)]
+        return pick(
+            [
+                lambda: own[0] + "".join(p.capitalize() for p in own[1:]), lambda: "".join(p.capitalize() for p in own), lambda: "_".join(own), lambda: "-".join(own), lambda: ".".join(own),
+                lambda: "_".join(own).upper(), lambda: "/".join(own), lambda: "".join(own), lambda: "".join(p.upper() if len(p) < 5 else p.capitalize() for p in own),
+            ]
+        )()
 
     def secret() -> str:
         body = lower + upper + digits
@@ -168,7 +203,8 @@ def labelled(count: int = 4500, seed: int = 11) -> list[tuple[bytes, int, int, i
                 lambda: "eyJ" + draw(body, some(20, 40)) + "." + draw(body + "_-", some(30, 60)) + "." + draw(body + "_-", 43), lambda: draw(body + "+/", 40),
                 lambda: draw(body + "+/", some(24, 64)) + "==", lambda: draw(body, some(20, 48)), lambda: draw("0123456789ABCDEF", pick([32, 40, 64])),
                 lambda: "AIza" + draw(body + "_-", 35), lambda: "pk_live_" + draw(body, 24), lambda: "glpat-" + draw(body + "_-", 20), lambda: "SG." + draw(body, 22) + "." + draw(body, 43),
-                lambda: draw(upper + digits, some(24, 40)), lambda: draw(lower + digits, some(20, 40)),
+                lambda: draw(upper + digits, some(24, 40)), lambda: draw(lower + digits, some(20, 40)), lambda: draw(lower + upper, some(24, 48)),
+                lambda: draw(body, some(3, 12)) + draw("0123456789abcdef", some(24, 41)) + draw(body, some(2, 9)), lambda: "npm_" + draw(body, 36), lambda: draw(body + "-_", 43),
             ]
         )()
 
@@ -182,7 +218,10 @@ def labelled(count: int = 4500, seed: int = 11) -> list[tuple[bytes, int, int, i
                 lambda: "".join(ascii_word().capitalize() for _ in range(5)) + str(some(1, 30)), lambda: "lib" + ascii_word() + ascii_word() + f".so.{some(1, 9)}.{some(0, 99)}.{some(0, 99)}",
                 lambda: "x86_64-" + ascii_word() + "-" + ascii_word() + "-gnu", lambda: "1." + ascii_word() + ascii_word() + ascii_word() + "...." + ascii_word() + "2",
                 lambda: "." * some(5, 20) + str(some(1, 99)) + ascii_word() + "." * 9, lambda: str(some(1, 9)) + "a" + "-" * some(14, 30), lambda: ascii_word() * some(4, 9) + str(some(1, 9)),
-                lambda: str(some(10**9, 10**10)) + "/" + str(some(10**6, 10**7)) + "-" + ascii_word(),
+                lambda: str(some(10**9, 10**10)) + "/" + str(some(10**6, 10**7)) + "-" + ascii_word(), *[identifier] * 8, lambda: "".join(ascii_word() for _ in range(some(4, 9))),
+                lambda: pick("=-_.~") * some(12, 60) + ascii_word() + pick(["", pick("=-_.~") * some(1, 40)]), lambda: ("".join(ascii_word() for _ in range(4))).capitalize() + pick(["", ".", "..."]),
+                lambda: pick(["application", "text", "image"]) + "/" + "-".join(parts(2, 5)) + "+" + pick(["xml", "json"]), lambda: "".join(p.upper() for p in parts(4, 9)), lambda: pick(lower) * some(16, 60), lambda: "-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+                lambda: f"{some(1, 10**6)}/{some(1, 10**6)}/" + ".".join(parts(2, 4)) + f"/{some(1, 99)}", lambda: "-".join([f"{some(0, 100):02}"] * 2 + [ascii_word()] + parts(2, 4)), lambda: (ascii_word()[:2] or "ab") * some(8, 30),
             ]
         )()
 
@@ -192,7 +231,7 @@ def labelled(count: int = 4500, seed: int = 11) -> list[tuple[bytes, int, int, i
     for i in range(count):
         y = i % 2
         body = secret() if y else harmless()
-        if len(body) < LEAST or not (any(ch.isdigit() for ch in body) and any(ch.isalpha() for ch in body)):
+        if len(body) < LEAST or not any(ch.isalpha() for ch in body):
             continue
         carried = rng.random() < (0.6 if y else 0.15)
         head = prose() + " " + (pick(carry) if carried else pick(plain) if rng.random() < 0.6 else "")
@@ -206,7 +245,9 @@ def labelled(count: int = 4500, seed: int = 11) -> list[tuple[bytes, int, int, i
 def trained() -> tuple[CharCNN, dict[str, float]]:
     """The network, and its recall and precision on held-out findings at the calibrated threshold."""
     rows = labelled()
-    views = [windows(raw, a, b)[0] for raw, a, b, _ in rows]
+    # a long one counts by its worst window if harmless, and by its first if secret
+    rows = [(raw, a, b, y, v) for raw, a, b, y in rows for v in ([next(windows(raw, a, b))] if y else windows(raw, a, b))]
+    views = [r[4] for r in rows]
     x, n, y = np.stack([v for v, _ in views]), np.array([k for _, k in views]), np.array([r[3] for r in rows], "f8")
     part = np.arange(len(x)) % 3
     net = CharCNN()
@@ -219,7 +260,15 @@ def trained() -> tuple[CharCNN, dict[str, float]]:
 
 def find(raws: list[bytes], net: CharCNN) -> list[list[tuple[int, int, int]]]:
     """All spans (start, end, kind) of each text, in bytes, by start, then kind."""
-    out, views, owner = [], [], []
+    out, views, owner, secret = [], [], [], set()
+
+    def score() -> None:
+        if views:
+            p = net.probability(np.stack([v for v, _ in views]), np.array([k for _, k in views]))
+            secret.update(owner[k] for k in np.flatnonzero(p >= net.threshold))
+            views.clear()
+            owner.clear()
+
     for i, raw in enumerate(raws):
         found = runs(raw)
         out.append(base_spans(raw, found))
@@ -227,10 +276,14 @@ def find(raws: list[bytes], net: CharCNN) -> list[list[tuple[int, int, int]]]:
             for view in windows(raw, a, b):
                 views.append(view)
                 owner.append((i, a, b))
-    if views:
-        score = net.probability(np.stack([v for v, _ in views]), np.array([k for _, k in views]))
-        for i, a, b in sorted({o for o, s in zip(owner, score) if s >= net.threshold}):
-            out[i] = sorted([*out[i], (a, b, 3)], key=lambda s: (s[0], s[2]))
+                if len(views) == VIEWS:
+                    score()
+    score()
+    for i, a, b in sorted(secret):
+        # a part of a longer secret is not named again
+        if not any((i, s, e) in secret and s <= a and b <= e and e - s > b - a for s, e in {(s, e) for j, s, e in secret if j == i}):
+            out[i].append((a, b, 3))
+            out[i].sort(key=lambda s: (s[0], s[2]))
     return out
 
 

@@ -24,7 +24,7 @@ def brute(text):
 def test_network():
     net, found = S.trained()
     print(found)
-    assert found["recall"] > 0.95 and found["precision"] > 0.95
+    assert found["recall"] >= S.RECALL and found["precision"] > 0.98
     rng = np.random.default_rng(0)
     x, n, y = rng.integers(0, 256, (4, S.WIDTH)).astype("u1"), np.array([20, 32, 16, 9]), np.array([1.0, 0, 1, 0])
     small, before = S.CharCNN(5), 0
@@ -46,7 +46,8 @@ def test_query_against_brute_force(spark):
         assert [s for s in r.spans.split(",") if s and not s.startswith("cnn")] == ([x for x in S.show(want).split(",") if x])
         extra += [docs[r.doc_id][slice(*map(int, s.split(":")[1:]))] for s in r.spans.split(",") if s.startswith("cnn")]
     print(len(extra), extra[:20])
-    assert len(extra) < 0.01 * len(docs)
+    # by hand: the tables hold no secrets but those of the fixed patterns, so each of these is a mistake
+    assert len(extra) <= 0.001 * len(docs)
 
 
 def test_cases(spark):
@@ -65,3 +66,49 @@ def test_cases(spark):
     assert clean[0][0] is None and clean[1][0] == "" and clean[0][1] == "clash"
     assert clean[2][0] == "é [SECRET]' é" and key not in clean[9][0]
     assert S.scan(df.limit(0)).count() == 0
+
+
+def brute_candidates(text):
+    """Runs of key characters by regular expressions: outside base findings, and whole words around hex and access findings."""
+    base, out = brute(text), set()
+    for run in re.finditer(r"[A-Za-z0-9+/_.=~-]{16,}", text):
+        mask = [not any(s <= i < e for s, e, _ in base) for i in range(run.start(), run.end())]
+        for piece in re.finditer("1+", "".join("01"[m] for m in mask)):
+            out.add((run.start() + piece.start(), run.start() + piece.end()))
+    for s, e, kind in base:
+        word = next((m for m in re.finditer("[A-Za-z0-9]+", text) if m.start() <= s and e <= m.end()), None)
+        if kind and word and word.end() - word.start() > e - s and re.search("[A-Za-z]", text[s:e]):
+            out.add(word.span())
+    return sorted((a, b) for a, b in out if b - a >= 16 and re.search("[A-Za-z]", text[a:b]))
+
+
+def test_candidates_and_windows_cover_everything():
+    import random
+
+    rng, key = random.Random(5), "abcXYZ0189+/_.=-~"
+    for _ in range(400):
+        parts = [rng.choice(["".join(rng.choice(key) for _ in range(rng.randrange(1, 60))), "0123456789abcdef" * rng.randrange(1, 4), "AKIA" + "Q7" * rng.randrange(6, 12), " ", "\n", "token=", "q" * 18]) for _ in range(rng.randrange(1, 12))]
+        raw = "".join(parts).encode()
+        found = S.runs(raw)
+        own = S.candidates(raw, found, S.base_spans(raw, found))
+        assert own == brute_candidates(raw.decode())
+        for a, b in own:
+            seen = set()
+            for at, (view, n) in zip([*range(a, b - S.MIDDLE, S.MIDDLE), max(a, b - S.MIDDLE)], S.windows(raw, a, b)):
+                assert bytes(view[S.LEFT : S.LEFT + n]) == raw[at : at + n] and at + n <= b
+                seen.update(range(at, at + n))
+            assert seen == set(range(a, b))
+
+
+def test_tails_touching_runs_and_names():
+    net, _ = S.trained()
+    text = lambda raw: [raw[a:b] for a, b, k in S.find([raw], net)[0] if k == 3]
+    key, hex_ = b"ghp_a8Xk29LmQ0zRt7Ywa8Xk29LmQ0zRt7Yw9Zx1", b"0123456789abcdef01234567"
+    assert text(b"key " + key + b"/" + hex_ + b" x") == [key + b"/"]
+    assert text(b"x Zx9" + hex_ + b"Qw8 y") == [b"Zx9" + hex_ + b"Qw8"]
+    assert text(b"Bearer qWvXkZpLmTyRbNcHsGdJfKwQ") == [b"qWvXkZpLmTyRbNcHsGdJfKwQ"]
+    # the last characters alone are key-like
+    plain = b"see/the/files/of/this/part/and/"
+    assert text(plain + b"Zq8Xk29LmQ0zRt7YwZ3v") == [plain + b"Zq8Xk29LmQ0zRt7YwZ3v"]
+    for name in (b"getUserAccountById2FromDatabase", b"Donaudampfschifffahrtsgesellschaft", b"SHA256WithRSAEncryption", b"java.util.concurrent.ConcurrentHashMap", b"=================chapter", b"internationalization2024"):
+        assert text(b"see " + name + b" here") == [], name
