@@ -7,15 +7,22 @@ main text or not, so a label can depend on the whole page. It is trained here on
 whose labels are known (`generate`): articles in several containers, among menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments.
 
-Scripts, styles, comments and the head are markup and are dropped by the parser; character references are decoded,
-white space inside a block becomes one space, blocks are joined by a line break in page order. Whole pages are read,
-whatever their length; pages are independent rows, so ties, repeated rows and empty tables need nothing. Null html is
-empty. Other columns are ignored.
+Scripts, styles, comments, images, the head and what is typed or chosen in forms are dropped by the parser; an element of
+these kinds without an end is like any other tag (but script and style, which hide the rest as in a browser).
+Character references are decoded, white space inside a block becomes one space, blocks are joined by a line break in page
+order. Whole pages are read, whatever their length, and all their words; pages are independent rows, so ties, repeated
+rows and empty tables need nothing. Null html is empty. Other columns are ignored.
+
+Training takes some seconds, so its result is kept beside this file (WEIGHTS), named by the recipe that gives it; a test
+trains again and compares. Without the file, or after a change of the recipe, the network is trained where it is needed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import inspect
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +37,7 @@ from tessera.llm.lean import arrow
 PATH_DIM, WORD_DIM, PLAIN = 64, 24, 8
 DIM = PATH_DIM + WORD_DIM + PLAIN
 HIDDEN = 24
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "page_labeller.npz")
 
 # HTML element kinds.
 BLOCK = frozenset(
@@ -37,14 +45,22 @@ BLOCK = frozenset(
     "header hr html label legend li main nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object".split())
+#: What stands in these is no text of the page; a form's free text and its choices are among them.
+RAW = frozenset("script style noscript template iframe object textarea select datalist".split())
+#: These hide the rest of the page where they are not closed; the others are then like any tag.
+ENDLESS = frozenset(("script", "style"))
 CLOSES_P = BLOCK - {"button", "label", "option", "select", "textarea"}
 
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]*)")
 REST = re.compile(r"(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>")
+# An image's markup ends with its end tag, or where a tag of the page begins.
+SVG_END = re.compile(r"</svg\s*>|(?=<(?:b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|h[1-6]|hr|i|img|li|menu|ol|p|pre|s|section|article|main|small|span|strong|sub|sup|table|u|ul)[\s/>])", re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+END = {name: re.compile(f"</{name}\\s*>", re.I) for name in (*RAW, "head")}
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(path, text, share of link text) of each leaf block, in page order."""
     out: list[tuple[tuple[str, ...], str, float]] = []
@@ -104,9 +120,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             elif name == "a":
                 links = max(links - 1, 0)
             continue
+        if name == "svg":
+            if not page.endswith("/>", lt, close):
+                ends = SVG_END.search(page, close)
+                at = ends.end() if ends else close
+            continue
         if name in RAW or name == "head":
-            ends = re.compile(f"</{name}\\s*>", re.I).search(page, close)
-            if name != "head" or ends:
+            ends = END[name].search(page, close)
+            if ends or name in ENDLESS:
                 at = ends.end() if ends else end
             continue
         if name in ("br", "wbr", "img"):
@@ -137,6 +158,28 @@ def _slot(token: str, size: int) -> tuple[int, int]:
     return h % size, 1 if h & 0x10000 else -1
 
 
+class _WordCodes(dict):
+    """A word's place and sign in one number; words of usual length are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        at, sign = _slot.__wrapped__(word, WORD_DIM)
+        code = 2 * at + (sign > 0)
+        if len(word) <= 40:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = code
+        return code
+
+
+_word_codes = _WordCodes()
+
+
+def word_vector(words: list[str]) -> np.ndarray:
+    """Sum of the signed places of all words, scaled so that long blocks weigh no more than blocks of 24 words."""
+    codes = np.bincount(np.fromiter(map(_word_codes.__getitem__, words), "i8", len(words)), minlength=2 * WORD_DIM).reshape(-1, 2)
+    return (codes[:, 1] - codes[:, 0]) / (5 * max(1.0, len(words) / 24) ** 0.5)
+
+
 @cache
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     v = np.zeros(PATH_DIM, "f4")
@@ -156,10 +199,7 @@ def features(seq: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     for i, (path, text, link) in enumerate(seq):
         x[i, :PATH_DIM] = _path_vector(path)
         words = text.lower().split()
-        for w in words[:: max(1, len(words) // 24)]:
-            at, sign = _slot(w, WORD_DIM)
-            x[i, PATH_DIM + at] += sign
-        x[i, PATH_DIM : PATH_DIM + WORD_DIM] /= 5
+        x[i, PATH_DIM : PATH_DIM + WORD_DIM] = word_vector(words)
         n = len(text)
         x[i, -PLAIN:] = (np.log1p(n) / 6, link, len(words) / 50 if len(words) < 100 else 2, sum(text.count(ch) for ch in ".,;") / (n + 10) * 10,
                          i / len(seq), (len(seq) - i) / len(seq), len(path) / 8, text[-1] in ".!?")
@@ -336,7 +376,7 @@ def generate(count: int, seed: int) -> list[str]:
         return f'<div class="{pick(["cookie", "notice", "consent", "alert", "cookie-notice", "banner", "subscribe", "overlay"])}"><p>{prose()}</p>{"<button>" + words(1, 3) + "</button>" if chance(0.5) else ""}</div>'
 
     def form() -> str:
-        return f"<form action=/s><label>{words(1, 4)}</label><input name=q><select><option>{words(1, 2)}<option>{words(1, 2)}</select><button>{words(1, 2)}</button><p>{words(1, 9)}</p></form>"
+        return f"<form action=/s><label>{words(1, 4)}</label><input name=q><select><option>{words(1, 2)}<option>{words(1, 2)}</select><textarea>{words(1, 9)}</textarea><button>{words(1, 2)}</button><p>{words(1, 9)}</p></form>"
 
     def article() -> str:
         parts = [article_part() for _ in range(some(1, 14) if chance(0.9) else some(14, 60))]
@@ -367,13 +407,35 @@ def labelled(count: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]
     return seqs, labels
 
 
-@cache
-def trained() -> BiLSTM:
+def recipe() -> str:
+    """A name for what training depends on: the code that makes pages, features and weights."""
+    code = "".join(inspect.getsource(f) for f in (blocks, _slot, _path_vector, word_vector, features, BiLSTM, pad, generate, labelled, train))
+    return hashlib.sha256(code.encode()).hexdigest()
+
+
+def train() -> BiLSTM:
     net = BiLSTM()
-    net.fit(*labelled(2000, 21))
+    net.fit(*labelled(2600, 21))
     return net
 
 
+@cache
+def trained() -> BiLSTM:
+    """The network: its kept weights if they are of this recipe, else trained now."""
+    if os.path.exists(WEIGHTS):
+        with np.load(WEIGHTS) as kept:
+            if str(kept["recipe"]) == recipe():
+                net = BiLSTM()
+                net.p = {k: kept[k] for k in net.p}
+                return net
+    return train()
+
+
+def keep_weights() -> None:
+    """Train and write WEIGHTS; to be called after a change of the recipe."""
+    np.savez_compressed(WEIGHTS, recipe=recipe(), **train().p)
+
+
 def extract(df: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     net = trained()
