@@ -16,9 +16,9 @@ document, so an item that no single passage brings to THRESHOLD (a question with
 several places) is judged like any other. The score is the best of the document's passages. Question and answer are the item before and after its last sentence break (or two thirds of its words). A document
 holds an item if OVERLAP of the item's words are covered, or QUESTION of its question's and any of its answer's.
 
-The benchmark is read by the driver in blocks of at most BYTES of text; each block's index goes to all executors and the
-documents are scanned once for each block. Word counts are over all items. Words are runs of letters, digits and
-underscores, lower-cased.
+Spark counts the words of all items and builds the index in shards of about BYTES of text, on executors. The driver passes
+them on one at a time, as broadcasts of that bounded size. The documents are scanned once: a worker holds SLICE bytes of
+them and one shard at a time. Words are runs of letters, digits and underscores, lower-cased.
 
 Defined cases: null or wordless documents hold nothing; null or wordless items match nothing; items with fewer than
 five words must occur as a whole; repeated rows are judged one by one; empty tables give no rows; other columns are
@@ -27,24 +27,30 @@ ignored (by `contaminated`) or kept (by `clean`).
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.lean import arrow
 from tessera.llm.words import mix64
+from tessera.sources.tables import release, staged
 
 SEGMENT = 64
 BLOCK = 2
 THRESHOLD = 0.35
 OVERLAP, QUESTION = 0.6, 0.8
 SHINGLE = 5
-BYTES = 16_000_000
+BYTES, SLICE = 8_000_000, 4_000_000
 K1, B = 1.2, 0.75
 
 words_of = re.compile(r"\w+").findall
@@ -258,68 +264,135 @@ def best_score(index: Index, item: int, term: np.ndarray) -> float:
     return best
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """The benchmark's items in blocks of bounded size. Two passes: word counts over all items, then the blocks."""
-    rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text")
-    df: Counter = Counter()
-    n = total = 0
-    for _, text in rows.toLocalIterator():
-        for part in segments(w) if (w := words_of(text.lower())) else []:
-            df.update(set(part))
-            n, total = n + 1, total + len(part)
-    out, held, size = [], [], 0
-    for item, text in rows.toLocalIterator():
-        if not words_of(text.lower()):
-            continue
-        held.append((item, text))
-        size += len(text)
-        if size >= BYTES:
-            out.append(Index(held, df, n, total / n))
-            held, size = [], 0
-    return [*out, Index(held, df, n, total / n)] if held else out
+def segment_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, shard, n, words): a row for each word of each segment (n 1), and one for each segment with its length (word null)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            rows = []
+            for shard, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                for seg in segments(words_of(text.lower())):
+                    rows += [(w, shard, 0) for w in set(seg)] + [(None, shard, len(seg))]
+            if rows:
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], "i8"), pa.array(cols[2], "i8")], ["word", "shard", "words"])
+
+
+def shards(benchmark: DataFrame) -> list[tuple[str, Broadcast]]:
+    """The index of the benchmark in shards of about BYTES of text, each named, pickled and broadcast by itself.
+
+    Spark counts the words and builds the shards; the driver passes them on one at a time.
+    """
+    spark = benchmark.sparkSession
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    rows = rows.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-size // BYTES) or 1)).alias("shard"), "item_id", "text")
+    words = rows.transform(arrow, segment_words, "word string, shard bigint, words bigint")
+    words = staged(words.groupBy("word", "shard").agg(F.count("*").alias("n"), F.sum("words").alias("words")), "benchmark-words")
+    n, total = words.where("word is null").agg(F.sum("n"), F.sum("words")).first()
+    if not n:
+        return []
+    counts = words.where("word is not null").groupBy("word").agg(F.sum("n").alias("df"))
+    known = words.where("word is not null").select("word", "shard").join(counts, "word")
+    item = rows.schema["item_id"]
+    both = known.select("shard", "word", "df", F.lit(None).cast(item.dataType).alias("item_id"), F.lit(None).cast("string").alias("text"))
+    both = both.unionByName(rows.select("shard", F.lit(None).cast("string").alias("word"), F.lit(None).cast("bigint").alias("df"), "item_id", "text"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, df, items = None, Counter(), []
+
+        def done():
+            index = Index(items, df, n, total / n)
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(index, pickle.HIGHEST_PROTOCOL)], pa.binary())], ["index"])
+
+        for batch in batches:
+            for shard, word, count, item_id, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if shard != now:
+                    if items:
+                        yield done()
+                    now, df, items = shard, Counter(), []
+                if word is not None:
+                    df[word] = count
+                elif words_of(text.lower()):
+                    items.append((item_id, text))
+        if items:
+            yield done()
+
+    # words first, then items in a fixed order
+    built = both.repartition("shard").sortWithinPartitions("shard", F.col("word").isNull(), "item_id", "text").transform(arrow, build, "index binary")
+    built = staged(built, "benchmark-index")
+    out = [(uuid.uuid4().hex, spark.sparkContext.broadcast(bytes(r["index"]))) for r in built.toLocalIterator()]
+    release(words, built)
+    return out
+
+
+class Shards:
+    """A worker's view of the shards: one at a time in memory, the last one kept."""
+
+    held: tuple = None, None
+
+    @classmethod
+    def index(cls, name: str, shard: Broadcast) -> Index:
+        if cls.held[0] != name:
+            cls.held = None, None
+            cls.held = name, pickle.loads(shard.value)
+            # the pickled form is on the worker's disk, and need not stay in memory
+            shard.__dict__.pop("_value", None)
+        return cls.held[1]
+
+
+def slices(batch: pa.RecordBatch, at_text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about SLICE bytes of text, of one row at least."""
+    column = batch.column(at_text)
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("i8")
+    at = 0
+    for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1):
+        if len(part):
+            yield batch.slice(at, len(part))
+        at += len(part)
+
+
+def held_items(texts: list[str | None], parts: list[tuple[str, Broadcast]]) -> list[list]:
+    """What `scan` finds in each text, in all shards."""
+    out: list[list] = [[] for _ in texts]
+    for part in parts:
+        index = Shards.index(*part)
+        for at in range(0, len(texts), 128):
+            for found, hits in zip(out[at : at + 128], scan(texts[at : at + 128], index)):
+                found += hits
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap: a row for each item that a document holds."""
     key, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
     schema = f"doc_id {key}, item_id {item.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double"
-    source = docs.select("doc_id", "text")
-    out = None
-
-    def run_with(index: Index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 128):
-                    part = batch.slice(at, 128)
-                    hits = scan(part.column(1).to_pylist(), index)
-                    rows = [(i, *h) for i, found in enumerate(hits) for h in found]
-                    if rows:
-                        cols = list(zip(*rows))
-                        ids = part.column(0).take(pa.array(cols[0]))
-                        yield pa.RecordBatch.from_arrays(
-                            [ids, *(pa.array(c) for c in cols[1:])], ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
-                        )
-
-        return run
-
-    for index in indexes(benchmark):
-        part = source.transform(arrow, run_with(index), schema)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    parts = shards(benchmark)
+    if not parts:
+        return docs.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                rows = [(i, *h) for i, found in enumerate(held_items(part.column(1).to_pylist(), parts)) for h in found]
+                if rows:
+                    cols = list(zip(*rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(cols[0])), *(pa.array(c) for c in cols[1:])], ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
+                    )
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(arrow, run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that hold no item."""
+    parts, at_text = shards(benchmark), docs.columns.index("text")
+    if not parts:
+        return docs
 
-    def run_with(index: Index, at_text: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 128):
-                    part = batch.slice(at, 128)
-                    yield part.filter(pa.array([not h for h in scan(part.column(at_text).to_pylist(), index)], pa.bool_()))
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at_text):
+                yield part.filter(pa.array([not h for h in held_items(part.column(at_text).to_pylist(), parts)], pa.bool_()))
 
-    for index in indexes(benchmark):
-        docs = docs.transform(arrow, run_with(index, docs.columns.index("text")), docs.schema)
-    return docs
+    return docs.transform(arrow, run, docs.schema)

@@ -83,3 +83,16 @@ def test_short_question_and_start_of_a_long_answer(spark):
     assert len(want) == 21
     assert sorted([(r.doc_id, r.item_id) for r in D.contaminated(df, bench).collect()], key=str) == want
     assert D.clean(df, bench).count() == 0
+
+
+def test_many_shards_and_slices(spark, monkeypatch):
+    """The same leaks whether the benchmark is one shard or many, each document and item once."""
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet").limit(400), spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench = bench.union(bench.where("item_id % 7 = 0"))
+    rows = lambda df: sorted(((r.doc_id, r.item_id, round(r.score, 6), r.overlap) for r in df.collect()), key=str)
+    want, kept = rows(D.contaminated(docs, bench)), D.clean(docs, bench).count()
+    monkeypatch.setattr(D, "BYTES", 900)
+    parts = D.shards(bench)
+    assert len(parts) > 5
+    assert rows(D.contaminated(docs, bench)) == want and want
+    assert D.clean(docs, bench).count() == kept
