@@ -52,3 +52,17 @@ def test_cases(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kept", F.lit("clash"))
     assert got(debruijn.dedup(df)) == brute(rows)
     assert debruijn.dedup(df.limit(0)).count() == 0
+
+
+def test_a_text_that_many_copy_from(spark, monkeypatch):
+    """One source is asked for many different ranges: they come in several lists, and in-text repeats are part of the graph."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    source = words(600)
+    rows = [(0, " ".join(source))]
+    for i in range(1, 400):
+        a = rng.randrange(570)
+        piece = source[a : a + rng.randrange(20, 60)]
+        rows.append((i, " ".join(words(3) + piece + words(2) + (piece if i % 9 == 0 else []))))
+    monkeypatch.setattr(debruijn, "PLACES", 20)
+    assert got(debruijn.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
