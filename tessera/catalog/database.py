@@ -8,11 +8,17 @@ no data, and ADD COLUMN gives older folders its default on read.
 A transaction reads a pinned state through its own changes: changed keys and put rows are folders of their own, written
 by each statement. Commit checks what others committed since (their changed keys are kept with the state): the same key
 changed (every level), a key read (REPEATABLE READ up), or a key in a scanned range (SNAPSHOT). Inserts then append one
-folder; updates and deletes rewrite only the folders that hold a changed key.
+folder; updates and deletes rewrite only the files that hold a changed key, found below the bounds of the changed keys, and
+the state names the files of a folder that are gone. New rows meet only rows between their least and greatest key, so
+the reader skips the files and row groups of a clustered table that lie elsewhere.
+
+An index lists, for each value of its columns, the data files that hold it; a lookup reads those files alone. An entry of a
+file that is gone is skipped. ANALYZE keeps what is needed to tell whether a lookup pays.
 """
 
 from __future__ import annotations
 
+import urllib.parse
 import uuid
 from dataclasses import dataclass, field
 
@@ -24,6 +30,8 @@ from tessera.functions import text as fts
 from tessera.sql.binder import SPARK
 from tessera.sql.errors import ConflictError, ConstraintError, SqlError
 
+#: Commits whose changed keys are named in every state; a transaction that began earlier reads the older states too.
+RECENT = 64
 LEVELS = ("read uncommitted", "read committed", "repeatable read", "snapshot")
 #: Most common tokens or values that ANALYZE keeps of an index.
 COMMON = 256
@@ -37,6 +45,12 @@ def literal(value, kind: str):
     return F.lit(value).cast(SPARK[kind])
 
 
+def within(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
+    """Those of `rows` between the least and greatest `key` of `by`: two plain comparisons, which reach the Parquet reader."""
+    low, high = by.agg(F.min(key), F.max(key)).first()
+    return rows.where(F.lit(False)) if low is None else rows.where((F.col(key) >= F.lit(low)) & (F.col(key) <= F.lit(high)))
+
+
 class Table:
     """One table's part of a state: a plain dictionary with helpers."""
 
@@ -63,6 +77,9 @@ class Table:
     def types(self) -> dict[str, str]:
         return {c["name"]: c["type"] for c in self.columns}
 
+    def typed(self, column: int) -> str:
+        return next(c["type"] for c in self.columns if c["id"] == column)
+
 
 class Database:
     def __init__(self, spark: SparkSession, root: str):
@@ -70,15 +87,31 @@ class Database:
 
     # states
     def version(self) -> int:
-        names = self.store.names("log")
+        names = [n for n in self.store.names("log") if n.endswith(".json")]
         return int(names[-1].removesuffix(".json")) if names else 0
 
     def state(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         return self.store.read(f"log/{version:012d}.json") if version else {"tables": {}, "version": 0, "changes": {}}
 
-    def publish(self, base: int, tables: dict, changes: dict | None = None) -> None:
-        self.store.create(f"log/{base + 1:012d}.json", {"tables": tables, "version": base + 1, "changes": changes or {}})
+    def publish(self, base: dict, tables: dict, changes: dict | None = None, streams: dict | None = None) -> None:
+        """The state that follows `base`; its name is taken once, so of two that follow one state the second fails."""
+        version = base["version"] + 1
+        recent = [*base.get("recent", []), [version, changes or {}]][-RECENT:]
+        state = {"tables": tables, "version": version, "changes": changes or {}, "recent": recent, "streams": base.get("streams", {}) | (streams or {})}
+        self.store.create(f"log/{version:012d}.json", state)
+
+    def create(self) -> None:
+        """An empty database."""
+        self.publish(self.state(0), {})
+
+    def changes(self, now: dict, since: int) -> dict[str, list[str]]:
+        """Folders of the keys changed after version `since`, by table."""
+        known, out = dict(map(tuple, now.get("recent", []))), {}
+        for version in range(since + 1, now["version"] + 1):
+            for name, path in (known[version] if version in known else self.state(version)["changes"]).items():
+                out.setdefault(name, []).append(path)
+        return out
 
     def table(self, name: str, state: dict | None = None) -> Table:
         tables = (state or self.state())["tables"]
@@ -97,7 +130,9 @@ class Database:
         """Physical columns of the table's folders; columns younger than a folder have their default."""
         groups: dict[tuple, list[str]] = {}
         for f in table["folders"] if folders is None else folders:
-            groups.setdefault(tuple(f["ids"]), []).append(f"{self.store.root}/{f['path']}")
+            paths = [f["path"]] if not f.get("gone") and "files" not in f else [f"{f['path']}/{n}" for n in self.files(f)]
+            groups.setdefault(tuple(f["ids"]), []).extend(f"{self.store.root}/{p}" for p in paths)
+        groups = {k: v for k, v in groups.items() if v}
         out = None
         for ids, paths in groups.items():
             schema = ", ".join(f"c{c['id']} {SPARK[c['type']]}" for c in table.columns if c["id"] in ids)
@@ -112,12 +147,17 @@ class Database:
             out = self.spark.createDataFrame([], schema)
         return out
 
+    def files(self, folder: dict) -> list[str]:
+        """Live data files of a folder; `files`, where a scan has chosen some."""
+        names = folder.get("files") or self.store.names(folder["path"])
+        return [n for n in names if n not in folder.get("gone", ())]
+
     # definitions: each is a commit of its own
     def ddl(self, change) -> None:
         state = self.state()
         tables = state["tables"]
         change(tables)
-        self.publish(state["version"], tables)
+        self.publish(state, tables)
 
     def create_table(self, name: str, columns: list[dict], key: list[str], options: dict | None = None, quiet: bool = False) -> None:
         def change(tables):
@@ -181,7 +221,7 @@ class Database:
         self.ddl(change)
 
     def create_index(self, name: str, table: str, columns: list[str], fulltext: bool = False, tokenizer: str = "simple") -> None:
-        """B-tree indexes are metadata (Parquet statistics prune); full-text indexes are posting folders."""
+        """Full-text indexes are posting folders, others folders of values with the files that hold them."""
 
         def change(tables):
             t = Table(tables[table]) if table in tables else self.table(table)
@@ -195,6 +235,8 @@ class Database:
                 fts.tokenizer(tokenizer)
                 if t["folders"]:
                     index["segments"].append({"path": self.write(self.index_rows(t, index, self.read(t)), table), "gone": []})
+            elif t["folders"]:
+                index["segments"].append({"path": self.write_values(t, index, self.read(t, tagged=True)), "gone": []})
             t["indexes"][name] = index
 
         self.ddl(change)
@@ -211,6 +253,24 @@ class Database:
         tokens = rows.select(*key, F.posexplode(fts.tokenizer(index["tokenizer"])[0](F.col(f"c{index['columns'][0]}"))).alias("pos", "token"))
         return tokens.groupBy("token", *key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
+    def write_values(self, t: Table, index: dict, rows: DataFrame) -> str:
+        """A segment of an index: its columns' distinct values with the data file (folder and name), clustered by value."""
+        cols = [f"c{i}" for i in index["columns"]]
+        pairs = rows.select(*cols, F.regexp_extract("__file", "([^/]+/[^/]+)$", 1).alias("file")).distinct()
+        return self.write(pairs.repartitionByRange(*cols).sortWithinPartitions(*cols), "index")
+
+    def lookup(self, t: Table, index: dict, where: str) -> list[dict]:
+        """The table's folders, cut down to the files that hold a value for which `where` is true. At most one row for each file is collected."""
+        paths = [f"{self.store.root}/{s['path']}" for s in index["segments"]]
+        found = {r.file for r in self.spark.read.parquet(*paths).where(where).select("file").distinct().collect()} if paths else set()
+        out = []
+        for f in t["folders"]:
+            last = f["path"].rpartition("/")[2]
+            files = [n for n in (x.partition("/")[2] for x in found if x.startswith(f"{last}/")) if n not in f.get("gone", ())]
+            if files:
+                out.append(f | {"files": sorted(files)})
+        return out
+
     def postings(self, t: Table, index: dict) -> DataFrame | None:
         """Live postings: each segment without the keys changed after it."""
         key, out = [phys(c) for c in t.key], None
@@ -239,11 +299,13 @@ class Database:
             if counts is None:
                 stats["indexes"][label] = {"entries": 0, "distinct": 0, "common": {}}
                 continue
-            total = counts.agg(F.sum("count"), F.count("*")).first()
+            lead = F.col("token") if index["fulltext"] else F.col(cols[0])
+            ends = [f(lead.cast("double") if not index["fulltext"] and t.typed(index["columns"][0]) in ("int", "float", "decimal") else F.lit(None)) for f in (F.min, F.max)]
+            total = counts.agg(F.sum("count"), F.count("*"), *ends).first()
             top = counts.select(value.alias("v"), "count").orderBy(F.desc("count"), "v").limit(COMMON).collect()
-            stats["indexes"][label] = {"entries": total[0] or 0, "distinct": total[1], "common": {r.v: r["count"] for r in top}}
+            stats["indexes"][label] = {"entries": total[0] or 0, "distinct": total[1], "low": total[2], "high": total[3], "common": {r.v: r["count"] for r in top}}
         t.state["statistics"] = stats
-        self.publish(state["version"], state["tables"])
+        self.publish(state, state["tables"])
         return stats
 
     def compact(self, name: str) -> None:
@@ -257,19 +319,24 @@ class Database:
         for index in t["indexes"].values():
             if index["fulltext"]:
                 index["segments"] = [{"path": self.write(self.index_rows(t, index, self.read(t)), name), "gone": []}]
-        self.publish(state["version"], state["tables"])
+            else:
+                index["segments"] = [{"path": self.write_values(t, index, self.read(t, tagged=True)), "gone": []}]
+        self.publish(state, state["tables"])
 
     def vacuum(self, states: int = 20, seconds: int = 3600) -> int:
-        """Delete data that none of the last `states` states names and that is older than `seconds`; returns how many.
+        """Delete data and states that none of the last `states` states names and that are older than `seconds`; returns how many folders and files of data.
 
         The age protects folders of transactions that have not committed yet; a reader of an older state fails.
         """
-        now, used = self.version(), set()
+        now, used, dead = self.version(), set(), {}
         for version in range(max(1, now - states + 1), now + 1):
             state = self.state(version)
             used.update(state["changes"].values())
+            used.update(p for _, changes in state.get("recent", []) for p in changes.values())
             for t in state["tables"].values():
-                used.update(f["path"] for f in t["folders"])
+                for f in t["folders"]:
+                    used.add(f["path"])
+                    dead[f["path"]] = dead.get(f["path"], set(f.get("gone", ()))) & set(f.get("gone", ()))
                 for index in t["indexes"].values():
                     for segment in index["segments"]:
                         used.update([segment["path"], *segment["gone"]])
@@ -279,6 +346,14 @@ class Database:
                 if f"data/{table}/{name}" not in used and age >= seconds:
                     self.store.delete(f"data/{table}/{name}")
                     gone += 1
+        for folder, names in dead.items():
+            ages = dict(self.store.ages(folder)) if names else {}
+            for name in names & {n for n, age in ages.items() if age >= seconds}:
+                self.store.delete(f"{folder}/{name}")
+                gone += 1
+        for name, age in self.store.ages("log"):
+            if name.endswith(".json") and int(name.removesuffix(".json")) <= now - max(states, RECENT) and age >= seconds:
+                self.store.delete(f"log/{name}")
         return gone
 
     def begin(self, level: str = "snapshot") -> Transaction:
@@ -304,6 +379,8 @@ class Transaction:
         self.base = db.state()
         self.pending: dict[str, Pending] = {}
         self.reads: dict[str, list[tuple]] = {}
+        #: stream name and batch id, for a transaction that holds one batch of a stream
+        self.batch: tuple[str, int] | None = None
         self.open = True
 
     def state(self) -> dict:
@@ -329,10 +406,10 @@ class Transaction:
             df = df.unionByName(self.folder(p.puts), allowMissingColumns=True)
         return df
 
-    def frame(self, name: str) -> DataFrame:
-        """The table as this transaction sees it, own changes included, under its column names."""
+    def frame(self, name: str, folders: list[dict] | None = None) -> DataFrame:
+        """The table as this transaction sees it, own changes included, under its column names; or some of its files."""
         t = self.table(name)
-        df = self.physical(name)
+        df = self.physical(name) if folders is None else self.db.read(t, folders)
         return df.select(*[F.col(phys(c)).alias(c["name"]) for c in t.columns])
 
     def note_read(self, name: str, low=None, high=None) -> None:
@@ -374,7 +451,7 @@ class Transaction:
                 if bad[phys(c)]:
                     raise ConstraintError(f"Column {c['name']} must not be NULL")
         twice = rows.groupBy(*key).count().where("count > 1").limit(1).collect()
-        again = twice or rows.select(*key).join(others.select(*key), key, "left_semi").limit(1).collect()
+        again = twice or rows.select(*key).join(within(others.select(*key), rows, key[0]), key, "left_semi").limit(1).collect()
         if again:
             raise ConstraintError(f"Duplicate primary key: {[again[0][k] for k in key]}")
 
@@ -415,8 +492,9 @@ class Transaction:
             return 0
         keys = both.select(*[F.col(f"old_{phys(c)}").alias(phys(c)) for c in t.key])
         rows = both.select(*[phys(c) for c in t.columns])
-        rest = self.physical(name).join(keys, [phys(c) for c in t.key], "left_anti")
-        self.check_rows(name, rows, rest)
+        if any(c["name"] in sets for c in t.key) or any(c["name"] in sets and not c["null"] for c in t.columns):
+            rest = within(self.physical(name), rows, phys(t.key[0])).join(keys, [phys(c) for c in t.key], "left_anti")
+            self.check_rows(name, rows, rest)
         moved = keys.unionByName(rows.select(*[phys(c) for c in t.key])).distinct()
         self.change(name, rows, moved, True)
         return n
@@ -429,6 +507,8 @@ class Transaction:
             return
         for _ in range(20):
             now = self.db.state()
+            if self.batch and now.get("streams", {}).get(self.batch[0], -1) >= self.batch[1]:
+                return
             self.validate(now)
             tables, changes = now["tables"], {}
             for name, p in self.pending.items():
@@ -439,46 +519,53 @@ class Transaction:
                 self.apply(name, Table(tables[name]), p)
                 changes[name] = p.keys
             try:
-                return self.db.publish(now["version"], tables, changes)
+                return self.db.publish(now, tables, changes, dict([self.batch]) if self.batch else None)
             except ConflictError:
                 continue
         raise ConflictError("Too many concurrent commits")
 
     def validate(self, now: dict) -> None:
-        for version in range(self.base["version"] + 1, now["version"] + 1):
-            for name, path in self.db.state(version)["changes"].items():
-                theirs = self.folder(path)
-                p = self.pending.get(name)
-                if p is not None and p.keys is not None:
-                    key = theirs.columns
-                    if theirs.join(self.folder(p.keys), key, "left_semi").limit(1).collect():
-                        raise ConflictError(f"Write conflict on {name}")
-                if LEVELS.index(self.level) >= 2 and name in self.reads:
-                    first = F.col(theirs.columns[0])
-                    inside = F.lit(False)
-                    for low, high in self.reads[name]:
-                        inside = inside | ((first >= F.lit(low) if low is not None else F.lit(True)) & (first <= F.lit(high) if high is not None else F.lit(True)))
-                    hit = theirs.where(inside)
-                    if self.level == "repeatable read":  # only keys that were there to be read
-                        hit = hit.join(self.db.read(self.db.table(name, self.base)).select(*theirs.columns), theirs.columns, "left_semi")
-                    if hit.limit(1).collect():
-                        raise ConflictError(f"Read conflict on {name}")
+        """One look at all keys that others changed since this began, for each table."""
+        for name, paths in self.db.changes(now, self.base["version"]).items():
+            p = self.pending.get(name)
+            writes, reads = p is not None and p.keys is not None, LEVELS.index(self.level) >= 2 and name in self.reads
+            if not writes and not reads:
+                continue
+            theirs = self.db.spark.read.parquet(*[f"{self.db.store.root}/{path}" for path in paths])
+            key = theirs.columns
+            if writes and theirs.join(self.folder(p.keys), key, "left_semi").limit(1).collect():
+                raise ConflictError(f"Write conflict on {name}")
+            if reads:
+                first = F.col(key[0])
+                inside = F.lit(False)
+                for low, high in self.reads[name]:
+                    inside = inside | ((first >= F.lit(low) if low is not None else F.lit(True)) & (first <= F.lit(high) if high is not None else F.lit(True)))
+                hit = theirs.where(inside)
+                if self.level == "repeatable read":  # only keys that were there to be read
+                    hit = hit.join(within(self.db.read(self.db.table(name, self.base)).select(*key), theirs, key[0]), key, "left_semi")
+                if hit.limit(1).collect():
+                    raise ConflictError(f"Read conflict on {name}")
 
     def apply(self, name: str, t: Table, p: Pending) -> None:
-        """Fold the changes into the newest state's table: rewrite the folders that hold a changed key, add the rows."""
+        """Fold the changes into the newest state's table: rewrite the files that hold a changed key, add the rows."""
         key = [phys(c) for c in t.key]
-        folders = t["folders"]
+        folders, new = t["folders"], []
         if p.removes and folders:
-            tagged = self.db.read(t, tagged=True)
-            files = {r[0] for r in tagged.join(self.folder(p.keys), key, "left_semi").select("__file").distinct().collect()}
-            touched = [f for f in folders if any(f"/{f['path']}/" in x for x in files)]
+            keys = self.folder(p.keys)
+            tagged = within(self.db.read(t, tagged=True), keys, key[0])
+            hit: dict[str, list[str]] = {}
+            for r in tagged.join(keys, key, "left_semi").select("__file").distinct().collect():  # at most one row for each file
+                folder, _, file = r[0].rpartition("/")
+                hit.setdefault(folder.rpartition("/")[2], []).append(urllib.parse.unquote(file))
+            touched = [f | {"files": hit[f["path"].rpartition("/")[2]]} for f in folders if f["path"].rpartition("/")[2] in hit]
             if touched:
-                kept = self.db.read(t, touched).join(self.folder(p.keys), key, "left_anti")
-                new = {"path": self.db.write(kept, name), "ids": [c["id"] for c in t.columns]}
-                folders = [f for f in folders if f not in touched] + [new]
+                kept = self.db.read(t, touched).join(keys, key, "left_anti")
+                # in ranges of the key again, so that a clustered table stays one
+                new.append({"path": self.db.write(kept.repartitionByRange(*key).sortWithinPartitions(*key), name), "ids": [c["id"] for c in t.columns]})
+                folders = [self.without(f, hit.get(f["path"].rpartition("/")[2], [])) for f in folders]
         if p.puts is not None:
-            folders = [*folders, {"path": p.puts, "ids": p.ids}]
-        t.state["folders"] = folders
+            new.append({"path": p.puts, "ids": p.ids})
+        t.state["folders"] = [f for f in folders if f] + new
         t.state["sequences"] = t["sequences"] | p.sequences
         for index in t["indexes"].values():
             if index["fulltext"]:
@@ -486,6 +573,15 @@ class Transaction:
                     s["gone"].append(p.keys)
                 if p.puts is not None:
                     index["segments"].append({"path": self.db.write(self.db.index_rows(t, index, self.folder(p.puts)), name), "gone": []})
+            elif new:
+                index["segments"].append({"path": self.db.write_values(t, index, self.db.read(t, new, tagged=True)), "gone": []})
+
+    def without(self, folder: dict, files: list[str]) -> dict | None:
+        """A folder less some of its files; None if no file is left."""
+        if not files:
+            return folder
+        gone = sorted({*folder.get("gone", ()), *files})
+        return folder | {"gone": gone} if set(self.db.store.names(folder["path"])) - set(gone) else None
 
     def rollback(self) -> None:
         self.open = False

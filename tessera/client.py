@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.database import Database, Table, Transaction, phys
 from tessera.functions import text as fts
-from tessera.sql.binder import SPARK, Binder, Scope, Source, kind_of, tick
+from tessera.sql.binder import SPARK, Binder, Scope, Source, has_aggregate, kind_of, tick
 from tessera.sql.errors import ConstraintError, SqlError
 from tessera.sql.lexer import _SPEC
 from tessera.sql.parser import Node, parse
 
 #: Above this share of a table's rows a token is too common for its postings to help.
 COMMON_SHARE = 0.3
+#: Up to this share of a table's entries, by the statistics, an index of values is looked up.
+INDEX_SHARE = 0.2
 cached_parse = functools.lru_cache(1024)(parse)
 
 
@@ -72,8 +74,12 @@ class Session:
 
     def __init__(self, spark: SparkSession, db: Database | None = None, strict: bool = False):
         self.spark, self.db, self.strict = spark, db, strict
+        # the dialect has a TIME type, which Spark keeps behind a setting
+        spark.conf.set("spark.sql.timeType.enabled", "true")
         self.frames: dict[str, DataFrame] = {}
         self.made: list[str] = []
+        #: how the statement at hand reads its tables, for EXPLAIN
+        self.access: list[str] = []
 
     def view(self, df: DataFrame) -> str:
         """A view for the statement at hand; plans hold what it names, so it goes when the statement is planned."""
@@ -121,8 +127,11 @@ class Session:
             text, _, sums = self.bind(s.query, params, tx)
             if s.kind == "select":
                 return Result(self.spark.sql(text), promoted=(lambda: self.planned(s.query, params, tx)) if sums else None)
-            plan = self.spark.sql(text)._jdf.queryExecution().toString()
-            return Result(self.spark.createDataFrame([(plan,)], "`Query Plan` string"))
+            rest = [f"SeqScan {name}" for name in sorted(self.scanned) if not any(a.split()[1] == name for a in self.access)]
+            lines = ["== Access ==", *self.access, *rest, "== Logical ==", *outline(s.query)]
+            # Spark gives its own four plans by the statement of the same name
+            plan = self.spark.sql(f"EXPLAIN EXTENDED {text}").first()[0]
+            return Result(self.spark.createDataFrame([("\n".join([*lines, plan]),)], "`Query Plan` string"))
         if self.db is None:
             raise SqlError("This session has no database")
         if s.kind in ("insert", "update", "delete"):
@@ -181,7 +190,9 @@ class Session:
         """(Spark SQL text, columns with types, whether it has an integer SUM)."""
         binder = self.binder(params, tx)
         binder.promote = promote
+        self.access = []
         out = binder.query(q)
+        self.scanned = binder.used
         if tx is not None:
             simple = q.body.kind == "core" and q.body.source is not None and q.body.source.kind == "table"
             for name in binder.used:
@@ -190,44 +201,112 @@ class Session:
                     tx.note_read(name, *(bounds(q.body.where, key, params) if simple and len(binder.used) == 1 else (None, None)))
         return *out, binder.sums
 
-    def narrow(self, source: Source, where: Node, binder: Binder, tx: Transaction | None) -> str | None:
-        """A key predicate from full-text postings for MATCH, or LIKE with a trigram index, when it is rare enough."""
+    def narrow(self, source: Source, where: Node, binder: Binder, tx: Transaction | None) -> tuple[str | None, str | None]:
+        """What an index gives for the source of a statement: a condition on the key, or a view of fewer files.
+
+        Full-text postings serve MATCH, and LIKE with a trigram index; an index of values serves comparisons, BETWEEN and IN of
+        its first column with constants. Both need statistics that promise few rows, and a table without pending changes.
+        """
         t = self.base_table(source.table, tx) if source.table and (tx is None or source.table not in tx.pending) else None
-        if t is None:
-            return None
+        if t is None or t["statistics"] is None:
+            return None, None
         for e in conjuncts(where):
-            if e.kind not in ("match", "like") or (e.kind == "like" and e.negated):
-                continue
-            column = e.column if e.kind == "match" else e.arg
-            given = e.query if e.kind == "match" else e.pattern
-            if column.kind != "column" or column.name not in source.columns or given.kind not in ("literal", "param"):
+            if hits := self.by_postings(e, t, source, binder):
+                return hits, None
+        best = None
+        for label, index in t["indexes"].items():
+            if not index["fulltext"] and label in t["statistics"]["indexes"]:
+                first = next(c for c in t.columns if c["id"] == index["columns"][0])
+                found = [f for e in conjuncts(where) if (f := self.on_values(e, first, t["statistics"]["indexes"][label], binder))]
+                if found:
+                    share = min(x for _, x, _ in found)
+                    if share <= INDEX_SHARE and (best is None or share < best[0]):
+                        best = share, label, index, found
+        if best is None:
+            return None, None
+        _, label, index, found = best
+        chosen = self.db.lookup(t, index, " AND ".join(f"({text})" for text, _, _ in found))
+        self.access.append(f"IndexScan {source.table} using {label} ({' and '.join(shown for _, _, shown in found)}): {sum(map(len, (f['files'] for f in chosen)))} files")
+        return None, tick(self.view((tx or self.db.begin()).frame(source.table, chosen)))
+
+    def by_postings(self, e: Node, t: Table, source: Source, binder: Binder) -> str | None:
+        if e.kind not in ("match", "like") or (e.kind == "like" and e.negated):
+            return None
+        column = e.column if e.kind == "match" else e.arg
+        given = e.query if e.kind == "match" else e.pattern
+        if column.kind != "column" or column.name not in source.columns or given.kind not in ("literal", "param"):
+            return None
+        value = given.value if given.kind == "literal" else binder.value(given.name)
+        for label, index in t["indexes"].items():
+            if not index["fulltext"] or index["columns"] != [t.column(column.name)["id"]] or not isinstance(value, str):
                 continue
-            value = given.value if given.kind == "literal" else binder.value(given.name)
-            for label, index in t["indexes"].items():
-                if not index["fulltext"] or index["columns"] != [t.column(column.name)["id"]] or not isinstance(value, str):
-                    continue
-                plan = fts.tokenizer(index["tokenizer"])[1]
-                if e.kind == "match":
-                    tree = fts.parse_query(value, plan)
-                elif index["tokenizer"] == "trigram":
-                    grams = sorted({g for run in value.replace("_", "%").split("%") for g in plan(run)})
-                    if not grams:
-                        continue
-                    tree = functools.reduce(lambda a, b: ("and", a, b), [("token", g) for g in grams])
-                else:
-                    continue
-                stats = (t["statistics"] or {}).get("indexes", {}).get(label)
-                posts = self.db.postings(t, index)
-                if stats is None or posts is None or not selective(tree, stats["common"], t["statistics"]["rows"]):
+            plan = fts.tokenizer(index["tokenizer"])[1]
+            if e.kind == "match":
+                tree = fts.parse_query(value, plan)
+            elif index["tokenizer"] == "trigram":
+                grams = sorted({g for run in value.replace("_", "%").split("%") for g in plan(run)})
+                if not grams:
                     continue
-                if len(t.key) > 1:
-                    posts = posts.withColumn("__key", F.struct(*[phys(c) for c in t.key]))
-                    hits = fts.resolve(posts, tree, "__key").select("__key.*")
-                else:
-                    hits = fts.resolve(posts, tree, phys(t.key[0]))
-                view = self.view(hits)
-                keys = ", ".join(f"{tick(source.alias)}.{tick(c['name'])}" for c in t.key)
-                return f"({keys}) IN (SELECT {', '.join(phys(c) for c in t.key)} FROM {view})"
+                tree = functools.reduce(lambda a, b: ("and", a, b), [("token", g) for g in grams])
+            else:
+                continue
+            stats = t["statistics"]["indexes"].get(label)
+            posts = self.db.postings(t, index)
+            if stats is None or posts is None or not selective(tree, stats["common"], t["statistics"]["rows"]):
+                continue
+            if len(t.key) > 1:
+                posts = posts.withColumn("__key", F.struct(*[phys(c) for c in t.key]))
+                hits = fts.resolve(posts, tree, "__key").select("__key.*")
+            else:
+                hits = fts.resolve(posts, tree, phys(t.key[0]))
+            self.access.append(f"FullTextScan {source.table} using {label} ({value})")
+            keys = ", ".join(f"{tick(source.alias)}.{tick(c['name'])}" for c in t.key)
+            return f"({keys}) IN (SELECT {', '.join(phys(c) for c in t.key)} FROM {self.view(hits)})"
+        return None
+
+    def on_values(self, e: Node, column: dict, stats: dict, binder: Binder) -> tuple[str, float, str] | None:
+        """(condition on an index's rows, share of the table's entries that it leaves by the statistics, short text)."""
+        at = f"c{column['id']}"
+
+        def own(node: Node):
+            """Spark text and Python value of a constant that compares with the column."""
+            if constant(node, binder.params) is None:
+                return None
+            text, kind = binder.expr(node, Scope())
+            return (text, constant(node, binder.params)) if kind == column["type"] or {kind, column["type"]} <= {"int", "float"} else None
+
+        def between(low, high) -> float:
+            a, b = stats["low"], stats["high"]
+            if a is None or isinstance(low, str) or isinstance(high, str):
+                return 1 / 3
+            a, b = float(a), float(b)
+            low, high = max(a, a if low is None else float(low)), min(b, b if high is None else float(high))
+            return max(0.0, high - low) / (b - a) if b > a else float(low <= high)
+
+        def equal(value) -> float:
+            entries, common = max(stats["entries"], 1), stats["common"]
+            if str(value) in common:
+                return common[str(value)] / entries
+            rest = stats["distinct"] - len(common)
+            return max(entries - sum(common.values()), 0) / rest / entries if rest > 0 else 0.0
+
+        mine = lambda n: n.kind == "column" and n.name == column["name"]
+        if e.kind == "compare" and e.op in ("=", "<", "<=", ">", ">="):
+            a, b, op = e.left, e.right, e.op
+            if mine(b):
+                a, b, op = b, a, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
+            if not mine(a) or (c := own(b)) is None:
+                return None
+            share = equal(c[1]) if op == "=" else between(c[1], None) if op[0] == ">" else between(None, c[1])
+            return f"{at} {op} {c[0]}", share, f"{column['name']} {op} {c[1]}"
+        if e.kind == "between" and not e.negated and mine(e.arg):
+            low, high = own(e.low), own(e.high)
+            if low and high:
+                return f"{at} BETWEEN {low[0]} AND {high[0]}", between(low[1], high[1]), f"{column['name']} between {low[1]} and {high[1]}"
+        if e.kind == "in_list" and not e.negated and mine(e.arg):
+            items = [own(x) for x in e.items]
+            if items and all(items):
+                return f"{at} IN ({', '.join(x[0] for x in items)})", sum(equal(x[1]) for x in items), f"{column['name']} in ({', '.join(str(x[1]) for x in items)})"
         return None
 
     # changing
@@ -357,6 +436,36 @@ class Session:
         return Result(message=f"Table {s.table} analyzed")
 
 
+def outline(q: Node, depth: int = 0) -> list[str]:
+    """The operators of a query as the text has them, the last one first, inputs indented below."""
+    pad = "  " * depth
+    out = [f"{pad}Limit"] if q.limit is not None or q.offset is not None else []
+    out += [f"{pad}Sort {len(q.order)}"] if q.order else []
+
+    def body(b: Node, depth: int) -> list[str]:
+        pad = "  " * depth
+        if b.kind == "nested":
+            return outline(b.query, depth)
+        if b.kind != "core":
+            return [f"{pad}{b.op.capitalize()}{' all' * b.all}", *body(b.left, depth + 1), *body(b.right, depth + 1)]
+        lines = [f"{pad}Distinct"] if b.distinct else []
+        lines += [f"{pad}Having"] if b.having is not None else []
+        grouped = b.group or b.having is not None or any(has_aggregate(e) for e, _ in b.items)
+        lines.append(f"{pad}Aggregate {len(b.group)}" if grouped else f"{pad}Project {len(b.items)}")
+        lines += [f"{pad}Filter {len(conjuncts(b.where))}"] if b.where is not None else []
+        return lines + (source(b.source, depth + 1) if b.source is not None else [])
+
+    def source(f: Node, depth: int) -> list[str]:
+        pad = "  " * depth
+        if f.kind == "join":
+            return [f"{pad}Join {f.type.lower()}", *source(f.left, depth + 1), *source(f.right, depth + 1)]
+        if f.kind == "derived":
+            return [f"{pad}Derived {f.alias}", *outline(f.query, depth + 1)]
+        return [f"{pad}Table {f.name}"]
+
+    return [*(line for name, _, c in q.ctes for line in [f"{pad}With {name}", *outline(c, depth + 1)]), *out, *body(q.body, depth)]
+
+
 def conjuncts(e: Node | None) -> list[Node]:
     if e is None:
         return []
@@ -420,7 +529,7 @@ class Client:
         db = Database(self.spark, f"{self.root}/{name}")
         if db.version():
             raise SqlError(f"Database already exists: {name}")
-        db.publish(0, {})
+        db.create()
 
     def drop_db(self, name: str) -> None:
         self.session(name)

@@ -28,7 +28,7 @@ def database(spark: SparkSession, sf_dir: str, *names: str) -> Session:
     """The same with a database of its own to write to."""
     out = session(spark, sf_dir, *names)
     out.db = Database(spark, f"{shared_dir(spark)}/db-{uuid.uuid4().hex}")
-    out.db.publish(0, {})
+    out.db.create()
     return out
 
 

@@ -81,7 +81,7 @@ class Binder:
     def __init__(self, tables: Callable[[str], tuple[str, dict[str, str]]], params: dict | None = None, tokenizer_of=None, strict: bool = False, narrow=None, promote: bool = False):
         self.tables, self.params, self.strict = tables, params or {}, strict
         self.tokenizer_of = tokenizer_of or (lambda table, column: None)
-        self.narrow = narrow or (lambda source, where: None)
+        self.narrow = narrow or (lambda source, where: (None, None))
         # integer sums as doubles where they pass 64 bits; `sums` tells whether there is one
         self.promote, self.sums = promote, False
         self.used: set[str] = set()
@@ -184,7 +184,13 @@ class Binder:
         text = f"SELECT {'DISTINCT ' * c.distinct}{', '.join(items)}"
         if source:
             text += f" FROM {source}"
-        more = [x for x in (where, *(self.narrow(s, c.where) for s in scope.sources if c.where is not None and len(scope.sources) == 1)) if x]
+        more = [where] if where else []
+        if where and len(scope.sources) == 1 and c.source.kind == "table":
+            # an index may give a further condition, or a view of fewer files
+            extra, view = self.narrow(scope.sources[0], c.where)
+            more += [extra] if extra else []
+            if view:
+                text = text.replace(f" FROM {source}", f" FROM {view} AS {tick(scope.sources[0].alias)}")
         if more:
             text += " WHERE " + " AND ".join(f"({x})" for x in more)
         if c.group:

@@ -31,19 +31,17 @@ def pull(session: Session, sql: str, params: dict | None = None, level: str = "s
 def feed(session: Session, table: str, stream: DataFrame, checkpoint: str, **trigger):
     """A streaming query that inserts each micro-batch into a table, in one transaction per batch.
 
-    A batch that was committed before a failure is met again with its keys present; it is then skipped as a whole, so
-    a restart from the checkpoint inserts every row once.
+    The commit of a batch names the stream (by its checkpoint) and the batch's number. A batch that was committed before a
+    failure comes again with the same number, and is skipped; so a restart from the checkpoint inserts every row once.
     """
+    stream_name = f"{table}@{checkpoint}"
 
     def insert(batch: DataFrame, batch_id: int) -> None:
         tx = session.db.begin()
-        t = tx.table(table)
-        rows = batch.select(*[c["name"] for c in t.columns])
-        key = [c["name"] for c in t.key]
-        seen = rows.join(tx.frame(table).select(*key), key, "left_semi").count()
-        if seen and seen == rows.count():
+        if tx.base.get("streams", {}).get(stream_name, -1) >= batch_id:
             return tx.rollback()
-        tx.insert(table, rows)
+        tx.batch = (stream_name, batch_id)
+        tx.insert(table, batch.select(*[c["name"] for c in tx.table(table).columns]))
         tx.commit()
 
     writer = stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)

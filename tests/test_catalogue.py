@@ -5,7 +5,7 @@ import pytest
 from tessera.plans import catalogue
 from tests.oracle import compare
 
-import tessera.plans.engine_queries  # noqa: F401, E402
+import tessera.plans.dialect_queries  # noqa: F401, E402
 
 SF = "/root/testdata/sf0.01"
 
