@@ -72,7 +72,7 @@ class Table:
         for c in self.columns:
             if c["name"] == name:
                 return c
-        raise SqlError(f"Column not found: {name}")
+        raise SqlError(f"There is no column {name}")
 
     def types(self) -> dict[str, str]:
         return {c["name"]: c["type"] for c in self.columns}
@@ -116,7 +116,7 @@ class Database:
     def table(self, name: str, state: dict | None = None) -> Table:
         tables = (state or self.state())["tables"]
         if name not in tables:
-            raise SqlError(f"Table not found: {name}")
+            raise SqlError(f"There is no table {name}")
         return Table(tables[name])
 
     # data
@@ -164,14 +164,14 @@ class Database:
             if name in tables:
                 if quiet:
                     return
-                raise SqlError(f"Table already exists: {name}")
+                raise SqlError(f"There is a table {name} already")
             seen = [c["name"] for c in columns]
             if len(set(seen)) < len(seen):
-                raise SqlError("Duplicate column name")
+                raise SqlError("Two columns have one name")
             if any(k not in seen for k in key):
                 raise SqlError("PRIMARY KEY names an unknown column")
             if not key:
-                raise SqlError("Schema does not define a primary key")
+                raise SqlError("Every table needs a PRIMARY KEY")
             cols = [c | {"id": i, "null": c["null"] and c["name"] not in key} for i, c in enumerate(columns)]
             tables[name] = {
                 "columns": cols, "key": [seen.index(k) for k in key], "next_id": len(cols), "folders": [], "sequences": {}, "indexes": {}, "statistics": None, "options": options or {},
@@ -182,7 +182,7 @@ class Database:
     def drop_table(self, name: str, quiet: bool = False) -> None:
         def change(tables):
             if name not in tables and not quiet:
-                raise SqlError(f"Table not found: {name}")
+                raise SqlError(f"There is no table {name}")
             tables.pop(name, None)
 
         self.ddl(change)
@@ -191,7 +191,7 @@ class Database:
         def change(tables):
             t = tables[table] if table in tables else self.table(table)
             if any(c["name"] == column["name"] for c in t["columns"]):
-                raise SqlError(f"Duplicate column name: {column['name']}")
+                raise SqlError(f"There is a column {column['name']} already")
             if not column["null"] and column["default"] is None and t["folders"]:
                 raise SqlError("A NOT NULL column added to a table with rows needs a default")
             t["columns"].append(column | {"id": t["next_id"]})
@@ -203,7 +203,7 @@ class Database:
         def change(tables):
             t = Table(tables[table]) if table in tables else self.table(table)
             if any(c["name"] == new for c in t.columns):
-                raise SqlError(f"Duplicate column name: {new}")
+                raise SqlError(f"There is a column {new} already")
             t.column(old)["name"] = new
 
         self.ddl(change)
@@ -213,9 +213,9 @@ class Database:
             t = Table(tables[table]) if table in tables else self.table(table)
             c = t.column(name)
             if c["id"] in t["key"]:
-                raise SqlError(f"Cannot drop primary key column {name}")
+                raise SqlError(f"{name} belongs to the key and stays")
             if any(c["id"] in i["columns"] for i in t["indexes"].values()):
-                raise SqlError(f"Cannot drop indexed column {name}")
+                raise SqlError(f"{name} belongs to an index and stays")
             t.columns.remove(c)
 
         self.ddl(change)
@@ -226,7 +226,7 @@ class Database:
         def change(tables):
             t = Table(tables[table]) if table in tables else self.table(table)
             if any(name in x["indexes"] for x in tables.values()):
-                raise SqlError(f"Index already exists: {name}")
+                raise SqlError(f"There is an index {name} already")
             cols = [t.column(c) for c in columns]
             index = {"columns": [c["id"] for c in cols], "fulltext": fulltext, "tokenizer": tokenizer, "segments": []}
             if fulltext:
@@ -244,7 +244,7 @@ class Database:
     def drop_index(self, name: str) -> None:
         def change(tables):
             if not any(t["indexes"].pop(name, None) for t in tables.values()):
-                raise SqlError(f"Index not found: {name}")
+                raise SqlError(f"There is no index {name}")
 
         self.ddl(change)
 
@@ -374,7 +374,7 @@ class Pending:
 class Transaction:
     def __init__(self, db: Database, level: str = "snapshot"):
         if level not in LEVELS:
-            raise SqlError(f"Unknown isolation level: {level}")
+            raise SqlError(f"There is no isolation level {level}")
         self.db, self.level = db, level
         self.base = db.state()
         self.pending: dict[str, Pending] = {}
@@ -453,7 +453,7 @@ class Transaction:
         twice = rows.groupBy(*key).count().where("count > 1").limit(1).collect()
         again = twice or rows.select(*key).join(within(others.select(*key), rows, key[0]), key, "left_semi").limit(1).collect()
         if again:
-            raise ConstraintError(f"Duplicate primary key: {[again[0][k] for k in key]}")
+            raise ConstraintError(f"The key {[again[0][k] for k in key]} is taken")
 
     def insert(self, name: str, rows: DataFrame) -> int:
         """Rows with the table's column names, complete and typed."""
@@ -534,7 +534,7 @@ class Transaction:
             theirs = self.db.spark.read.parquet(*[f"{self.db.store.root}/{path}" for path in paths])
             key = theirs.columns
             if writes and theirs.join(self.folder(p.keys), key, "left_semi").limit(1).collect():
-                raise ConflictError(f"Write conflict on {name}")
+                raise ConflictError(f"Another transaction wrote keys of {name} that this one wrote")
             if reads:
                 first = F.col(key[0])
                 inside = F.lit(False)
@@ -544,7 +544,7 @@ class Transaction:
                 if self.level == "repeatable read":  # only keys that were there to be read
                     hit = hit.join(within(self.db.read(self.db.table(name, self.base)).select(*key), theirs, key[0]), key, "left_semi")
                 if hit.limit(1).collect():
-                    raise ConflictError(f"Read conflict on {name}")
+                    raise ConflictError(f"Another transaction wrote keys of {name} that this one read")
 
     def apply(self, name: str, t: Table, p: Pending) -> None:
         """Fold the changes into the newest state's table: rewrite the files that hold a changed key, add the rows."""

@@ -146,7 +146,7 @@ class Session:
                 raise
             return Result(count=count, message=f"{count} rows")
         if tx is not None:
-            raise SqlError("DDL is not allowed inside a transaction")
+            raise SqlError("A transaction takes no definitions")
         return getattr(self, s.kind)(s)
 
     # reading
@@ -163,7 +163,7 @@ class Session:
                     df = self.frames[name]
                     types = {c: kind_of(t) for c, t in df.dtypes}
                 else:
-                    raise SqlError(f"Table not found: {name}")
+                    raise SqlError(f"There is no table {name}")
                 seen[name] = (tick(self.view(df)), types)
             return seen[name]
 
@@ -347,7 +347,7 @@ class Session:
     def fits(text: str, kind: str, column: dict) -> str:
         """Types must agree exactly; NULL fits where the column allows it."""
         if kind not in (column["type"], "null"):
-            raise ConstraintError(f"Schema mismatch: column {column['name']} is {column['type']}, the value is {kind}")
+            raise ConstraintError(f"{column['name']} takes {column['type']}, not {kind}")
         return text
 
     def number(self, df: DataFrame, column: dict, table: str, tx: Transaction, ordered: bool) -> DataFrame:
@@ -382,7 +382,7 @@ class Session:
         sets = {}
         for name, e in s.sets:
             if name in sets:
-                raise SqlError(f"Column set twice: {name}")
+                raise SqlError(f"SET names {name} twice")
             sets[name] = self.fits(*binder.expr(e, scope), t.column(name))
         where = binder.condition(s.where, scope) if s.where is not None else None
         return tx.update(s.table, sets, where)
@@ -528,7 +528,7 @@ class Client:
     def create_db(self, name: str) -> None:
         db = Database(self.spark, f"{self.root}/{name}")
         if db.version():
-            raise SqlError(f"Database already exists: {name}")
+            raise SqlError(f"There is a database {name} already")
         db.create()
 
     def drop_db(self, name: str) -> None:
@@ -544,7 +544,7 @@ class Client:
         if name not in self.dbs:
             db = Database(self.spark, f"{self.root}/{name}")
             if not db.version():
-                raise SqlError(f"Database not found: {name}")
+                raise SqlError(f"There is no database {name}")
             self.dbs[name] = Session(self.spark, db, self.strict)
         return self.dbs[name]
 

@@ -25,6 +25,8 @@ def trigrams(c: Column) -> Column:
 _REGISTRY: dict[str, tuple[Tokenizer, Callable[[str], list[str]]]] = {}
 #: SQL text of a tokenizer, with {c} for the column; without it, the SQL front-end cannot use the tokenizer.
 _SQL: dict[str, str] = {}
+#: Tokenizers whose tokens are parts of the lower-cased text.
+_INSIDE = {"simple", "trigram"}
 
 
 def register_tokenizer(name: str, tokenize: Tokenizer, plan: Callable[[str], list[str]], sql: str | None = None) -> None:
@@ -153,29 +155,59 @@ def match_tree(tokens: Column, tree) -> Column:
     return (left & right) if tree[0] == "and" else (left | right)
 
 
+def tokens_of(tree) -> list[str]:
+    """The tokens that a parsed query names, sorted."""
+    own = {tree[1]} if tree[0] == "token" else set(tree[1]) if tree[0] == "phrase" else {*tokens_of(tree[1]), *tokens_of(tree[2])}
+    return sorted(own)
+
+
+def holds(tree, test: Callable[[str], str | Column], both, either):
+    """A condition that every match meets: of a phrase each token, by `test`."""
+    if tree[0] in ("token", "phrase"):
+        out = None
+        for t in [tree[1]] if tree[0] == "token" else tree[1]:
+            out = test(t) if out is None else both(out, test(t))
+        return out
+    left, right = (holds(x, test, both, either) for x in tree[1:])
+    return both(left, right) if tree[0] == "and" else either(left, right)
+
+
 def match_sql(c: str, query: str, name: str = "simple") -> str:
-    """The predicate of MATCH as Spark SQL text."""
+    """The predicate of MATCH as Spark SQL text.
+
+    Most rows are settled by looking for the tokens in the lower-cased text; the others are cut into tokens, once each.
+    """
     if name not in _SQL:
         raise KeyError(f"Tokenizer {name} has no SQL form")
-    tokens = _SQL[name].format(c=c)
     quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     def text(tree) -> str:
         if tree[0] == "token":
-            return f"coalesce(array_contains({tokens}, {quoted(tree[1])}), false)"
+            return f"coalesce(array_contains(ts, {quoted(tree[1])}), false)"
         if tree[0] == "phrase":
             words = f"array({', '.join(map(quoted, tree[1]))})"
             n = len(tree[1])
-            return f"coalesce(size({tokens}) >= {n} AND exists(sequence(1, greatest(size({tokens}) - {n - 1}, 1)), i -> slice({tokens}, i, {n}) = {words}), false)"
+            return f"coalesce(size(ts) >= {n} AND exists(sequence(1, greatest(size(ts) - {n - 1}, 1)), i -> slice(ts, i, {n}) = {words}), false)"
         return f"({text(tree[1])} {tree[0].upper()} {text(tree[2])})"
 
-    return text(parse_query(query, tokenizer(name)[1]))
+    tree = parse_query(query, tokenizer(name)[1])
+    exact = f"exists(array({_SQL[name].format(c=c)}), ts -> {text(tree)})"
+    if name not in _INSIDE:
+        return exact
+    first = holds(tree, lambda t: f"contains(low, {quoted(t)})", lambda a, b: f"({a} AND {b})", lambda a, b: f"({a} OR {b})")
+    return f"(coalesce(exists(array(lower({c})), low -> {first}), false) AND {exact})"
 
 
 def match(c: Column, query: str, name: str = "simple") -> Column:
     """MATCH(c) AGAINST(query): evaluated inside the scan's projection, no Python at run time."""
     tokenize, plan = tokenizer(name)
-    return match_tree(tokenize(c), parse_query(query, plan))
+    tree = parse_query(query, plan)
+    # as a lambda's variable the tokens of a row are made once, however many terms look at them
+    exact = F.exists(F.array(tokenize(c)), lambda ts: match_tree(ts, tree))
+    if name not in _INSIDE:
+        return exact
+    first = F.exists(F.array(F.lower(c)), lambda low: holds(tree, lambda t: F.contains(low, F.lit(t)), lambda a, b: a & b, lambda a, b: a | b))
+    return F.coalesce(first, F.lit(False)) & exact
 
 
 def postings(df: DataFrame, key: str, text: str, name: str = "simple") -> DataFrame:
@@ -184,25 +216,39 @@ def postings(df: DataFrame, key: str, text: str, name: str = "simple") -> DataFr
     return tokens.groupBy("token", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def write_postings(df: DataFrame, key: str, text: str, path: str, name: str = "simple") -> None:
+    """The inverted index as a table clustered by token, so that a lookup reads the row groups of its tokens alone."""
+    postings(df, key, text, name).repartitionByRange("token", key).sortWithinPartitions("token", key).write.parquet(path)
+
+
 def _back(i: int) -> Callable[[Column], Column]:
     return lambda p: p - i
 
 
 def resolve(index: DataFrame, tree, key: str) -> DataFrame:
-    """Keys that satisfy a parsed query, from postings alone: intersections, unions and position joins."""
+    """Keys that satisfy a parsed query, from postings alone: one scan of the query's tokens, one aggregate by key.
+
+    Positions are only read if the query has a phrase.
+    """
+    tokens, phrases = tokens_of(tree), "phrase" in str(tree).split("'")
+    hits = index.where(F.col("token").isin(tokens))
     if tree[0] == "token":
-        return index.where(F.col("token") == tree[1]).select(key).distinct()
-    if tree[0] == "phrase":
-        out = None
-        for i, word in enumerate(tree[1]):
-            here = index.where(F.col("token") == word).select(key, F.transform("positions", _back(i)).alias(f"p{i}"))
-            out = here if out is None else out.join(here, key)
-        common = F.col("p0")
-        for i in range(1, len(tree[1])):
-            common = F.array_intersect(common, F.col(f"p{i}"))
-        return out.where(F.size(common) > 0).select(key).distinct()
-    left, right = resolve(index, tree[1], key), resolve(index, tree[2], key)
-    return left.join(right, key, "left_semi") if tree[0] == "and" else left.union(right).distinct()
+        return hits.select(key).distinct()
+    found = [F.max(F.when(F.col("token") == t, F.col("positions") if phrases else F.lit(True))).alias(f"t{i}") for i, t in enumerate(tokens)]
+    at = {t: F.col(f"t{i}") for i, t in enumerate(tokens)}
+
+    def true(tree) -> Column:
+        if tree[0] == "token":
+            return at[tree[1]].isNotNull()
+        if tree[0] == "phrase":
+            common = at[tree[1][0]]
+            for i, word in enumerate(tree[1][1:], 1):
+                common = F.array_intersect(common, F.transform(at[word], _back(i)))
+            return F.coalesce(F.size(common) > 0, F.lit(False))
+        left, right = true(tree[1]), true(tree[2])
+        return (left & right) if tree[0] == "and" else (left | right)
+
+    return hits.groupBy(key).agg(*found).where(true(tree)).select(key)
 
 
 def like_by_trigrams(df: DataFrame, key: str, text: str, pattern: str, index: DataFrame | None = None) -> DataFrame:

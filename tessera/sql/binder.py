@@ -39,7 +39,7 @@ def kind_of_value(v) -> str:
     for types, kind in ((type(None), "null"), (bool, "bool"), (int, "int"), (float, "float"), (str, "string"), (bytes, "bytes"), (decimal.Decimal, "decimal"), (datetime.datetime, "timestamp"), (datetime.date, "date"), (datetime.time, "time")):
         if isinstance(v, types):
             return kind
-    raise SqlError(f"Unsupported parameter type: {type(v).__name__}")
+    raise SqlError(f"A parameter cannot be a {type(v).__name__}")
 
 
 def quote(s: str) -> str:
@@ -67,12 +67,12 @@ class Scope:
     def find(self, table: str | None, name: str) -> tuple[Source, str]:
         hits = [s for s in self.sources if (table is None or s.alias == table) and name in s.columns]
         if len(hits) > 1:
-            raise SqlError(f"Ambiguous column reference {name!r}: matches {[f'{s.alias}.{name}' for s in hits]}")
+            raise SqlError(f"{name} may be the column of any of {', '.join(s.alias for s in hits)}")
         if hits:
             return hits[0], hits[0].columns[name]
         if self.outer is not None:
             return self.outer.find(table, name)
-        raise SqlError(f"Column not found: {f'{table}.' if table else ''}{name}")
+        raise SqlError(f"There is no column {f'{table}.' if table else ''}{name}")
 
 
 class Binder:
@@ -214,7 +214,7 @@ class Binder:
             if f.type == "CROSS":
                 return f"{left} CROSS JOIN {right}"
             if self.strict and (f.on.kind != "compare" or f.on.op != "=" or f.type in ("RIGHT", "FULL")):
-                raise SqlError("Only equality join conditions supported" if f.type in ("INNER", "LEFT") else f"Unsupported JOIN operator: {f.type}")
+                raise SqlError("Strict sessions join on one equality" if f.type in ("INNER", "LEFT") else f"Strict sessions know no {f.type} join")
             return f"{left} {f.type} JOIN {right} ON {self.condition(f.on, scope)}"
         if f.kind == "derived":
             text, cols = self.query(f.query, None if self.strict else scope.outer)
@@ -231,14 +231,14 @@ class Binder:
                 found = Source(f.alias, dict(view[1]))
             text = f"{view[0]} AS {tick(f.alias)}"
         if any(s.alias == found.alias for s in scope.sources):
-            raise SqlError(f"Duplicate table alias: {found.alias}")
+            raise SqlError(f"Two tables are called {found.alias}")
         scope.sources.append(found)
         return text
 
     # expressions: each returns (text, type)
     def value(self, name: str):
         if name not in self.params:
-            raise SqlError(f"Unbound parameter: {name}")
+            raise SqlError(f"No value is bound to {name}")
         return self.params[name]
 
     def condition(self, e: Node, scope: Scope, aggregates=False) -> str:
@@ -256,7 +256,7 @@ class Binder:
     def expr(self, e: Node, scope: Scope, aggregates=False) -> tuple[str, str]:
         method = getattr(self, "x_" + e.kind, None)
         if method is None:
-            raise SqlError(f"Unsupported expression: {e.kind}")
+            raise SqlError(f"{e.kind} cannot stand here")
         return method(e, scope, aggregates)
 
     def x_star(self, e, scope, agg):
@@ -270,7 +270,7 @@ class Binder:
         v = e.value
         if e.type == "int":
             if not -(2**63) <= v < 2**63:
-                raise SqlError(f"Integer out of range: {v}")
+                raise SqlError(f"{v} does not fit 64 bits")
             return (f"{v}L" if v >= 0 else f"({v}L)" if v > -(2**63) else "(-9223372036854775807L - 1L)"), "int"
         if e.type == "float":
             return (f"{v!r}D" if v >= 0 else f"({v!r}D)"), "float"
@@ -292,7 +292,7 @@ class Binder:
     def x_negate(self, e, scope, agg):
         text, kind = self.expr(e.arg, scope, agg)
         if kind not in (*NUMERIC, "null"):
-            raise SqlError(f"Cannot negate {kind}")
+            raise SqlError(f"Only numbers can be negated, not {kind}")
         return f"(-{text})", kind
 
     def x_arith(self, e, scope, agg):
@@ -328,7 +328,7 @@ class Binder:
         (a, s), (b, t) = self.expr(e.left, scope, agg), self.expr(e.right, scope, agg)
         both = self.pair(a, s, b, t)
         if both is None:
-            raise SqlError(f"Cannot compare {s} with {t}")
+            raise SqlError(f"{s} and {t} do not compare")
         return f"({both[0]} {e.op} {both[1]})", "bool"
 
     def x_is_null(self, e, scope, agg):
@@ -411,7 +411,7 @@ class Binder:
         if to == "string":
             return self.as_text(text, kind), to
         if kind not in allowed[to]:
-            raise SqlError(f"Cannot cast {kind} to {to}")
+            raise SqlError(f"{kind} does not become {to}")
         if to == "int" and kind == "float":  # truncates, and saturates at the ends of 64 bits
             return f"(CASE WHEN isnan({text}) THEN 0L WHEN {text} >= 9223372036854775807D THEN 9223372036854775807L WHEN {text} <= -9223372036854775808D THEN (-9223372036854775807L - 1L) ELSE CAST({text} AS BIGINT) END)", to
         if to == "decimal" and e.arg.kind == "literal" and kind == "string":

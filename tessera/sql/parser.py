@@ -84,11 +84,11 @@ class Parser:
     # statements
     def statement(self) -> Node:
         if self.now.kind == "end":
-            raise SqlError("Empty statement")
+            raise SqlError("There is no statement")
         out = self.one_statement()
         self.take(";")
         if self.now.kind != "end":
-            raise SqlError(f"Exactly one statement is expected; unexpected {self.now.text!r}")
+            raise SqlError(f"A statement ends before {self.now.text!r}: only one is taken at a time")
         return out
 
     def one_statement(self) -> Node:
@@ -118,12 +118,12 @@ class Parser:
         if self.take("ANALYZE"):
             self.take("TABLE")
             return node("analyze", table=self.name())
-        raise SqlError(f"Unsupported statement: {self.now.text}")
+        raise SqlError(f"No statement begins with {self.now.text}")
 
     def type_(self) -> tuple[str, bool]:
         word = self.name().upper()
         if word not in TYPES:
-            raise SqlError(f"Unsupported data type: {word}")
+            raise SqlError(f"There is no type {word}")
         self.take("PRECISION")
         if self.take("("):
             while not self.take(")"):
@@ -225,14 +225,14 @@ class Parser:
         ctes = []
         if self.take("WITH"):
             if self.take("RECURSIVE"):
-                raise SqlError("Recursive CTEs are not supported")
+                raise SqlError("WITH takes no RECURSIVE")
             while True:
                 name = self.name()
                 columns = self.names() if self.is_("(") else None
                 self.need("AS")
                 self.need("(")
                 if name in [c[0] for c in ctes]:
-                    raise SqlError(f"Duplicate CTE name: {name}")
+                    raise SqlError(f"WITH names {name} twice")
                 ctes.append((name, columns, self.query()))
                 self.need(")")
                 if not self.take(","):
@@ -241,14 +241,14 @@ class Parser:
         order, limit, offset = [], None, None
         if self.take("ORDER", "BY"):
             if self.is_("ALL"):
-                raise SqlError("ORDER BY ALL is not supported")
+                raise SqlError("ORDER BY takes expressions, not ALL")
             while True:
                 key = self.expr()
                 asc = not self.take("DESC")
                 if asc:
                     self.take("ASC")
                 if self.take("NULLS", "FIRST") or self.take("NULLS", "LAST"):
-                    raise SqlError("NULLS FIRST/LAST is not supported")
+                    raise SqlError("The place of nulls is fixed: they sort lowest")
                 order.append((key, asc))
                 if not self.take(","):
                     break
@@ -294,7 +294,7 @@ class Parser:
         self.need("SELECT")
         distinct = self.take("DISTINCT")
         if distinct and self.is_("ON"):
-            raise SqlError("SELECT DISTINCT ON is not supported")
+            raise SqlError("DISTINCT takes no ON")
         if not distinct:
             self.take("ALL")
         items = []
@@ -314,7 +314,7 @@ class Parser:
         group = []
         if self.take("GROUP", "BY"):
             if any(self.is_(w) for w in ("ALL", "ROLLUP", "CUBE")) or self.is_("GROUPING", "SETS"):
-                raise SqlError("GROUP BY ALL, ROLLUP, CUBE and GROUPING SETS are not supported")
+                raise SqlError("GROUP BY takes expressions, no sets of groups")
             group.append(self.expr())
             while self.take(","):
                 group.append(self.expr())
@@ -339,7 +339,7 @@ class Parser:
         left = self.table()
         while True:
             if self.is_("NATURAL"):
-                raise SqlError("Unsupported JOIN operator: NATURAL")
+                raise SqlError("A join says its condition: NATURAL is not taken")
             if self.take("CROSS", "JOIN"):
                 left = node("join", type="CROSS", left=left, right=self.table(), on=None)
                 continue
@@ -355,7 +355,7 @@ class Parser:
             self.need("JOIN")
             right = self.table()
             if self.is_("USING"):
-                raise SqlError("Unsupported JOIN constraint: USING")
+                raise SqlError("A join says its condition by ON, not by USING")
             on = self.expr() if self.take("ON") else None
             if on is None and kind in ("LEFT", "RIGHT", "FULL"):
                 raise SqlError(f"{kind} JOIN needs ON")
@@ -363,7 +363,7 @@ class Parser:
 
     def table(self) -> Node:
         if self.take("LATERAL"):
-            raise SqlError("LATERAL is not supported")
+            raise SqlError("A derived table does not see its neighbours: LATERAL is not taken")
         if self.take("("):
             inner = self.query()
             self.need(")")
@@ -409,7 +409,7 @@ class Parser:
             if self.take("LIKE"):
                 left = node("like", arg=left, pattern=self.additive(), negated=negated)
                 if self.is_("ESCAPE"):
-                    raise SqlError("LIKE … ESCAPE is not supported")
+                    raise SqlError("LIKE has no escape character")
             elif self.take("BETWEEN"):
                 low = self.additive()
                 self.need("AND")
@@ -432,7 +432,7 @@ class Parser:
         while self.now.kind == "op" and self.now.text in ("+", "-", "||"):
             op = self.now.text
             if op == "||":
-                raise SqlError("Unsupported operator: ||")
+                raise SqlError("Strings are joined by CONCAT, not by ||")
             self.at += 1
             left = node("arith", op=op, left=left, right=self.product())
         return left
@@ -442,7 +442,7 @@ class Parser:
         while self.now.kind == "op" and self.now.text in ("*", "/", "%"):
             op = self.now.text
             if op == "%":
-                raise SqlError("Unsupported operator: %")
+                raise SqlError("There is no operator %")
             self.at += 1
             left = node("arith", op=op, left=left, right=self.unary())
         return left
@@ -540,7 +540,7 @@ class Parser:
             distinct = self.take("DISTINCT")
             if self.take("*"):
                 if name != "COUNT" or distinct:
-                    raise SqlError(f"{name}({'DISTINCT ' * distinct}*) is not supported")
+                    raise SqlError(f"{name} takes no {'DISTINCT ' * distinct}*")
                 arg = None
             elif self.is_(")"):
                 raise SqlError(f"{name} needs one argument")
@@ -561,10 +561,10 @@ class Parser:
             self.need(")")
             out = node("function", name="SUBSTR" if name == "SUBSTRING" else name, args_=args)
         else:
-            raise SqlError(f"Unsupported or unrecognized function: {name}")
+            raise SqlError(f"There is no function {name}")
         for clause in ("OVER", "FILTER"):
             if self.is_(clause) and self.peek().text == "(":
-                raise SqlError(f"{clause} is not supported")
+                raise SqlError(f"A function takes no {clause}")
         return out
 
 

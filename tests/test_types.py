@@ -24,18 +24,18 @@ def rows(c, sql, params=None):
 
 def test_temporal_and_decimal_columns(c):
     run = lambda sql, params=None: c.execute_query("d", sql, params).count
-    run("create table v (id int primary key, d date default date '2026-01-01', t time, ts timestamp, dec decimal, raw bytea)")
-    run("insert into v values (1, date '2026-06-02', time '12:34:56', timestamp '2026-06-02 12:34:56', decimal '123.45', cast('ab' as bytea))")
-    run("insert into v (id, t, ts, dec) values (2, @t, @ts, @dec)", {"t": T(13, 45), "ts": TS(2026, 6, 3, 13, 45), "dec": decimal.Decimal("678.90")})
+    run("create table v (id int primary key, d date default date '1999-02-03', t time, ts timestamp, dec decimal, raw bytea)")
+    run("insert into v values (1, date '1997-11-30', time '23:01:07', timestamp '1997-11-30 23:01:07', decimal '80.125', cast('ab' as bytea))")
+    run("insert into v (id, t, ts, dec) values (2, @t, @ts, @dec)", {"t": T(4, 5), "ts": TS(1998, 1, 2, 4, 5), "dec": decimal.Decimal("410.5")})
     assert rows(c, "select d, t, ts, dec, raw from v order by id") == [
-        (D(2026, 6, 2), T(12, 34, 56), TS(2026, 6, 2, 12, 34, 56), decimal.Decimal("123.45"), b"ab"),
-        (D(2026, 1, 1), T(13, 45), TS(2026, 6, 3, 13, 45), decimal.Decimal("678.90"), None),
+        (D(1997, 11, 30), T(23, 1, 7), TS(1997, 11, 30, 23, 1, 7), decimal.Decimal("80.125"), b"ab"),
+        (D(1999, 2, 3), T(4, 5), TS(1998, 1, 2, 4, 5), decimal.Decimal("410.5"), None),
     ]
-    assert rows(c, "select sum(dec), min(d), max(ts), avg(dec) from v") == [(decimal.Decimal("802.35"), D(2026, 1, 1), TS(2026, 6, 3, 13, 45), decimal.Decimal("401.175"))]
-    assert rows(c, "select id from v where ts between timestamp '2026-06-03T00:00:00' and @hi", {"hi": TS(2026, 7, 1)}) == [(2,)]
-    assert rows(c, "select id from v where dec > 200 and t < time '14:00:00'") == [(2,)]
-    assert run("update v set dec = dec + decimal '0.10' where d = date '2026-06-02'") == 1
-    assert rows(c, "select concat('', dec) from v where id = 1") == [("123.55",)]
+    assert rows(c, "select sum(dec), min(d), max(ts), avg(dec) from v") == [(decimal.Decimal("490.625"), D(1997, 11, 30), TS(1998, 1, 2, 4, 5), decimal.Decimal("245.3125"))]
+    assert rows(c, "select id from v where ts between timestamp '1998-01-01T00:00:00' and @hi", {"hi": TS(1998, 7, 1)}) == [(2,)]
+    assert rows(c, "select id from v where dec > 200 and t < time '06:00:00'") == [(2,)]
+    assert run("update v set dec = dec + decimal '0.10' where d = date '1997-11-30'") == 1
+    assert rows(c, "select concat('', dec) from v where id = 1") == [("80.225",)]
     for bad in ("insert into v (id, d) values (9, '2026-01-01')", "insert into v (id, dec) values (9, 1)", "select id from v where d = 5", "select d + 1 from v"):
         with pytest.raises(SqlError):
             run(bad)
@@ -43,14 +43,14 @@ def test_temporal_and_decimal_columns(c):
 
 def test_temporal_keys(c):
     c.execute_query("d", "create table k (d date, dec decimal, v int, primary key (d, dec))")
-    c.execute_query("d", "insert into k values (date '2026-01-01', decimal '1.5', 1), (date '2026-01-02', decimal '1.5', 2)")
-    assert rows(c, "select v from k where d = @d and dec = @x", {"d": D(2026, 1, 2), "x": decimal.Decimal("1.50")}) == [(2,)]
+    c.execute_query("d", "insert into k values (date '1999-02-03', decimal '1.5', 1), (date '1999-02-04', decimal '1.5', 2)")
+    assert rows(c, "select v from k where d = @d and dec = @x", {"d": D(1999, 2, 4), "x": decimal.Decimal("1.50")}) == [(2,)]
     with pytest.raises(SqlError):
-        c.execute_query("d", "insert into k values (date '2026-01-01', decimal '1.50', 3)")
+        c.execute_query("d", "insert into k values (date '1999-02-03', decimal '1.50', 3)")
     with c.transaction("d") as tx:
-        tx("select v from k where d >= @d", {"d": D(2026, 1, 2)}).rows()
-        c.execute_query("d", "insert into k values (date '2025-01-01', decimal '1', 9)")
-        tx("delete from k where v = @v and d > date '2026-01-01'", {"v": 2})
+        tx("select v from k where d >= @d", {"d": D(1999, 2, 4)}).rows()
+        c.execute_query("d", "insert into k values (date '1990-01-01', decimal '1', 9)")
+        tx("delete from k where v = @v and d > date '1999-02-03'", {"v": 2})
     assert rows(c, "select count(*) from k") == [(2,)]
 
 
