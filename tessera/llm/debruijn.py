@@ -5,8 +5,8 @@ anchor; neighbouring windows with one anchor form an edge of the graph: the anch
 span. Equal windows have equal anchors, so only edges whose anchor occurs elsewhere matter, and a document has an edge
 for about eight words instead of one for each.
 
-1. Anchors are counted; those that occur once go, all others stay, whether they repeat in one text or in many. (Sums and
-   extremes are combined before the shuffle.)
+1. Windows that a text repeats itself are found within the text; of the rest, a text names each edge once, at its first
+   place. Anchors are counted; those of one text only go. (Sums and extremes are combined before the shuffle.)
 2. All edges of the other anchors are joined with the first place of the same edge, by (doc_id, start). An edge that has
    an earlier place repeats it as a whole. Where an anchor has but one edge the path does not branch, and nothing
    else is needed; consecutive repeated edges with a common source are compacted into one long span.
@@ -87,8 +87,15 @@ class Words:
             out.append(mix64((sums[end] - sums[start]) * p[2 + k][start] + (end - start).astype("u8")))
         return out
 
+    def repeats(self) -> np.ndarray:
+        """Starts of the windows that begin earlier in this text too."""
+        at = np.arange(max(len(self) - WINDOW + 1, 0))
+        (h,) = self.ranges(at, at + WINDOW, both=False)
+        order = np.argsort(h, kind="stable")
+        return order[1:][h[order[1:]] == h[order[:-1]]]
+
     def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, tag, start, number of windows) of each edge, in order."""
+        """(anchor, tag, start, number of windows) of the first place of each edge, by anchor and tag."""
         n = len(self) - WINDOW + 1
         if n < 1:
             none = np.zeros(0, "i8")
@@ -104,7 +111,11 @@ class Words:
         anchor = at[start]
         (content,) = self.ranges(start, start + count + WINDOW - 1, both=False)
         tag = mix64(content + (anchor - start).astype("u8") * np.uint64(0x9E3779B97F4A7C15)).view("i8").astype("i4")
-        return k[anchor].view("i8"), tag, start, count
+        anchor = k[anchor].view("i8")
+        order = np.lexsort((tag, anchor))
+        a, t = anchor[order], tag[order]
+        order = order[np.concatenate(([True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])))]
+        return anchor[order], tag[order], start[order], count[order]
 
 
 def slices(batch: pa.RecordBatch, rows: int = 512):
@@ -114,18 +125,19 @@ def slices(batch: pa.RecordBatch, rows: int = 512):
 
 
 def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Least and greatest tag of each anchor, and how often it occurs, by slices."""
+    """Least and greatest tag of each anchor, and in how many of the batch's texts it occurs."""
     for batch in batches:
         for _, texts in slices(batch):
             found = [Words(t).edges()[:2] for t in texts]
             anchor, tag = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             if not len(anchor):
                 continue
+            new = np.concatenate([np.diff(f[0], prepend=~f[0][:1]) != 0 for f in found])
             order = np.argsort(anchor, kind="stable")
-            anchor, tag = anchor[order], tag[order]
+            anchor, tag, new = anchor[order], tag[order], new[order]
             first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[first]), pa.array(np.minimum.reduceat(tag, first)), pa.array(np.maximum.reduceat(tag, first)), pa.array(np.diff(np.append(first, len(anchor))).astype("i4"))],
+                [pa.array(anchor[first]), pa.array(np.minimum.reduceat(tag, first)), pa.array(np.maximum.reduceat(tag, first)), pa.array(np.add.reduceat(new, first, dtype="i4"))],
                 ["anchor", "low", "high", "n"],
             )
 
@@ -177,7 +189,7 @@ def read_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop the words of each removed range whose hashes are those of this very text."""
+    """Drop the words of each removed range whose hashes are those of this very text, and of windows it repeats itself."""
     unzip = zstandard.ZstdDecompressor()
     for batch in batches:
         cols: list[list] = [[], [], [], [], []]
@@ -192,6 +204,9 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 r = r[(h[0].view("i8") == r[:, 2]) & (h[1].view("i8") == r[:, 3])]
                 np.add.at(drop, r[:, 0], 1)
                 np.add.at(drop, r[:, 0] + r[:, 1], -1)
+            own = words.repeats()
+            np.add.at(drop, own, 1)
+            np.add.at(drop, own + WINDOW, -1)
             keep = np.cumsum(drop)[:-1] == 0
             kept = words.text(keep)
             for c, v in zip(cols, (batch.column(0)[i].as_py(), len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept)):
@@ -234,8 +249,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     places = place(singles, 0, "doc", "start", "size", zero, zero).unionByName(place(spans, 1, "doc", "start", "size", "src", "src_start")).unionByName(place(wanted, 2, "doc", "start", "size", zero, zero))
     # a text that very many others copy from is asked for many places: they come in several lists
     many = spans.groupBy(F.col("src").alias("doc")).count().where(F.col("count") > PLACES).select("doc", F.ceil(F.col("count") / PLACES).alias("lists"))
-    places = places.join(many, "doc", "left").withColumn("list", F.pmod(F.xxhash64("p"), F.coalesce("lists", F.lit(1).cast("bigint"))))
-    places = places.groupBy("doc", "list").agg(F.collect_list("p").alias("places"))
+    lists = F.lit(0).cast("bigint")
+    if not many.isEmpty():
+        places, lists = places.join(many, "doc", "left"), F.pmod(F.xxhash64("p"), F.coalesce("lists", F.lit(1).cast("bigint")))
+    places = places.groupBy("doc", lists.alias("list")).agg(F.collect_list("p").alias("places"))
     read = packed(d).where("z is not null").join(places, "doc").select("doc", "z", "places")
     read = staged(read.transform(arrow, read_places, "kind bigint, doc bigint, start bigint, size bigint, src bigint, src_start bigint, h1 bigint, h2 bigint"), "places")
     release(placed, spans)

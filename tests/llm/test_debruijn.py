@@ -55,7 +55,7 @@ def test_cases(spark):
 
 
 def test_a_text_that_many_copy_from(spark, monkeypatch):
-    """One source is asked for many different ranges: they come in several lists, and in-text repeats are part of the graph."""
+    """One source is asked for many different ranges: they come in several lists."""
     rng = random.Random(12)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     source = words(600)
