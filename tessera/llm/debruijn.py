@@ -248,11 +248,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     wanted = spans.select(F.col("src").alias("doc"), F.col("src_start").alias("start"), "size").distinct()
     places = place(singles, 0, "doc", "start", "size", zero, zero).unionByName(place(spans, 1, "doc", "start", "size", "src", "src_start")).unionByName(place(wanted, 2, "doc", "start", "size", zero, zero))
     # a text that very many others copy from is asked for many places: they come in several lists
-    many = spans.groupBy(F.col("src").alias("doc")).count().where(F.col("count") > PLACES).select("doc", F.ceil(F.col("count") / PLACES).alias("lists"))
-    lists = F.lit(0).cast("bigint")
-    if not many.isEmpty():
-        places, lists = places.join(many, "doc", "left"), F.pmod(F.xxhash64("p"), F.coalesce("lists", F.lit(1).cast("bigint")))
-    places = places.groupBy("doc", lists.alias("list")).agg(F.collect_list("p").alias("places"))
+    many = spans.groupBy("src").count().where(F.col("count") > PLACES).select("src", F.ceil(F.col("count") / PLACES).alias("lists"))
+    places = places.join(many, F.col("doc") == F.col("src"), "left")
+    places = places.groupBy("doc", F.pmod(F.xxhash64("p"), F.coalesce("lists", F.lit(1).cast("bigint"))).alias("list")).agg(F.collect_list("p").alias("places"))
     read = packed(d).where("z is not null").join(places, "doc").select("doc", "z", "places")
     read = staged(read.transform(arrow, read_places, "kind bigint, doc bigint, start bigint, size bigint, src bigint, src_start bigint, h1 bigint, h2 bigint"), "places")
     release(placed, spans)
