@@ -82,6 +82,16 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_secret_scan"] = op4_secret_scan
+# what SQL can say of two operators whose whole results it cannot
+QUERIES["secret_counts"] = lambda spark, sf_dir: op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+QUERIES["token_limits"] = lambda spark, sf_dir: op10_token_counts(spark, sf_dir).select("doc_id", "n_bytes", (F.col("n_tokens") <= F.col("n_bytes")).alias("bounded"), (F.col("n_tokens") > 2048).eqNullSafe(F.col("over_limit")).alias("agrees"))
+
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+ORACLES["secret_counts"] = rf"""
+select doc_id, cast(len(list_filter(regexp_extract_all(coalesce(text, ''), '{ASSIGN}', 1), lambda x: length(x) >= 6)) as bigint) as n_assign,
+  cast(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) as bigint) as n_access,
+  cast(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) as bigint) as n_hex from documents"""
+ORACLES["token_limits"] = "select doc_id, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n_bytes, true as bounded, true as agrees from documents"
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from tessera.llm.queries import ORACLES
 from tests.llm.test_decontam import brute as leaks
 from tests.llm.test_minhash import brute as groups
 from tests.llm.test_secretscan import brute as secrets
+from tests.oracle import compare
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SF = "/root/testdata/sf0.01"
@@ -59,3 +60,13 @@ def test_odd_rows(spark):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_run_against_sql(spark, sf):
+    assert compare(spark, P.run, P.ORACLE_SQL, f"/root/testdata/{sf}") > 0
+
+
+def test_an_unlabelled_corpus_keeps_its_texts(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "a", 9), (2, "12 !", None, "a", 4), (3, None, None, "b", None)], DOCS)
+    assert [r.doc_id for r in P.language_id(spark, docs, SF).collect()] == [1]
