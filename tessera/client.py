@@ -42,12 +42,26 @@ class Result:
         try:
             return self.df.collect()
         except Exception as e:
-            if self.promoted is None or "ARITHMETIC_OVERFLOW" not in str(e):
-                raise
-            return self.promoted().collect()
+            return self.wider(e).collect()
 
     def __iter__(self) -> Iterator[Row]:
-        return self.df.toLocalIterator() if self.df is not None else iter(())
+        """Rows one by one, a partition at a time on the driver."""
+        taken = 0
+        try:
+            for row in self.df.toLocalIterator() if self.df is not None else ():
+                yield row
+                taken += 1
+        except Exception as e:
+            if taken:
+                raise
+            yield from self.wider(e).toLocalIterator()
+
+    def wider(self, error: Exception) -> DataFrame:
+        """The frame with integer sums as doubles, if the error is a number beyond 64 bits and the query sums integers."""
+        condition = getattr(error, "getCondition", lambda: "")() or str(error)
+        if self.promoted is None or "ARITHMETIC_OVERFLOW" not in condition:
+            raise error
+        return self.promoted()
 
 
 class Query:

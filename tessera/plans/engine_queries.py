@@ -81,7 +81,20 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["prepared"] = prepared
 ORACLES["prepared"] = "select f as flag, (select count(*) from lineitem where l_returnflag = f) as n from (values ('A'), ('N'), ('R')) v(f)"
-QUERIES["explain"] = lambda spark, sf_dir: session(spark, sf_dir, "orders").sql("explain select o_custkey, count(*) from orders where o_totalprice > 10.0 group by o_custkey")
+
+
+def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of EXPLAIN that do not depend on Spark's own plans: what is read how, and the operators of the text."""
+    sql = "explain with big as (select o_custkey as k, count(*) as n from orders where o_totalprice > 10.0 and o_orderkey > 5 group by o_custkey) select c_name, n from customer left join big on k = c_custkey order by n desc limit 3"
+    plan = session(spark, sf_dir, "orders", "customer").execute(sql).rows()[0][0]
+    own, theirs = plan.split("== Parsed Logical Plan ==")
+    assert "== Physical Plan ==" in theirs
+    return spark.createDataFrame([(i, line) for i, line in enumerate(own.strip().split("\n"))], "n int, line string")
+
+
+QUERIES["explain"] = explain
+ORACLES["explain"] = """select * from (values (0, '== Access =='), (1, 'SeqScan customer'), (2, 'SeqScan orders'), (3, '== Logical =='), (4, 'With big'), (5, '  Aggregate 1'), (6, '  Filter 2'), (7, '    Table orders'),
+  (8, 'Limit'), (9, 'Sort 1'), (10, 'Project 2'), (11, '  Join left'), (12, '    Table customer'), (13, '    Table big')) v(n, line)"""
 
 NATION = "create table n (id int primary key, name string not null, region int)"
 SUPPLIER = "create table s (id int primary key, name string, nation int, bal float)"
