@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm.lean import arrow
 from tessera.llm.links import components
 from tessera.llm.words import mix64, word_hashes
-from tessera.sources.tables import staged
+from tessera.sources.tables import release, staged
 
 SHINGLE = 5
 TREES, DEPTH, LEAST = 16, 6, 3
@@ -367,22 +367,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ids = near.select(F.col("a").alias("doc_id"))
     sets = staged(sets_of(docs, ids), "minhash-sets")
     links = staged(confirmed(pairs_of(near.select("a", F.explode("best.b").alias("b"))), sets, percent), "minhash-links")
-    known = staged(components(links), "minhash-first")
+    first = staged(components(links), "minhash-first")
+    release(links)
 
     # the same among classes that are still apart, with finer sketches and over wide stretches of dense regions
-    again = forest(apart(classes.join(ids.hint("merge"), "doc_id", "left_semi"), known), True, True, WIDE)
+    again = forest(apart(classes.join(ids.hint("merge"), "doc_id", "left_semi"), first), True, True, WIDE)
     links = staged(confirmed(pairs_of(partners(again, NEAR_WIDE).select("a", F.explode("best.b").alias("b"))), sets, percent), "minhash-links")
     stars = lambda k: k.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    known = staged(components(stars(known).union(links)), "minhash-second")
+    known = staged(components(stars(first).union(links)), "minhash-second")
+    release(first, links)
 
     # and all pairs of every region between what is still apart, of all classes
     more = staged(whole_regions(apart(classes, known), sets, ids, docs, percent), "minhash-more")
+    release(near, sets)
 
     same = full.select("set_id", "doc_id").join(classes.select("set_id", F.col("doc_id").alias("rep")), "set_id")
     # a class's other ids hang on its first; a doc_id with several texts brings its classes together
     shared = full.groupBy("doc_id").agg(F.count_distinct("set_id").alias("n")).where("n > 1").select("doc_id")
     bridge = same.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     every = staged(components(stars(known).union(more).union(bridge)), "minhash-all")
+    release(known, more)
     labels = classes.select("set_id", F.col("doc_id").alias("node")).join(every, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
