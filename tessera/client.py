@@ -141,7 +141,7 @@ class Session:
             text, _, sums = self.bind(s.query, params, tx)
             if s.kind == "select":
                 return Result(self.spark.sql(text), promoted=(lambda: self.planned(s.query, params, tx)) if sums else None)
-            rest = [f"SeqScan {name}" for name in sorted(self.scanned) if not any(a.split()[1] == name for a in self.access)]
+            rest = [f"SeqScan {name}" for name in sorted(self.scanned) if not any(a.split()[:2] in (["IndexScan", name], ["FullTextScan", name]) for a in self.access)]
             lines = ["== Access ==", *self.access, *rest, "== Logical ==", *outline(s.query)]
             # Spark gives its own four plans by the statement of the same name
             plan = self.spark.sql(f"EXPLAIN EXTENDED {text}").first()[0]
@@ -194,6 +194,12 @@ class Session:
 
         out = Binder(self.views(tx), params, tokenizer_of, self.strict)
         out.narrow = lambda source, where: self.narrow(source, where, out, tx)
+
+        def statistics(table: str) -> tuple[int, str | None] | None:
+            t = self.base_table(table, tx)
+            return (t["statistics"]["rows"], t.key[0]["name"] if len(t.key) == 1 else None) if t is not None and t["statistics"] else None
+
+        out.statistics, out.note = statistics, self.access.append
         return out
 
     def base_table(self, name: str, tx: Transaction | None) -> Table | None:
@@ -202,9 +208,9 @@ class Session:
 
     def bind(self, q: Node, params: dict, tx: Transaction | None, promote: bool = False):
         """(Spark SQL text, columns with types, whether it has an integer SUM)."""
+        self.access = []
         binder = self.binder(params, tx)
         binder.promote = promote
-        self.access = []
         out = binder.query(q)
         self.scanned = binder.used
         if tx is not None:

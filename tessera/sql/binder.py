@@ -15,6 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from tessera.functions import text as fts
+from tessera.sql import joins
 from tessera.sql.errors import SqlError
 from tessera.sql.parser import Node
 
@@ -85,6 +86,11 @@ class Binder:
         # integer sums as doubles where they pass 64 bits; `sums` tells whether there is one
         self.promote, self.sums = promote, False
         self.used: set[str] = set()
+        #: table -> (rows, key column) by statistics, or None; and where notes about the plan go
+        self.statistics = lambda table: None
+        self.note = lambda line: None
+        self.links: dict[int, joins.Link | None] = {}
+        self.leaves: dict[str, str] = {}
         self.ctes: list[dict[str, tuple[str, dict[str, str]]]] = []
         self.n = 0
 
@@ -163,7 +169,7 @@ class Binder:
 
     def core(self, c: Node, outer=None) -> tuple[str, list[tuple[str, str]], Scope]:
         scope = Scope([], outer)
-        source = self.source(c.source, scope) if c.source is not None else None
+        source = self.ordered(c.source, self.source(c.source, scope), scope) if c.source is not None else None
         where = self.condition(c.where, scope) if c.where is not None else None
         items, cols = [], []
         grouped = bool(c.group) or c.having is not None or any(has_aggregate(e) for e, _ in c.items)
@@ -208,6 +214,30 @@ class Binder:
             return str(g.value)
         return self.expr(g, scope)[0]
 
+    def ordered(self, f: Node, text: str, scope: Scope) -> str:
+        """The FROM text with inner joins in the order that the statistics ask for; columns stay in the order of the text."""
+        chain = joins.inner_chain(f)
+        tables = {s.alias: s.table for s in scope.sources}
+        if not chain or len(chain[0]) < 3 or any(tables.get(t.alias) is None for t in chain[0]):
+            return text
+        known, links = [self.statistics(tables[t.alias]) for t in chain[0]], [self.links[id(j)] for j in chain[1]]
+        if None in known or None in links:
+            return text
+        leaves = [joins.Leaf(t.alias, self.leaves[t.alias], *k) for t, k in zip(chain[0], known)]
+        order = joins.best_order(leaves, links)
+        if order is None:
+            return text
+        self.note(f"JoinOrder {', '.join(x.alias for x in order)}")
+        return joins.from_text(order, links)
+
+    @staticmethod
+    def link(e: Node, text: str, scope: Scope) -> joins.Link | None:
+        if joins.has_query(e):
+            return None
+        found = [(scope.find(c.table, c.name)[0].alias, c.name) for c in joins.columns(e)]
+        pair = e.kind == "compare" and e.op == "=" and e.left.kind == e.right.kind == "column"
+        return joins.Link(text, frozenset(a for a, _ in found), tuple(found) if pair else None)
+
     def source(self, f: Node, scope: Scope) -> str:
         if f.kind == "join":
             left, right = self.source(f.left, scope), self.source(f.right, scope)
@@ -215,7 +245,9 @@ class Binder:
                 return f"{left} CROSS JOIN {right}"
             if self.strict and (f.on.kind != "compare" or f.on.op != "=" or f.type in ("RIGHT", "FULL")):
                 raise SqlError("Strict sessions join on one equality" if f.type in ("INNER", "LEFT") else f"Strict sessions know no {f.type} join")
-            return f"{left} {f.type} JOIN {right} ON {self.condition(f.on, scope)}"
+            on = self.condition(f.on, scope)
+            self.links[id(f)] = self.link(f.on, on, scope)
+            return f"{left} {f.type} JOIN {right} ON {on}"
         if f.kind == "derived":
             text, cols = self.query(f.query, None if self.strict else scope.outer)
             cols = self.renamed(cols, f.columns, f.alias)
@@ -230,6 +262,7 @@ class Binder:
             else:
                 found = Source(f.alias, dict(view[1]))
             text = f"{view[0]} AS {tick(f.alias)}"
+            self.leaves[f.alias] = text
         if any(s.alias == found.alias for s in scope.sources):
             raise SqlError(f"Two tables are called {found.alias}")
         scope.sources.append(found)

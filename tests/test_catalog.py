@@ -301,3 +301,17 @@ print("WON", *won)
     with pytest.raises(ConflictError):
         store.create("log/0003.json", {})
     assert [n for n in os.listdir(f"{tmp_path}/log") if not n.endswith(".json") and not n.endswith(".crc")] == []
+
+
+def test_join_order_by_statistics(c):
+    run(c, "create table big (id int primary key, m int, v int)", "create table mid (id int primary key, s int)", "create table small (id int primary key, name string)")
+    run(c, "insert into big values " + ", ".join(f"({i}, {i % 40}, {i})" for i in range(300)), "insert into mid values " + ", ".join(f"({i}, {i % 4})" for i in range(40)), "insert into small values (0, 'a'), (1, 'b')")
+    sql = "select * from big join mid on big.m = mid.id join small on mid.s = small.id where v > 290 and name = 'b'"
+    first = lambda: c.execute_query("d", f"explain {sql}").rows()[0][0].split("\n")[1]
+    before = sorted(rows(c, sql))
+    assert first() == "SeqScan big" and before and c.execute_query("d", sql).df.columns == ["id", "m", "v", "id", "s", "id", "name"]
+    run(c, "analyze big", "analyze mid", "analyze small")
+    assert first() == "JoinOrder small, mid, big"
+    assert sorted(rows(c, sql)) == before and c.execute_query("d", sql).df.columns == ["id", "m", "v", "id", "s", "id", "name"]
+    outer = "select * from big left join mid on big.m = mid.id join small on mid.s = small.id"
+    assert "JoinOrder" not in c.execute_query("d", f"explain {outer}").rows()[0][0]
