@@ -249,9 +249,10 @@ class Database:
         self.ddl(change)
 
     def index_rows(self, t: Table, index: dict, rows: DataFrame) -> DataFrame:
+        """Postings, sorted by token in each file; nothing is shuffled."""
         key = [phys(c) for c in t.key]
         tokens = rows.select(*key, F.posexplode(fts.tokenizer(index["tokenizer"])[0](F.col(f"c{index['columns'][0]}"))).alias("pos", "token"))
-        return tokens.groupBy("token", *key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        return tokens.sortWithinPartitions("token", *key)
 
     def write_values(self, t: Table, index: dict, rows: DataFrame) -> str:
         """A segment of an index: its columns' distinct values with the data file (folder and name), clustered by value."""
@@ -290,7 +291,7 @@ class Database:
         for label, index in t["indexes"].items():
             if index["fulltext"]:
                 posts = self.postings(t, index)
-                counts = posts.groupBy("token").count() if posts is not None else None
+                counts = posts.select("token", *[phys(c) for c in t.key]).distinct().groupBy("token").count() if posts is not None else None
                 value = F.col("token")
             else:
                 cols = [f"c{i}" for i in index["columns"]]

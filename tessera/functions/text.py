@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -211,14 +212,13 @@ def match(c: Column, query: str, name: str = "simple") -> Column:
 
 
 def postings(df: DataFrame, key: str, text: str, name: str = "simple") -> DataFrame:
-    """Inverted index: one row per (token, key) with its positions."""
-    tokens = df.select(F.col(key), F.posexplode(tokenizer(name)[0](F.col(text))).alias("pos", "token"))
-    return tokens.groupBy("token", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """Inverted index: one row (key, pos, token) for each token of a text. Nothing is shuffled."""
+    return df.select(F.col(key), F.posexplode(tokenizer(name)[0](F.col(text))).alias("pos", "token"))
 
 
 def write_postings(df: DataFrame, key: str, text: str, path: str, name: str = "simple") -> None:
-    """The inverted index as a table clustered by token, so that a lookup reads the row groups of its tokens alone."""
-    postings(df, key, text, name).repartitionByRange("token", key).sortWithinPartitions("token", key).write.parquet(path)
+    """The inverted index as files sorted by token, so that a lookup reads the row groups of its tokens alone. No shuffle."""
+    postings(df, key, text, name).sortWithinPartitions("token", key).write.parquet(path)
 
 
 def _back(i: int) -> Callable[[Column], Column]:
@@ -234,17 +234,18 @@ def resolve(index: DataFrame, tree, key: str) -> DataFrame:
     hits = index.where(F.col("token").isin(tokens))
     if tree[0] == "token":
         return hits.select(key).distinct()
-    found = [F.max(F.when(F.col("token") == t, F.col("positions") if phrases else F.lit(True))).alias(f"t{i}") for i, t in enumerate(tokens)]
+    mine = [F.col("token") == t for t in tokens]
+    found = [(F.collect_list(F.when(m, F.col("pos"))) if phrases else F.max(m)).alias(f"t{i}") for i, m in enumerate(mine)]
     at = {t: F.col(f"t{i}") for i, t in enumerate(tokens)}
 
     def true(tree) -> Column:
         if tree[0] == "token":
-            return at[tree[1]].isNotNull()
+            return F.size(at[tree[1]]) > 0 if phrases else at[tree[1]]
         if tree[0] == "phrase":
             common = at[tree[1][0]]
             for i, word in enumerate(tree[1][1:], 1):
                 common = F.array_intersect(common, F.transform(at[word], _back(i)))
-            return F.coalesce(F.size(common) > 0, F.lit(False))
+            return F.size(common) > 0
         left, right = true(tree[1]), true(tree[2])
         return (left & right) if tree[0] == "and" else (left | right)
 
@@ -260,5 +261,5 @@ def like_by_trigrams(df: DataFrame, key: str, text: str, pattern: str, index: Da
     if not need:
         return df.where(like(F.col(text), pattern))
     index = postings(df, key, text, "trigram") if index is None else index
-    hits = index.where(F.col("token").isin(need)).groupBy(key).agg(F.count("token").alias("n")).where(F.col("n") == len(need))
+    hits = resolve(index, functools.reduce(lambda a, b: ("and", a, b), [("token", g) for g in need]), key)
     return df.join(hits.select(key), key, "left_semi").where(like(F.col(text), pattern))
