@@ -45,7 +45,7 @@ text(
 
 # joins and subqueries
 text("join_comma", "select c_custkey, n_name from customer, nation where c_nationkey = n_nationkey and c_acctbal > 9000.0", "select c_custkey, n_name from customer, nation where c_nationkey = n_nationkey and c_acctbal > 9000", "customer", "nation")
-text("subq_not_exists", "select c_custkey from customer c where not exists (select o_orderkey from orders where o_custkey = c.c_custkey)", "select c_custkey from customer c where not exists (select 1 from orders where o_custkey = c.c_custkey)", "customer", "orders")
+text("subq_not_exists", "select c_custkey from customer c where not exists (select o_orderkey from orders where o_custkey = c.c_custkey and o_totalprice > 300000.0)", "select c_custkey from customer c where not exists (select 1 from orders where o_custkey = c.c_custkey and o_totalprice > 300000)", "customer", "orders")
 text(
     "subq_in_case",
     "select r_name, case when exists (select n_nationkey from nation where n_regionkey = 99) then 'some' else 'none' end as e, (select max(n_name) from nation) as top from region",
